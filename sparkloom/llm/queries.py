@@ -6,29 +6,76 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding
+from . import cotraining, exact_dedup, language, mixing, near_dedup, neighbours, packing, sharding, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def BYTE_RANKS() -> str:  # noqa: N802
+    """The byte-level vocabulary of byte_bpe_50k.json, as ranks."""
+    return tokenizer("byte_bpe_50k.tiktoken")
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_documents(spark, sf_dir))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), BYTE_RANKS())
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), _documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_token_counts": op5_token_counts,
     "op6_sharding": op6_sharding,
+    "op7_nearest": op7_nearest,
+    "op8_quality": op8_quality,
+    "op9_packing": op9_packing,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
