@@ -107,7 +107,7 @@ def fit_view(rows: list[np.ndarray], labels: np.ndarray, places: int, ridge: flo
     table = np.full(places, -1, np.int32)
     table[chosen] = np.arange(len(chosen))
     found = [table[r] for r in rows]
-    w, bias = fit_logistic([f[f >= 0] for f in found], scales[chosen], labels.astype(float), ridge, steps=150)
+    w, bias = fit_logistic([f[f >= 0] for f in found], scales[chosen], labels.astype(float), ridge)
     weights = np.zeros(places)
     weights[chosen] = w * scales[chosen]
     return View(weights, bias)

@@ -46,30 +46,48 @@ def present(text: str, orders: tuple[int, ...], bits: int, table: np.ndarray | N
     return np.unique(found[found >= 0])
 
 
-def fit_logistic(rows: list[np.ndarray], scales: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias over features that a row has (1) or hasn't (0), each scaled. Nesterov's gradient method."""
-    n = len(labels)
-    lengths = np.array([len(r) for r in rows])
+def fit_logistic(rows: list[np.ndarray], scales: np.ndarray, labels: np.ndarray, ridge: float = 1e-5, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and bias over features that a row has (1) or hasn't (0), each scaled. Limited-memory BFGS."""
+    n, k = len(labels), len(scales)
     flat = np.concatenate(rows) if n else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(n), lengths)
+    row = np.repeat(np.arange(n), [len(r) for r in rows])
     values = scales[flat]
-    top = 0.25 * float((np.bincount(row, values**2, n) + 1).max()) if n else 1.0
-    rate, w, bias = 1.0 / max(top, 1.0) * 8, np.zeros(len(scales)), 0.0
-    share = min(max(labels.mean() if n else 0.5, 1e-3), 1 - 1e-3)
-    bias = float(np.log(share / (1 - share)))
-    seen_w, seen_b, last = w.copy(), bias, np.inf
-    for t in range(steps):
-        z = np.bincount(row, values * seen_w[flat], n) + seen_b
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        loss = float(np.logaddexp(0, np.where(labels == 1, -z, z)).mean() + ridge / 2 * (seen_w**2).sum())
-        if loss > last * 1.05 + 1e-9:  # too long a step: back to the last point, and shorter
-            rate, seen_w, seen_b, last = rate / 2, w.copy(), bias, np.inf
-            continue
-        last = min(last, loss)
-        g = (p - labels) / n
-        new_w = seen_w - rate * (np.bincount(flat, values * g[row], len(scales)) + ridge * seen_w) * 1.0
-        new_b = seen_b - rate * g.sum()
-        k = t / (t + 3)
-        seen_w, seen_b = new_w + k * (new_w - w), new_b + k * (new_b - bias)
-        w, bias = new_w, new_b
-    return w, bias
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(row, values * x[flat], n) + x[k]
+        p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+        rest = (p - labels) / n
+        g = np.append(np.bincount(flat, values * rest[row], k) + ridge * x[:k], rest.sum())
+        return float(np.logaddexp(0, np.where(labels == 1, -z, z)).mean() + ridge / 2 * (x[:k] ** 2).sum()), g
+
+    share = min(max(float(labels.mean()) if n else 0.5, 1e-3), 1 - 1e-3)
+    x = np.zeros(k + 1)
+    x[k] = np.log(share / (1 - share))
+    f, g = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        d, kept = -g, []
+        for s, y, r in reversed(past):
+            kept.append(r * (s @ d))
+            d = d - kept[-1] * y
+        if past:
+            s, y, _ = past[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y, r), a in zip(past, reversed(kept), strict=True):
+            d = d + (a - r * (y @ d)) * s
+        slope, t = float(g @ d), 1.0 if past else 1.0 / max(1.0, float(np.abs(g).sum()))
+        if slope > -1e-12:
+            break
+        while True:
+            new, h = loss(x + t * d)
+            if new <= f + 1e-4 * t * slope or t < 1e-8:
+                break
+            t /= 2
+        s, y = t * d, h - g
+        if s @ y > 1e-12:
+            past = [*past[-9:], (s, y, 1 / (s @ y))]
+        done = abs(f - new) < 1e-9
+        x, f, g = x + s, new, h
+        if done:
+            break
+    return x[:k], float(x[k])

@@ -58,7 +58,7 @@ def sample_texts(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, p
     return stored(texts.join(F.broadcast(rows), "doc_id").repartition(pieces, "doc_id"), "sample")
 
 
-def fit_ngrams(texts: DataFrame, orders: tuple[int, ...] = (4, 5), bits: int = 20, features: int = 2000, least: int = 4, ridge: float = 1e-4) -> NgramModel:
+def fit_ngrams(texts: DataFrame, orders: tuple[int, ...] = (4, 5, 6), bits: int = 20, features: int = 2000, least: int = 4, ridge: float = 1e-4) -> NgramModel:
     """texts: doc_id, text, label; bounded in rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
