@@ -1 +1,129 @@
-"""Queries to come."""
+"""Queries over events, as tables and as streams that run to their end."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources import tables
+from ..sources.storage import stored
+from ..streaming import jobs
+from .catalog import query
+
+
+@query("""
+    WITH w AS (SELECT event_id, count(*) OVER x AS samples, (epoch_us(max(ts) OVER x) - epoch_us(min(ts) OVER x)) / 1e6 AS span FROM events
+               WINDOW x AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW))
+    SELECT event_id, samples, CASE WHEN span > 0 THEN round(samples / span, 6) ELSE 0.0 END AS rate FROM w""")
+def event_rate_60s(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs.rate(tables.job_events(spark, folder)).select("event_id", "samples", "rate")
+
+
+@query("""
+    WITH w AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS done, count(*) OVER (PARTITION BY user_id) AS total,
+                      (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 1e6 AS since FROM events)
+    SELECT event_id, done, total, round(100.0 * done / total, 4)::DOUBLE AS percent, round(since / done * (total - done), 3) AS seconds_left FROM w""")
+def progress_running(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs.progress(tables.job_events(spark, folder)).select("event_id", "done", "total", "percent", "seconds_left")
+
+
+_LAST = "SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY 1"
+
+
+@query(f"SELECT job_id, state, state IN ('error', 'purchase') AS ended FROM ({_LAST})")
+def job_state_latest(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs.last_state(tables.job_events(spark, folder)).select("job_id", "state", "ended")
+
+
+@query("SELECT event_id, gap FROM (SELECT event_id, round((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1e6, 3) AS gap FROM events) WHERE gap < 600")
+def rate_limit_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Events that break a pause of ten minutes."""
+    return jobs.gaps(tables.job_events(spark, folder), 600).select("event_id", "gap")
+
+
+@query("SELECT user_id AS job_id FROM events GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def stale_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs without an event in the hour before the last one of all."""
+    e = tables.job_events(spark, folder)
+    end = e.agg(F.max("ts").alias("end"))  # one row
+    last = e.groupBy("job_id").agg(F.max("ts").alias("ts"))
+    return last.crossJoin(end).filter(F.col("ts") < F.col("end") - F.expr("INTERVAL 1 HOUR")).select("job_id")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS state, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def hourly_events(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs.tumbling(tables.job_events(spark, folder))
+
+
+@query("""
+    WITH m AS (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM m)
+    SELECT user_id AS job_id, min(ts) AS start, count(*) AS events FROM s GROUP BY user_id, n""")
+def session_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs.sessions(tables.job_events(spark, folder), "6 hours")
+
+
+@query("SELECT event_id, 'event: ' || event_type || chr(10) || 'data: ' || '{\"job_id\":' || user_id || ',\"state\":\"' || event_type || '\"}' || chr(10) || chr(10) AS message FROM events")
+def event_messages(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tables.job_events(spark, folder)
+    body = F.to_json(F.struct("job_id", "state"))
+    return rows.select("event_id", F.concat(F.lit("event: "), F.col("state"), F.lit("\ndata: "), body, F.lit("\n\n")).alias("message"))
+
+
+@query("SELECT user_id AS job_id, max(value) AS priority FROM events GROUP BY 1 ORDER BY priority DESC, min(ts), job_id LIMIT 50")
+def queue_admission(spark: SparkSession, folder: str) -> DataFrame:
+    e = tables.job_events(spark, folder).groupBy("job_id").agg(F.max("value").alias("priority"), F.min("ts").alias("created"))
+    return jobs.admitted(e, 50).select("job_id", "priority")
+
+
+@query("SELECT event_id, least(100 * power(2, event_id % 12), 60000)::BIGINT AS delay_ms FROM events WHERE event_type = 'error'")
+def retry_delays(spark: SparkSession, folder: str) -> DataFrame:
+    e = tables.job_events(spark, folder).filter("state = 'error'")
+    return e.select("event_id", jobs.backoff(F.col("event_id") % 12, 100).alias("delay_ms"))
+
+
+@query("""
+    WITH s(state, lo, hi) AS (VALUES ('view', 0, 25), ('click', 25, 50), ('purchase', 50, 100), ('error', 0, 0), ('signup', 0, 10), ('logout', 0, 0))
+    SELECT event_id, max(lo + (hi - lo) * 0.5) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::DOUBLE AS overall
+    FROM events JOIN s ON state = event_type""")
+def stage_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """Stages mapped to overall percent, never going back within a job. The stages' bounds are fixed values."""
+    from pyspark.sql import Window
+
+    bounds = {"view": (0, 25), "click": (25, 50), "purchase": (50, 100), "error": (0, 0), "signup": (0, 10), "logout": (0, 0)}
+    value = F.lit(None).cast("double")
+    for k, (lo, hi) in bounds.items():
+        value = F.when(F.col("state") == k, F.lit(lo + (hi - lo) * 0.5)).otherwise(value)
+    w = Window.partitionBy("job_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    e = tables.job_events(spark, folder).withColumn("p", value).filter("p is not null")
+    return e.select("event_id", F.max("p").over(w).alias("overall"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS state, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def events_stream_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily counts by a stream of the events' files: each batch's sums are merged into a table of sums."""
+    stream = jobs.event_stream(spark, _files(folder, "events"))
+    parts: list[DataFrame] = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        grouped = batch.groupBy(F.window("ts", "1 day")["start"].alias("start"), "state").agg(F.count("*").alias("events"), F.sum("value").alias("value"))
+        parts.append(stored(grouped, "batch"))
+
+    jobs.run_to_end(stream, "events", each=each)
+    out = parts[0] if parts else spark.createDataFrame([], "start timestamp, state string, events long, value double")
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("start", "state").agg(F.sum("events").alias("events"), F.round(F.sum("value"), 4).alias("value"))
+
+
+@query("SELECT user_id AS job_id, count(*) AS events FROM events GROUP BY 1")
+def job_states_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Every job's final number of events by a stream with state; the sink keeps a row for each batch."""
+    sink = jobs.run_to_end(jobs.job_states(jobs.event_stream(spark, _files(folder, "events"))), "states")
+    rows = spark.read.schema("job_id long, events long, state string, ended boolean").parquet(sink)
+    return rows.groupBy("job_id").agg(F.max("events").alias("events"))
+
+
+def _files(folder: str, name: str) -> str:
+    """A stream reads folders: the table's own, or the pattern that matches its single file."""
+    return f"{folder}/{name}.parque[t]"
