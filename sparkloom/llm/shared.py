@@ -2,44 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_dir, stored
+
+__all__ = ["WHITE", "WORD", "hex_digits", "prefix_sums", "shared_dir", "small_batches", "stored"]
+
 #: White space of the text contracts: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine), a new temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the Arrow batches that Python workers hold, so that long texts don't fill them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 
-def hex_digits(rows: int, per_bucket: int = 4096) -> int:
+def hex_digits(rows: int, per_bucket: int = 512) -> int:
     """How many leading hex digits of a hash split `rows` rows into buckets of about per_bucket."""
     n = 1
     while 16**n * per_bucket < rows:
