@@ -4,7 +4,7 @@ Documents start in shards by hashed rank, so counts are at most one apart. Docum
 each round a group asks its members over to the shard that holds most of it; a move into a shard is granted while that
 shard has an unlinked document left to send back to where the mover came from. Such swaps keep all counts as they are,
 lower the number of links that cross shards, and need no lock. Groups larger than a shard fill one and go on to the
-next in later rounds.
+next in later rounds. Rounds end when nothing moves, or after `rounds` of them.
 
 Law `rows`: counts are at most one apart. Defined results: a null text has no bytes and is equal to other null texts
 (and to empty ones); null ids are kept; repeated rows are rows of their own; an empty table gives an empty result.
@@ -12,7 +12,7 @@ Law `rows`: counts are at most one apart. Defined results: a null text has no by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import hex_digits, prefix_sums, stored
@@ -29,8 +29,8 @@ def _sub(pieces: int) -> Column:
     return F.pmod(F.xxhash64("rid"), F.lit(pieces))
 
 
-def _round(linked: DataFrame, fillers: DataFrame, digits: int, pieces: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """One round of proposals, quotas and swaps."""
+def _round(linked: DataFrame, fillers: DataFrame, digits: int, pieces: int, turn: int) -> tuple[DataFrame, DataFrame] | None:
+    """One round of proposals, quotas and swaps; None if nothing moves."""
     quota = fillers.groupBy("shard").agg(F.count("*").alias("free"))  # a row for each shard at most
     linked = linked.withColumn("sub", _sub(pieces))
     units = linked.groupBy("gkey", "shard", "sub").agg(F.count("*").alias("want"))
@@ -46,11 +46,11 @@ def _round(linked: DataFrame, fillers: DataFrame, digits: int, pieces: int, turn
     granted = asked.withColumn("take", F.least(F.col("want"), F.greatest(F.col("free") - F.col("before"), F.lit(0)))).filter("take > 0")
     granted = granted.select("gkey", "shard", "sub", "to", "take", "before")
     # The members that go, numbered from 0 within the shard they go to; the filler of that number comes in return.
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("gkey", "shard", "sub").orderBy("key", "rid")) - 1
     going = linked.join(granted.withColumnRenamed("take", "_take"), ["gkey", "shard", "sub"]).withColumn("nth", nth)
     going = stored(going.filter("nth < _take").select("rid", "to", F.col("shard").alias("from"), (F.col("before") + F.col("nth")).alias("number")), "going")
+    if going.isEmpty():
+        return None
     numbered = _place(fillers, digits, ["shard"], "number")
     back = going.select(F.col("to").alias("shard"), "number", "from")
     fillers = numbered.join(back, ["shard", "number"], "left").withColumn("shard", F.coalesce("from", "shard")).select(*fillers.columns)
@@ -59,7 +59,7 @@ def _round(linked: DataFrame, fillers: DataFrame, digits: int, pieces: int, turn
     return stored(linked, "linked"), stored(fillers.select(*_KEPT), "fillers")
 
 
-def assign_shards(docs: DataFrame, shards: int = 24, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 24, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard, group_size."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     nodes = stored(
@@ -82,7 +82,10 @@ def assign_shards(docs: DataFrame, shards: int = 24, rounds: int = 3, id_col: st
     linked = marked.filter("group_size is not null").select(*_KEPT, "gkey", "group_size")
     fillers = marked.filter("group_size is null").select(*_KEPT)
     for turn in range(rounds):
-        linked, fillers = _round(linked, fillers, digits, pieces, turn)
+        moved = _round(linked, fillers, digits, pieces, turn)
+        if moved is None:
+            break
+        linked, fillers = moved
     both = linked.select(*_KEPT, "group_size").unionByName(fillers.withColumn("group_size", F.lit(1).cast("long")))
     placed = _place(both, digits, ["shard"], "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_size")
