@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import code, markup, text, urls
+from ..functions import code, markup, selectors, text, urls
+from ..operators import ingest
 from ..sources import tables
 from .catalog import query
 
@@ -202,3 +203,19 @@ _PROSE = " + ".join(f"len(regexp_extract_all({_BODY}, {_quoted(p)}))" for p in c
 def code_validation(spark: SparkSession, folder: str) -> DataFrame:
     """Why each text is no code, or that it may be."""
     return tables.entries(spark, folder).select("entry_id", code.verdict(F.col("content")).alias("verdict"))
+
+
+@query("WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1)) AS content FROM pages) SELECT page_id, 'pre_only' AS pattern, 'text' AS language, replace(content, '&amp;', '&') AS content FROM b WHERE trim(content) <> ''")
+def code_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Code blocks by selectors; first headings stand in for code, which the pages lack."""
+    heads = F.array_join(F.regexp_extract_all("html", F.lit("(?s)<h1>(.*?)</h1>"), F.lit(0)), "")
+    marked = F.replace(F.replace(heads, F.lit("<h1>"), F.lit('<pre class="language-text">')), F.lit("</h1>"), F.lit("</pre>"))
+    rows = tables.pages(spark, folder).select("page_id", F.explode(selectors.page_code(F.replace(marked, F.lit("language-text"), F.lit("brush-text")))).alias("c"))
+    return rows.select("page_id", "c.pattern", "c.language", "c.content")
+
+
+@query()
+def ingested_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages parsed, cut under their headings, and embedded."""
+    built = ingest.build(tables.pages(spark, folder), 64)
+    return built.chunks.select("chunk_id", "chunk_type", F.md5("text").alias("digest"), F.size("vector").alias("dim"))
