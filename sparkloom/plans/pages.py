@@ -89,14 +89,12 @@ def fetchable_urls(spark: SparkSession, folder: str) -> DataFrame:
     return p.filter("domain <> ''").select("page_id", urls.fetchable(F.col("url")).alias("fetchable"))
 
 
-@query(f"WITH s AS (SELECT {_HOST} AS domain, list_sort(list(DISTINCT url)) AS u FROM pages GROUP BY 1) SELECT domain, len(u) AS urls, md5(array_to_string(u, ' ')) AS digest FROM s")
+@query(f"SELECT DISTINCT {_HOST} AS domain, url FROM pages")
 def sitemap_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """A sitemap for each domain, written from its pages and read back."""
-    p = tables.pages(spark, folder)
-    loc = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
-    maps = p.groupBy("domain").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_set(loc), "\n"), F.lit("</urlset>")).alias("xml"))
-    found = maps.select("domain", F.array_sort(F.array_distinct(urls.sitemap_urls(F.col("xml")))).alias("u"))
-    return found.select("domain", F.size("u").cast("long").alias("urls"), F.md5(F.array_join("u", " ")).alias("digest"))
+    """Sitemaps of each domain, written from its pages in parts of bounded size and read back."""
+    p = tables.in_parts(tables.pages(spark, folder), "domain", "url")
+    maps = p.groupBy("domain", "part").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_set(F.concat(F.lit("<url>"), tables.loc(F.col("url")), F.lit("</url>"))), "\n"), F.lit("</urlset>")).alias("xml"))
+    return maps.select("domain", F.explode(urls.sitemap_urls(F.col("xml"))).alias("url")).distinct()
 
 
 @query(f"SELECT page_id, NOT (starts_with({_PATH}, '/de/') AND NOT regexp_matches({_PATH}, '\\.html$')) AS allowed FROM pages")

@@ -6,7 +6,7 @@ of conversations, each under the turn before; board cards: orders; links between
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import host
@@ -86,3 +86,14 @@ def project_links(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_discount").alias("relevance"),
         F.col("l_shipdate").alias("linked_at"),
     )
+
+
+def in_parts(rows: DataFrame, key: str, by: str, size: int = 500) -> DataFrame:
+    """Add `part`: rows of a key dealt by the hash of a column into parts of about `size`, so that no key is gathered whole."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    return rows.join(counts, key).withColumn("part", F.pmod(F.xxhash64(by), F.ceil(F.col("_n") / size))).drop("_n")
+
+
+def loc(url: Column) -> Column:
+    """An address as sitemaps have it."""
+    return F.concat(F.lit("<loc>"), F.replace(url, F.lit("&"), F.lit("&amp;")), F.lit("</loc>"))
