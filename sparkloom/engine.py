@@ -49,6 +49,16 @@ class Engine:
             raise KeyError(entry_id)
         return vectors.related_entries(self.chunks, [float(x) for x in first[0]], entry_id, limit, 5 * limit, least)
 
+    def related_to_text(self, *parts: str, exclude: int | None = None, limit: int = 10, least: float = 0.0) -> DataFrame:
+        """Entries near a text made of parts, the first 2,000 characters of it; none for a blank one."""
+        text = " ".join(p for p in parts if p and p.strip())[:2000]
+        hits = vectors.related_entries(self.chunks, self.vector_of(text), exclude, limit, 5 * limit, least)
+        return hits if text else hits.limit(0)
+
+    def tables(self) -> DataFrame:
+        """Tables of the folder with their numbers of columns and rows."""
+        return sqlgate.table_report({n: tables.table(self.spark, self.folder, n) for n in sqlgate.folder_tables(self.spark, self.folder)})
+
     def entry(self, entry_id: int) -> DataFrame:
         return self.entries.filter(F.col("entry_id") == entry_id)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What code has, what a bad extraction has, what prose has.
@@ -148,3 +148,14 @@ def alias(language: Column) -> Column:
 def quick_check(text: Column) -> Column:
     """Whether a text has brackets or operators at all."""
     return _has(text, r"[{}\[\]();=<>]|->|::")
+
+
+def pattern_catalog(spark: SparkSession) -> DataFrame:
+    """pattern, selector: all ways that pages are known to keep code, in the order in which they are tried."""
+    return spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(PATTERNS.items())], "place int, pattern string, selector string")
+
+
+def language_catalog(spark: SparkSession) -> DataFrame:
+    """language, names, parsed: the languages that have a name here, and whether definitions are read by a parser."""
+    rows = [(k, list(v), k == "python") for k, v in LANGUAGES.items()] + [("other", [], False)]
+    return spark.createDataFrame(rows, "language string, names array<string>, parsed boolean")

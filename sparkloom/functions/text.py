@@ -141,3 +141,7 @@ def heading_lines(text: Column, most: int = 10, longest: int = 80) -> Column:
     """The first short lines with more than one capital."""
     lines = F.transform(F.split(text, "\r?\n"), trimmed)
     return F.slice(F.filter(lines, lambda x: (x != "") & (F.octet_length(x) < longest) & (F.regexp_count(x, F.lit(r"\p{Lu}")) > 1)), 1, most)
+
+
+def is_uuid(value: Column) -> Column:
+    return F.regexp_like(F.lower(value), F.lit("^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$"))

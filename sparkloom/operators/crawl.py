@@ -115,3 +115,9 @@ def phases(template: Column) -> Column:
     for name, (_, steps) in TEMPLATES.items():
         out = F.when(template == name, F.array(*map(F.lit, steps))).otherwise(out)
     return out
+
+
+def fetched(pages: DataFrame) -> DataFrame:
+    """Pages (url, status, html) that were answered, with title and hash; statuses of 400 and above are errors."""
+    title = F.trim(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1))
+    return pages.filter("status < 400").select("*", F.nullif(title, F.lit("")).alias("title"), F.sha2("html", 256).alias("content_hash"))

@@ -6,6 +6,7 @@ import re
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Query texts with named parameters, over the views that callers register.
 TEMPLATES = {
@@ -55,3 +56,19 @@ def describe(spark: SparkSession, name: str) -> list[tuple[str, str, bool]]:
     if not is_identifier(name):
         raise ValueError("not an identifier")
     return [(f.name, f.dataType.simpleString(), f.nullable) for f in spark.table(name).schema]
+
+
+def table_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """A row for each table: name, columns, rows."""
+    out = None
+    for name, df in sorted(tables.items()):
+        part = df.agg(F.lit(name).alias("table"), F.lit(len(df.columns)).alias("columns"), F.count("*").alias("rows"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def folder_tables(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the Parquet tables in a folder of any file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(n[:-8] for n in (s.getPath().getName() for s in found) if n.endswith(".parquet"))

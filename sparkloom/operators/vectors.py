@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -99,3 +101,14 @@ def related_entries(chunks: DataFrame, vector: list[float], exclude: int | None,
     best = F.row_number().over(Window.partitionBy("entry_id").orderBy("distance", "chunk_id"))
     hits = hits.withColumn("nth", best).filter("nth = 1").filter(F.col("score") >= least)
     return hits.orderBy(F.desc("score"), "chunk_id").limit(k).select("entry_id", "chunk_id", "score", strength(F.col("score"), strong, least).alias("strength"))
+
+
+def from_bytes(blob: Column, dim: int) -> Column:
+    """Little-endian 32-bit floats as array<float>; an error where the length isn't that of dim numbers."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+
+    return check_dimension(run(blob), dim)

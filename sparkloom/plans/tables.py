@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import ranking
+from ..operators import ranking, sqlgate
 from ..operators.sqlgate import TEMPLATES, run_safely
 from ..sources import tables
 from .catalog import query
@@ -135,3 +135,12 @@ def tag_filter(spark: SparkSession, folder: str) -> DataFrame:
     rows = tables.entries(spark, folder)
     tags = F.array_sort(F.filter("tags", lambda x: x.isNotNull()))
     return rows.select("entry_id", tags.alias("tags"), F.arrays_overlap(F.array(F.lit("en"), F.lit("src1")), "tags").alias("tagged"))
+
+
+_NAMES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS \"table\", (SELECT count(*) FROM duckdb_columns() WHERE table_name = '{n}')::INT AS columns, (SELECT count(*) FROM {n}) AS rows" for n in _NAMES))
+def table_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Every table with its numbers of columns and rows."""
+    return sqlgate.table_report({n: tables.table(spark, folder, n) for n in _NAMES})

@@ -115,3 +115,21 @@ def job_states(stream: DataFrame) -> DataFrame:
 
     keyed = stream.groupBy("job_id")
     return keyed.applyInPandasWithState(step, "job_id long, events long, state string, ended boolean", "events long, ts long, state string", "append", GroupStateTimeout.NoTimeout)
+
+
+def silent(events: DataFrame, key: str, now: Column, seconds: int) -> DataFrame:
+    """Keys whose last event is older than that: connections to close, items to give up."""
+    last = events.groupBy(key).agg(F.max("ts").alias("last"))
+    return last.filter(_micros(F.col("last")) < _micros(now) - seconds * 1_000_000)
+
+
+def append_history(jobs: DataFrame, path: str) -> None:
+    """Add ended jobs to the history; jobs that are in it already stay as they are."""
+    spark = jobs.sparkSession
+    try:
+        known = spark.read.parquet(path).select("job_id")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        known = jobs.select("job_id").limit(0)
+    jobs.filter("ended").join(known, "job_id", "left_anti").write.mode("append").parquet(path)

@@ -56,3 +56,10 @@ def test_store_replaces_deletes_and_reindexes(spark, data, tmp_path):
     assert store.counts() == before
     store.clear()
     assert set(store.counts().values()) == {0}
+
+
+def test_related_to_text_and_tables(spark, data):
+    engine = Engine(spark, data)
+    assert engine.related_to_text("a title", None, "a text", limit=3).count() == 3
+    assert engine.related_to_text(" ", "").count() == 0
+    assert {r["table"] for r in engine.tables().collect()} >= {"documents", "pages", "events"}

@@ -131,3 +131,25 @@ def test_streams_with_late_rows(spark, tmp_path):
     assert (last.job_id, last.events, last.state, last.ended) == (1, 5, "view", False)
     windows = jobs.run_to_end(jobs.tumbling(jobs.event_stream(spark, str(tmp_path / "events"), files=1), "1 hour", "10 minutes"), "windows")
     assert spark.read.parquet(windows).agg(F.sum("events")).first()[0] >= 2
+
+
+def test_small_parts(spark, tmp_path):
+    import numpy as np
+
+    from sparkloom.functions import code, text
+    from sparkloom.operators import crawl
+
+    ids = ["123e4567-e89b-12d3-a456-426614174000", "no"]
+    assert [r[0] for r in spark.createDataFrame([(i,) for i in ids], "x string").select(text.is_uuid(F.col("x"))).collect()] == [True, False]
+    assert code.pattern_catalog(spark).count() == 31 and code.language_catalog(spark).count() == 22
+    blob = spark.createDataFrame([(bytearray(np.array([1, 2.5], "<f4").tobytes()),)], "b binary")
+    assert blob.select(vectors.from_bytes(F.col("b"), 2)).first()[0] == [1.0, 2.5]
+    pages = spark.createDataFrame([("a", 200, "<title> T </title>"), ("b", 404, "x"), ("c", 301, "")], "url string, status int, html string")
+    assert sorted((r.url, r.title) for r in crawl.fetched(pages).collect()) == [("a", "T"), ("c", None)]
+    t0 = dt.datetime(2024, 1, 1)
+    e = spark.createDataFrame([(1, t0), (1, t0 + dt.timedelta(seconds=400)), (2, t0)], "c int, ts timestamp")
+    assert [r.c for r in jobs.silent(e, "c", F.lit(t0 + dt.timedelta(seconds=500)), 300).collect()] == [2]
+    done = spark.createDataFrame([(1, True), (2, False)], "job_id long, ended boolean")
+    for _ in range(2):
+        jobs.append_history(done, str(tmp_path / "history"))
+    assert spark.read.parquet(str(tmp_path / "history")).count() == 1
