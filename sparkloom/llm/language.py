@@ -7,7 +7,8 @@ combines them with
 - a prior of its host, smoothed by the prior of its site (the last two labels of the host), which is smoothed by the
   languages of all pages.
 Shares and priors are sums of text posteriors over groups of pages, so they need no labels; a page's own posterior is
-taken out of its host's and its site's sums.
+taken out of its host's and its site's sums. The three values have two or three letters or none, which bounds the
+tables of shares that are broadcast.
 
 Defined results: null or empty markup gives a text without n-grams, whose likelihoods are equal; a null or broken
 address gives the empty host, suffix and segment; markup without a language counts as declaring the empty one; without
@@ -66,7 +67,6 @@ def _vector(sums: str, n: int) -> Column:
     return F.array(*(F.sum(F.element_at(sums, i + 1)) for i in range(n)))
 
 
-
 def identify(
     pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", lang_col: str = "lang", text_col: str = "text",
     most: int = 64, temper: float = 0.05, trust: float = 8.0,
@@ -104,7 +104,7 @@ def identify(
         F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([A-Za-z]{2})(?:[/?#]|$)", 1)).alias("segment"),
     )
     seen = rows.mapInArrow(run, "page_id long, likelihood array<double>, n_ngrams long, declared string, host string, segment string")
-    seen = seen.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("site", F.substring_index("host", ".", -2))
+    seen = seen.withColumn("suffix", F.regexp_extract("host", r"\.([a-z]{2,3})$", 1)).withColumn("site", F.substring_index("host", ".", -2))
     weighed = F.transform("likelihood", lambda x: x * temper)
     seen = seen.withColumn("likelihood", weighed).withColumn("peak", F.array_max("likelihood"))
     raised = F.transform("likelihood", lambda x: F.exp(x - F.col("peak")))
@@ -120,7 +120,7 @@ def identify(
         groups = seen.groupBy(name).agg(_vector("posterior", n).alias("held"), F.count("*").alias("size"))
         share = F.col("size") / F.lit(max(1, everywhere["pages"]))
         evidence = F.transform(F.arrays_zip("held", F.array(*map(F.lit, whole)).alias("of")), lambda x: F.log((x["held"] + share) / (x["of"] + 1)))
-        out = out.join(groups.select(name, evidence.alias(f"by_{name}")), name)
+        out = out.join(F.broadcast(groups.select(name, evidence.alias(f"by_{name}"))), name)  # 26**2 + 26**3 values at most
     # Priors: site smoothed by all pages, host smoothed by site, without the page itself.
     for name in ("site", "host"):
         groups = seen.groupBy(name).agg(_vector("posterior", n).alias(f"of_{name}"))
