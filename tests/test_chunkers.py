@@ -20,7 +20,7 @@ def test_summary_is_cut_in_characters(spark):
 
 def test_paragraphs_and_sentences():
     assert c.by_paragraphs("a\n\nb\n\nc", 4, 0) == ["a\n\nb", "c"]
-    assert c.by_paragraphs("One two. Three four! Five?", 10, 0) == ["One two.", "Three four", "!", "Five?"] or c.by_paragraphs("One two. Three four! Five?", 12, 0)
+    assert c.by_paragraphs("One two. Three four! Five?", 12, 0) == ["One two.", "Three four!", "Five?"]
     assert c.by_sentences("aaaa. bbbb. cccc.", 11, 0) == ["aaaa. bbbb.", "cccc."]
     assert c.by_sentences("x" * 25, 10, 2) == ["x" * 10, "x" * 10, "x" * 9]
 
@@ -41,7 +41,7 @@ def test_smart_split_keeps_all_text(text, size):
 
 
 def test_merge_small_and_kinds():
-    assert c.merge_small(["a", "b", "c" * 10, "d"], 5) == ["a\n\nb\n\n" + "c" * 10, "d"] or c.merge_small(["a", "b", "c" * 10, "d"], 5) == ["a\n\nb", "c" * 10, "d"]
+    assert c.merge_small(["a", "b", "c" * 10, "d"], 5) == ["a\n\nb\n\n" + "c" * 10, "d"]
     assert [c.kind_of(t) for t in ("```x```", "a\n```", "# T\nx", "# T\n1\n2\n3", "x")] == ["code", "code", "header", "content", "content"]
 
 
@@ -53,7 +53,7 @@ def test_markdown_sections_in_spark_and_python(spark):
     rows = c.sections(df, "k", "t").orderBy("k", "section").collect()
     for k, t in ((1, MD), (2, ""), (3, "no header"), (4, "# only")):
         assert [(r.header, r.level, r.body) for r in rows if r.k == k] == c.markdown_sections(t)
-    assert [r.start for r in rows if r.k == 1] == [0, 6, 17, 33, 49] or rows[1].start == 6
+    assert [r.start for r in rows if r.k == 1] == [0, 6, 17, 33, 49]
 
 
 def test_markdown_chunks_carry_their_path():
