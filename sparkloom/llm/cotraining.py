@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +46,27 @@ CUTS = {
     "stops": np.array([0, 0.003, 0.006, 0.01, 0.015, 0.02, 0.04, 0.1]),
 }
 _WIDTH = 16
+#: 1 capital, 2 digit, 3 sign, 4 full stop, 0 other; by Latin-1 code, the last one standing for all beyond.
+_KIND = np.zeros(256, np.int64)
+_KIND[65:91] = _KIND[0xC0:0xDF] = 1
+_KIND[48:58] = 2
+for _low, _high in ((33, 48), (58, 65), (91, 97), (123, 127)):
+    _KIND[_low:_high] = 3
+_KIND[46] = 4
 _PLACES = len(CUTS) * _WIDTH + 64 + 256  # intervals, then hashed languages, then hashed sources
 
 
+def _codes(text: str) -> np.ndarray:
+    """Code points of a text, a byte each where all fit into one."""
+    try:
+        return np.frombuffer(text.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def content(text: str) -> np.ndarray:
-    """Distinct n-gram buckets of a text; runs of spaces are one."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.concatenate(([32], codes, [32])).astype(np.uint64)
+    """Distinct n-gram buckets of a text with its case and signs."""
+    codes = np.concatenate(([32], _codes(text), [32])).astype(np.uint64)
     seen = np.zeros(1 << BITS, bool)
     seen[hashed(codes, ORDERS, BITS)] = True
     return np.flatnonzero(seen)
@@ -61,23 +76,22 @@ def metadata(text: str, lang: str | None, source: str | None, n_chars: int | Non
     """Active places of a document's metadata and layout."""
     words = text.split()
     lines = [x for x in text.split("\n") if x.strip()]
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = _codes(text)
     n = max(1, len(codes))
-    capital = ((codes >= 65) & (codes <= 90)) | ((codes >= 0xC0) & (codes <= 0xDE))
-    digit = (codes >= 48) & (codes <= 57)
-    sign = ((codes >= 33) & (codes <= 47)) | ((codes >= 58) & (codes <= 64)) | ((codes >= 91) & (codes <= 96)) | ((codes >= 123) & (codes <= 126))
+    kinds = np.bincount(_KIND[np.minimum(codes, 255)], minlength=5) / n
+    size = sum(map(len, words))
     values = {
         "chars": len(text) if n_chars is None else n_chars,
         "line": len(text) / max(1, len(lines)),
         "lines": len(lines),
         "repeats": 1 - len(set(lines)) / max(1, len(lines)),
         "variety": len(set(words)) / max(1, len(words)),
-        "stutter": sum(map(str.__eq__, words, words[1:])) / max(1, len(words)),
-        "word": sum(map(len, words)) / max(1, len(words)),
-        "capitals": float(capital.sum()) / n,
-        "digits": float(digit.sum()) / n,
-        "signs": float(sign.sum()) / n,
-        "stops": float((codes == 46).sum()) / n,
+        "stutter": sum(map(eq, words, words[1:])) / max(1, len(words)),
+        "word": size / max(1, len(words)),
+        "capitals": kinds[1],
+        "digits": kinds[2],
+        "signs": kinds[3] + kinds[4],
+        "stops": kinds[4],
     }
     places = [i * _WIDTH + int(np.searchsorted(CUTS[k], values[k])) for i, k in enumerate(CUTS)]
     places.append(len(CUTS) * _WIDTH + zlib.crc32((lang or "?").encode()) % 64)
