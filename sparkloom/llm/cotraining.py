@@ -26,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngrams import fit_logistic, hashed
+from .ngrams import fit_logistic
 from .shared import small_batches, stored
 from .toxicity import held_out, labelled
 
-ORDERS, BITS = (2, 3), 15
+BITS = 15
+#: Odd factors of the hashes of pairs and triples of characters, and the shift that leaves BITS bits.
+_FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
+_DOWN = np.uint32(32 - BITS)
 #: Upper ends of the intervals that layout values fall into.
 CUTS = {
     "chars": np.array([0, 40, 100, 200, 400, 800, 1600, 3200, 6400, 12800, 25600, 51200]),
@@ -66,9 +69,11 @@ def _codes(text: str) -> np.ndarray:
 
 def content(text: str) -> np.ndarray:
     """Distinct n-gram buckets of a text with its case and signs."""
-    codes = np.concatenate(([32], _codes(text), [32])).astype(np.uint64)
+    codes = np.concatenate(([32], _codes(text), [32])).astype(np.uint32)
+    pairs = codes[:-1] * _FACTORS[0] + codes[1:]
     seen = np.zeros(1 << BITS, bool)
-    seen[hashed(codes, ORDERS, BITS)] = True
+    seen[(pairs * _FACTORS[1]) >> _DOWN] = True
+    seen[((pairs[:-1] * _FACTORS[0] + codes[2:]) * _FACTORS[2]) >> _DOWN] = True
     return np.flatnonzero(seen)
 
 
