@@ -45,7 +45,7 @@ def batch_top_k(chunks: DataFrame, queries: DataFrame, k: int, block: int = 4096
     """The k nearest chunks of each query (query_id, vector): query_id, chunk_id, distance, rank.
 
     Both sides are dealt into blocks by hash. A pair of blocks is one matrix product of bounded size that gives out
-    at most k candidates a query; the best of all blocks follow by rank. Neither side is broadcast.
+    the k best of its block a query, ties cut by chunk_id; the best of all blocks follow by rank. Neither side is broadcast.
     """
     sides = [max(1, -(-df.count() // size)) for df, size in ((chunks, block), (queries, query_block))]
     left = queries.select("query_id", F.col("vector").alias("query_vector"), F.pmod(F.xxhash64("query_id"), F.lit(sides[1])).cast("int").alias("query_part"))
@@ -57,16 +57,25 @@ def batch_top_k(chunks: DataFrame, queries: DataFrame, k: int, block: int = 4096
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         a, b = (np.stack(x.to_numpy()).astype(np.float64) for x in (q["query_vector"], c["vector"]))
-        near = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T
         ids, asked = c["chunk_id"].to_numpy(), q["query_id"].to_numpy()
-        most = min(len(ids), k + drop_self + 8)  # some more than k: the product rounds
-        cut = np.argpartition(near, most - 1, axis=1)[:, :most]
-        row = np.repeat(np.arange(len(asked)), most)
-        far = np.sqrt(((a[row] - b[cut.ravel()]) ** 2).sum(1))
-        out = pd.DataFrame({"query_id": asked[row], "chunk_id": ids[cut.ravel()], "distance": far.round(6)})
+        squares = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :]
+        near = squares - 2 * a @ b.T
         if drop_self:
-            out = out[out["query_id"] != out["chunk_id"]]
-        return out.sort_values(["query_id", "distance", "chunk_id"]).groupby("query_id").head(k)
+            near[asked[:, None] == ids[None, :]] = np.inf
+        most = min(len(ids), k)
+        kth = np.partition(near, most - 1, axis=1)[:, most - 1]
+        # All that may tie with the k-th: the product rounds, and distances are compared at six digits.
+        off = 4 * (a.shape[1] + 4) * np.finfo(float).eps * squares.max(1)
+        limit = (np.sqrt(np.maximum(kth, 0) + off) + 2e-6) ** 2 + off
+        parts = []
+        for i in range(len(asked)):  # a query at a time, which bounds what a large tie takes
+            cut = np.flatnonzero(~(near[i] > limit[i]))
+            if drop_self:
+                cut = cut[ids[cut] != asked[i]]
+            far = np.sqrt(((a[i] - b[cut]) ** 2).sum(1)).round(6)
+            first = np.lexsort((ids[cut], far))[:k]
+            parts.append((np.full(len(first), asked[i]), ids[cut[first]], far[first]))
+        return pd.DataFrame(dict(zip(("query_id", "chunk_id", "distance"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
     keys = ["query_part", "part"]
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(find, "query_id long, chunk_id long, distance double")

@@ -19,6 +19,16 @@ def test_knn_and_dimension(spark):
         vectors.vector_of(c, 99)
 
 
+def test_knn_ties_go_to_the_smaller_ids(spark):
+    """100 equal vectors, and distances that differ only beyond six digits: the smaller ids, however many tie."""
+    made = [(i, [0.5, 0.5]) for i in range(199, 99, -1)] + [(i, [3.0, i * 1e-9]) for i in range(60, 20, -1)] + [(1, [9.0, 9.0])]
+    c = spark.createDataFrame(made, "chunk_id long, vector array<double>").coalesce(1)
+    q = spark.createDataFrame([(105, [0.5, 0.5]), (7, [3.0, 0.0])], "query_id long, vector array<double>")
+    for own, first in ((False, [100, 101, 102, 103, 104, 105]), (True, [100, 101, 102, 103, 104, 106])):
+        found = vectors.batch_top_k(c, q, 6, drop_self=own).orderBy("query_id", "rank").collect()
+        assert [(r.query_id, r.chunk_id, r.distance) for r in found] == [(7, i, 0.0) for i in range(21, 27)] + [(105, i, 0.0) for i in first]
+
+
 @pytest.mark.parametrize(("score", "want"), [(0.9, "strong"), (0.75, "strong"), (0.7, "moderate"), (0.55, "weak")])
 def test_strength(spark, score, want):
     assert spark.range(1).select(vectors.strength(F.lit(score))).first()[0] == want
