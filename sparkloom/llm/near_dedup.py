@@ -8,8 +8,8 @@
    buckets are searched exactly: members are dealt into blocks, each pair of blocks is one bounded piece of work, and
    only links that join two components there are given out.
 
-So no pair that shares a bucket is left out, and no step emits the pairs of a group. With 30 bands of 6 values a pair
-at the threshold of 0.85 shares no bucket with a probability below 1e-6.
+So no pair that shares a bucket is left out, and no step emits the pairs of a group. The bands follow from the threshold
+(`banding`; 30 of 6 values at 0.85), so that a pair at the threshold shares no bucket with a probability below 1e-6.
 
 Defined results: a null text is an empty one; texts without words link to nothing; texts with fewer words than a
 shingle has are one shingle; a null id is reported as null and counts as larger than any other; rows that repeat an id
@@ -19,6 +19,7 @@ share its component; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,6 +117,16 @@ class Signer:
         return _mix((rows * self.factors).sum(1, dtype=np.uint64) ^ self.band).view(np.int64)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands, and values a band, at which a pair at the threshold shares no band with a probability below 1e-6."""
+    for rows in range(6, 0, -1):
+        same = min(percent / 100, 0.99) ** rows
+        bands = max(30, math.ceil(math.log(1e-6) / math.log1p(-same)))
+        if bands <= 40:
+            break
+    return bands, rows
+
+
 def similar(a: int, b: int, common: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
@@ -238,9 +249,11 @@ def _search(members: DataFrame, texts: DataFrame, words: int, percent: int, bloc
     return rows.mapInArrow(run, "u binary, v binary")
 
 
-def near_groups(docs: DataFrame, percent: int = 85, words: int = 5, bands: int = 30, rows: int = 6, block: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = 85, words: int = 5, bands: int | None = None, rows: int | None = None, block: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept, text_hash."""
     small_batches(docs.sparkSession)
+    if bands is None or rows is None:
+        bands, rows = banding(percent)
     signed = stored(signatures(docs, words, bands, rows, id_col, text_col), "signed")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"))
     heads = signed.filter("keys is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))

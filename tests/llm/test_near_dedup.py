@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from sparkloom.llm.links import components
-from sparkloom.llm.near_dedup import Signer, near_dedup, near_groups, shingles
+from sparkloom.llm.near_dedup import Signer, banding, near_dedup, near_groups, shingles
 
 
 def sets(text):
@@ -68,6 +68,29 @@ def test_chains_stars_and_small_blocks(documents, rows):
     assert sorted(r.doc_id for r in out.collect()) == sorted(d for d, _, _, k in want if k)
 
 
+def test_lower_thresholds_find_all_links(documents, rows):
+    """Pairs just above the threshold; 30 bands of 6 miss a quarter of those at 0.6."""
+    rng = random.Random(8)
+    for percent, changed in ((60, 5), (80, 2)):
+        table = []
+        for i in range(80):
+            text = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+            table.append((2 * i, " ".join(text)))
+            for j in range(changed):
+                text[10 + 20 * j] = f"v{rng.randrange(10**6)}"
+            table.append((2 * i + 1, " ".join(text)))
+        want = sorted(expected(table, percent), key=repr)
+        assert sum(k for _, _, _, k in want) == 80
+        assert rows(near_groups(documents(*table), percent), "doc_id", "n_shingles", "component_id", "kept") == want
+
+
+def test_banding_misses_less_than_one_in_a_million():
+    assert banding(85) == (30, 6) and banding(80) == (35, 5)
+    for percent in range(20, 101):
+        bands, values = banding(percent)
+        assert (1 - (percent / 100) ** values) ** bands < 1e-6
+
+
 def test_threshold_is_met_exactly():
     a = [f"w{i}" for i in range(104)]
     assert len(shingles(" ".join(a))) == 100
