@@ -38,23 +38,23 @@ def visible_text(markup: str) -> str:
     return html.unescape(_HIDDEN.sub(" ", markup))
 
 
-def count_ngrams(docs: DataFrame, lang_col: str, text_col: str, most: int) -> tuple[list[str], np.ndarray]:
-    """Languages (the `most` commonest, in order of name) and the counts of each n-gram bucket in each."""
+def count_ngrams(docs: DataFrame, lang_col: str, text_col: str) -> tuple[list[str], np.ndarray]:
+    """All languages, in order of name, and the counts of each n-gram bucket in each: 128 KB a language."""
     known = docs.filter(F.col(lang_col).isNotNull())
-    top = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most).collect()
-    langs = sorted(r["lang"] for r in top)
+    langs = sorted(r["lang"] for r in known.select(F.col(lang_col).alias("lang")).distinct().collect())
     place = {x: i for i, x in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(langs), 1 << BITS), np.int64)
+        counts: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if lang in place:
-                    counts[place[lang]] += np.bincount(hashed(characters(text or ""), ORDERS, BITS), minlength=1 << BITS)
-        row, bucket = np.nonzero(counts)
-        for at in range(0, len(row), 50_000):
-            r, b = row[at : at + 50_000], bucket[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(counts[r, b])], ["row", "bucket", "n"])
+                if lang not in counts:
+                    counts[lang] = np.zeros(1 << BITS, np.int64)
+                counts[lang] += np.bincount(hashed(characters(text or ""), ORDERS, BITS), minlength=1 << BITS)
+        for lang, held in counts.items():
+            bucket = np.flatnonzero(held)
+            row = np.full(len(bucket), place[lang], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(bucket.astype(np.int32)), pa.array(held[bucket])], ["row", "bucket", "n"])
 
     parts = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "row int, bucket int, n long")
     total = parts.groupBy("row", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets rows at most
@@ -69,14 +69,14 @@ def _vector(sums: str, n: int) -> Column:
 
 def identify(
     pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", lang_col: str = "lang", text_col: str = "text",
-    most: int = 64, temper: float = 0.05, trust: float = 8.0,
+    temper: float = 0.05, trust: float = 8.0,
 ) -> DataFrame:
     """One row for each row of pages: page_id, lang, score, text_lang, declared, host, n_ngrams.
 
     temper: weight of an n-gram, as neighbouring n-grams aren't independent; trust: pages that a smoothed prior counts as.
     """
     small_batches(pages.sparkSession)
-    langs, counts = count_ngrams(docs, lang_col, text_col, most)
+    langs, counts = count_ngrams(docs, lang_col, text_col)
     n = len(langs)
     empty = F.lit(None).cast("string")
     if not n:

@@ -37,6 +37,15 @@ def test_host_decides_for_a_page_without_text(spark, documents):
     assert {r.page_id: r.lang for r in identify(p, docs).collect()}[60] == "fr"
 
 
+def test_all_of_many_languages_count(spark, documents):
+    """70 languages, the rarest of them too."""
+    langs = [f"{a}{b}" for a in "abcdefg" for b in "qrstuvwxyz"]
+    text = {k: " ".join(f"{k}{c}{k}" for c in "aeiou") for k in langs}
+    docs = documents(*[(100 * i + j, text[k], k, "s", 1) for i, k in enumerate(langs) for j in range(1 if i % 7 == 6 else 2)])
+    p = spark.createDataFrame([(i, None, f"<p>{text[k] * 9}</p>") for i, k in enumerate(langs)], "page_id long, url string, html string")
+    assert [r.text_lang for r in identify(p, docs).orderBy("page_id").collect()] == langs
+
+
 def test_repeated_pages_no_languages_and_empty(spark, documents):
     p, docs = make(spark, documents, [page("de", "de", "https://a.org/")] * 3)
     assert [r.lang for r in identify(p, docs).collect()] == ["de"] * 3
