@@ -4,7 +4,8 @@ Documents start in shards by hashed rank, so counts are at most one apart. Docum
 each round a group asks its members over to the shard that holds most of it; a move into a shard is granted while that
 shard has an unlinked document left to send back to where the mover came from. Such swaps keep all counts as they are,
 lower the number of links that cross shards, and need no lock. Groups larger than a shard fill one and go on to the
-next in later rounds. Rounds end when nothing moves, or after `rounds` of them.
+next in later rounds. Rounds end when nothing moves. They do end: members move only to a shard that holds at least as
+many of their group, so each swap raises the sum over groups and shards of held squared, which is bounded.
 
 Law `rows`: counts are at most one apart. Defined results: a null text has no bytes and is equal to other null texts
 (and to empty ones); null ids are kept; repeated rows are rows of their own; an empty table gives an empty result.
@@ -12,6 +13,8 @@ Law `rows`: counts are at most one apart. Defined results: a null text has no by
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +62,7 @@ def _round(linked: DataFrame, fillers: DataFrame, digits: int, pieces: int, turn
     return stored(linked, "linked"), stored(fillers.select(*_KEPT), "fillers")
 
 
-def assign_shards(docs: DataFrame, shards: int = 24, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard, group_size."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     nodes = stored(
@@ -81,7 +84,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, rounds: int = 12, id_col: s
     marked = stored(start.join(sizes, "gkey", "left"), "marked")
     linked = marked.filter("group_size is not null").select(*_KEPT, "gkey", "group_size")
     fillers = marked.filter("group_size is null").select(*_KEPT)
-    for turn in range(rounds):
+    for turn in count():
         moved = _round(linked, fillers, digits, pieces, turn)
         if moved is None:
             break

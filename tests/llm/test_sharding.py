@@ -31,3 +31,11 @@ def test_nulls_repeated_rows_and_empty_table(documents):
     found = assign_shards(docs, shards=3).collect()
     assert len(found) == 4 and max(Counter(r.shard for r in found).values()) == 2
     assert assign_shards(docs.limit(0)).count() == 0
+
+
+def test_rounds_until_nothing_moves(documents):
+    """A group that fills 15 of 24 shards, one more each round."""
+    docs = documents(*["hot"] * 150, *[f"text {i}" for i in range(90)])
+    found = assign_shards(docs).collect()
+    assert set(Counter(r.shard for r in found).values()) == {10}
+    assert len({r.shard for r in found if r.doc_id < 150}) == 15
