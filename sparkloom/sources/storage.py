@@ -38,7 +38,7 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that no plan reads any more. Other DataFrames are left alone."""
     for df in tables:
-        at = getattr(df, "stored_at", None)
+        at = vars(df).get("stored_at")
         if at:
             spark = df.sparkSession
             path = spark._jvm.org.apache.hadoop.fs.Path(at)
