@@ -1,10 +1,14 @@
 """Exact deduplication by Grace hashing.
 
 Rows are combined within each task first, so that a hot text leaves a task once. What is left is written to spill
-files in the shared folder and dealt out by a hash of the content. Each bucket goes through a table whose keys are
-whole normalised contents (a dict is an open-addressing table, and equal hashes are told apart by comparing every
-byte). A bucket that outgrows its memory hands whole sub-buckets on to the next level, which deals them out anew with
-another hash, until every bucket fits.
+files in the shared folder and dealt out by a hash of the content into as many buckets as its size asks for; where one
+job can't have that many, it is first dealt into folders that are taken one after another. Each bucket goes through a
+table whose keys are whole normalised contents (a dict is an open-addressing table, and equal hashes are told apart by
+comparing every byte). A bucket that outgrows its memory hands whole sub-buckets on to the next level, down to a single
+content if need be; the next level deals them out anew with another hash, until every bucket fits.
+
+Memory of a worker: `memory` bytes for its table, whatever the size or the skew of the input, as long as a single row
+is smaller. The copies of a content take no room in the table: each gives out a narrow link at once.
 
 Defined results: a null text is an empty one, and all empty texts are equal. Of equal texts the row with the most code
 points in its original text stays, then the smallest id (null last), then one of the identical rows. Rows that repeat
@@ -13,6 +17,7 @@ an id are rows of their own: one stays. Columns other than id and text are carri
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -25,8 +30,11 @@ from .shared import WHITE, small_batches, stored
 
 _WHITE = WHITE.encode()
 _LAST = (1 << 63) - 1
-#: What a leader stands for: rows counted, and the best row so far.
-_LEADER = "_row long, _leader long, _sha string, _hash long, _count long, _chars long, _id long"
+#: What a leader stands for: rows counted, the best row so far, and the bytes it takes in a table.
+_LEADER = "_row long, _leader long, _sha string, _hash long, _count long, _chars long, _id long, _bytes long"
+_WIDTH = 8
+#: Rows out of a bucket: a leader and its class, a class with its best row, a content for the next level.
+LINK, CLASS, OVER = 0, 1, 2
 
 
 def _digest(content: bytes) -> tuple[str, int]:
@@ -39,6 +47,11 @@ def _better(a: tuple, b: tuple) -> bool:
     return (-a[0], _LAST if a[1] is None else a[1], a[2]) < (-b[0], _LAST if b[1] is None else b[1], b[2])
 
 
+def _weight(content: bytes, values: tuple) -> int:
+    """About the bytes that a content and the columns of its best row take in a table."""
+    return 2 * len(content) + sum(len(v) for v in values if isinstance(v, (str, bytes, list, dict))) + 600
+
+
 def _combine(limit: int, columns: list[str], text: str, schema: pa.Schema):
     """Per task: a member row for every row, and a leader row with the best row's columns for every content held."""
 
@@ -47,7 +60,7 @@ def _combine(limit: int, columns: list[str], text: str, schema: pa.Schema):
         held = 0
 
         def leaders() -> pa.RecordBatch:
-            out = [(e[1][2], e[0], e[4], e[5], e[2], e[1][0], e[1][1], *e[3]) for e in table.values()]
+            out = [(e[1][2], e[0], e[4], e[5], e[2], e[1][0], e[1][1], _weight(c, e[3]), *e[3]) for c, e in table.items()]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
         for batch in batches:
@@ -66,9 +79,9 @@ def _combine(limit: int, columns: list[str], text: str, schema: pa.Schema):
                     e[2] += 1
                     if _better(mine, e[1]):
                         e[1], e[3] = mine, tuple(c[i] for c in carried)
-                out.append((rows[i], e[0], e[4], None, None, chars[i], ids[i]))
-            arrays = [pa.array([r[j] for r in out], schema.field(j).type) for j in range(7)]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.nulls(len(out), f.type) for f in list(schema)[7:]], schema=schema)
+                out.append((rows[i], e[0], e[4], None, None, chars[i], ids[i], None))
+            arrays = [pa.array([r[j] for r in out], schema.field(j).type) for j in range(_WIDTH)]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.nulls(len(out), f.type) for f in list(schema)[_WIDTH:]], schema=schema)
             if held > limit:
                 yield leaders()
                 table.clear()
@@ -79,72 +92,76 @@ def _combine(limit: int, columns: list[str], text: str, schema: pa.Schema):
     return run
 
 
+class _Out:
+    """Rows on their way out, in batches of bounded size."""
+
+    def __init__(self, schema: pa.Schema) -> None:
+        self.schema, self.rows, self.size = schema, [], 0
+
+    def add(self, row: tuple, size: int = 100) -> None:
+        self.rows.append(row)
+        self.size += size
+
+    def full(self) -> bool:
+        return self.size > (8 << 20) or len(self.rows) > 5000
+
+    def batch(self) -> pa.RecordBatch:
+        rows, self.rows, self.size = self.rows, [], 0
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(self.schema)], schema=self.schema)
+
+
 def _grace(level: int, limit: int, columns: list[str], text: str, schema: pa.Schema, keep_rows: bool):
-    """Per bucket: resolve the contents that fit, pass the sub-buckets that don't on with _over set.
+    """Per bucket: resolve the contents that fit, hand the others on to the next level.
 
-    Resolved contents give one row per leader (its class) or, with keep_rows, one row per class with its best row.
+    A content that was met is either held to the end, with all its copies, or handed on, with all copies met so far; its
+    later copies are handed on, too. With keep_rows a class carries its best row's columns and no links are given.
     """
     sub = lambda h: (h >> (4 * (level % 14))) & 15
-    at = columns.index(text)
+    at = _WIDTH + columns.index(text)
+    none = (None,) * len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[bytes, list] = {}
+        table: dict[bytes, list] = {}  # content: leader, count, best row, weight
         held, fits = 0, 16
-        passed: list[tuple] = []
-        passed_size = 0
+        out = _Out(schema)
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+        def give(leader: int, count: int, r: tuple, kind: int, slim: bool) -> None:
+            values = none if slim else r[_WIDTH:]
+            out.add((r[0], leader, r[2], r[3], count, *r[5:_WIDTH], *values, leader, kind), 100 if slim else r[_WIDTH - 1])
 
         for batch in batches:
-            values = [c.to_pylist() for c in batch.columns]
-            for r in zip(*values, strict=True):
-                if sub(r[3]) >= fits:
-                    passed.append((*r, None, True))
-                    passed_size += len(r[7 + at] or "")
-                    continue
-                content = (r[7 + at] or "").encode("utf-8", "surrogatepass").translate(None, _WHITE)
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                content = (r[at] or "").encode("utf-8", "surrogatepass").translate(None, _WHITE)
                 e = table.get(content)
-                if e is None:
-                    table[content] = [r, [r]]
-                    held += 3 * len(content) + 600
+                if e is not None:
+                    e[1] += r[4]
+                    if not keep_rows:
+                        out.add((r[0], r[1], *r[2:_WIDTH], *none, e[0], LINK))
+                    if _better((r[5], r[6], r[0]), (e[2][5], e[2][6], e[2][0])):
+                        held += r[_WIDTH - 1] - e[3]
+                        e[2], e[3] = r, r[_WIDTH - 1]
+                elif sub(r[3]) >= fits:
+                    give(r[1], r[4], r, OVER, False)
                 else:
-                    slim = (*r[:7], *(None for _ in columns))
-                    if _better((r[5], r[6], r[0]), (e[0][5], e[0][6], e[0][0])):
-                        e[0] = r
-                    e[1].append(slim)
-                    held += 300
-                while held > limit and fits > 1:
+                    table[content] = [r[1], r[4], r, r[_WIDTH - 1]]
+                    held += r[_WIDTH - 1]
+                while held > limit and fits and len(table) > 1:
                     fits -= 1
-                    for content in [c for c, x in table.items() if sub(x[0][3]) >= fits]:
-                        best, all_of = table.pop(content)
-                        held -= 3 * len(content) + 300 * (1 + len(all_of))
-                        for x in all_of:  # equal contents: any of them may carry the best row's columns on
-                            passed.append((*x[:7], *best[7:], None, True))
-                            passed_size += len(best[7 + at] or "")
-                            if passed_size > (8 << 20):
-                                yield batch_of(passed)
-                                passed, passed_size = [], 0
-            if passed_size > (8 << 20) or len(passed) > 5000:
-                yield batch_of(passed)
-                passed, passed_size = [], 0
-        if passed:
-            yield batch_of(passed)
-        out: list[tuple] = []
-        size = 0
-        for best, all_of in table.values():
-            count = sum(x[4] for x in all_of)
-            if keep_rows:
-                out.append((*best[:4], count, *best[5:], best[0], False))
-                size += len(best[7 + at] or "")
-            else:
-                none = (None,) * len(columns)
-                out += [(best[0], x[1], best[2], x[3], count, best[5], best[6], *none, best[0], False) for x in all_of]
-            if size > (8 << 20) or len(out) > 5000:
-                yield batch_of(out)
-                out, size = [], 0
-        if out:
-            yield batch_of(out)
+                    for gone in [c for c, x in table.items() if sub(x[2][3]) >= fits]:
+                        if len(table) == 1:
+                            break
+                        leader, count, best, weight = table.pop(gone)
+                        held -= weight
+                        give(leader, count, best, OVER, False)
+                        if out.full():
+                            yield out.batch()
+                if out.full():
+                    yield out.batch()
+        for leader, count, best, _ in table.values():
+            give(leader, count, best, CLASS, not keep_rows)
+            if out.full():
+                yield out.batch()
+        yield out.batch()
 
     return run
 
@@ -172,33 +189,46 @@ def _spill(docs: DataFrame, id_col: str, text: str, limit: int) -> tuple[DataFra
     return stored(spilled, "grace"), shown
 
 
-def _resolve(spill: DataFrame, shown: list[str], text: str, limit: int, keep_rows: bool) -> DataFrame:
-    schema = T.StructType([*spill.schema.fields, T.StructField("_keep", T.LongType()), T.StructField("_over", T.BooleanType())])
-    pending, done, level = spill.filter("_hash is not null"), None, 0
-    while True:
-        dealt = pending.repartition(F.xxhash64(F.lit(level), "_hash"))
+def _resolve(spill: DataFrame, shown: list[str], text: str, limit: int, keep_rows: bool, buckets: int) -> tuple[DataFrame, int]:
+    """Rows of all buckets and levels, and how many levels deep they went. buckets: most that one job is given."""
+    schema = T.StructType([*spill.schema.fields, T.StructField("_class", T.LongType()), T.StructField("_kind", T.IntegerType())])
+    least = spill.sparkSession.sparkContext.defaultParallelism
+    todo, done, deepest = [(spill.filter("_hash is not null"), 0)], [], 0
+    while todo:
+        pending, level = todo.pop()
+        size = pending.agg(F.sum("_bytes")).first()[0] or 0
+        wanted = -(-size // max(1, limit // 2))
+        if wanted > buckets:
+            parts = stored(pending.withColumn("_deal", F.pmod(F.xxhash64(F.lit(-1 - level), "_hash"), F.lit(16)).cast("int")), "dealt", by="_deal")
+            todo += [(parts.filter(F.col("_deal") == i).drop("_deal"), level + 1) for i in range(16)]
+            continue
+        dealt = pending.repartition(max(wanted, least), F.xxhash64(F.lit(level), "_hash"))
         out = stored(dealt.mapInArrow(_grace(level, limit, shown, text, _arrow(schema), keep_rows), schema), f"grace-{level}")
-        part = out.filter("not _over")
-        done = part if done is None else done.unionByName(part)
-        over = out.filter("_over").drop("_keep", "_over")
-        if over.isEmpty():
-            return done
-        pending, level = over, level + 1
+        done.append(out.filter(F.col("_kind") != OVER))
+        deepest = max(deepest, level)
+        over = out.filter(F.col("_kind") == OVER).drop("_class", "_kind")
+        if not over.isEmpty():
+            todo.append((over, level + 1))
+    return functools.reduce(DataFrame.unionByName, done), deepest
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = 48 << 20) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs. memory: bytes that one table may hold."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = 48 << 20, buckets: int = 20_000) -> DataFrame:
+    """The rows of docs that stay, with the columns of docs. memory: bytes that one table may hold; buckets: of one job."""
     columns = docs.columns
     spill, shown = _spill(docs, id_col, text_col, memory // 2)
-    done = _resolve(spill, shown, shown[columns.index(text_col)], memory, keep_rows=True)
+    done, _ = _resolve(spill, shown, shown[columns.index(text_col)], memory, True, buckets)
     return done.select(*(F.col(s).alias(c) for s, c in zip(shown, columns, strict=True)))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = 48 << 20) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = 48 << 20, buckets: int = 20_000) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     spill, shown = _spill(docs.select(id_col, text_col), id_col, text_col, memory // 2)
     text = shown[[id_col, text_col].index(text_col)]
-    found = _resolve(spill, shown, text, memory, keep_rows=False)
-    classes = found.select(F.col("_leader"), F.col("_keep").alias("_keep"), F.col("_id").alias("keep_id"), F.col("_count").alias("group_size"))
+    found, levels = _resolve(spill, shown, text, memory, False, buckets)
+    classes = found.filter(F.col("_kind") == CLASS).select("_class", F.col("_row").alias("_keep"), F.col("_id").alias("keep_id"), F.col("_count").alias("group_size"))
+    links = found.select("_leader", "_class")  # a class is its own leader
+    for _ in range(levels):  # a leader's class may have been handed on and found another class at a later level
+        links = links.join(found.select(F.col("_leader").alias("_class"), F.col("_class").alias("_next")), "_class").select("_leader", F.col("_next").alias("_class"))
     members = spill.filter("_hash is null").select("_row", "_leader", F.col("_id").alias("doc_id"), F.col("_sha").alias("text_sha256"))
-    return members.join(classes, "_leader").select("doc_id", "keep_id", "group_size", (F.col("_row") == F.col("_keep")).alias("kept"), "text_sha256")
+    named = members.join(links.join(classes, "_class"), "_leader")
+    return named.select("doc_id", "keep_id", "group_size", (F.col("_row") == F.col("_keep")).alias("kept"), "text_sha256")

@@ -1,4 +1,4 @@
-"""Helpers that the operators of this folder share: shared storage, batch sizes, prefix sums."""
+"""Helpers that the operators of this folder share: shared storage, batch sizes, prefix sums, joins on hot keys."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import shared_dir, stored
+from ..sources.storage import discard, shared_dir, stored
 
-__all__ = ["WHITE", "WORD", "hex_digits", "prefix_sums", "shared_dir", "small_batches", "stored"]
+__all__ = ["WHITE", "WORD", "discard", "hex_digits", "prefix_sums", "running_sums", "shared_dir", "small_batches", "spread_join", "stored"]
 
 #: White space of the text contracts: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -30,16 +30,73 @@ def hex_digits(rows: int, per_bucket: int = 512) -> int:
     return n
 
 
-def prefix_sums(df: DataFrame, parts: Sequence[str], bucket: Column, order: Sequence[str], value: Column, name: str) -> DataFrame:
-    """Add `name`: the sum of value over the rows of the same parts that come before, in order of (bucket, order).
+def bucket_offsets(totals: DataFrame, parts: Sequence[str], digits: int) -> DataFrame:
+    """parts, _bucket, _offset from parts, _bucket (hex digits), _total: the totals of the buckets before.
 
-    No task holds a whole part: bucket totals give offsets, and rows are summed within their own bucket only.
+    Many buckets are summed in two levels, so that a window holds about the square root of their number.
     """
-    rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    before = lambda *by: Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    if digits <= 3:
+        return totals.withColumn("_offset", F.coalesce(F.sum("_total").over(before(*parts)), F.lit(0))).drop("_total")
+    fine = totals.withColumn("_high", F.substring("_bucket", 1, digits // 2))
+    high = fine.groupBy(*parts, "_high").agg(F.sum("_total").alias("_sum"))
+    ahead = Window.partitionBy(*parts).orderBy("_high").rowsBetween(Window.unboundedPreceding, -1)
+    high = high.select(*parts, "_high", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_base"))
+    fine = fine.withColumn("_in", F.coalesce(F.sum("_total").over(before(*parts, "_high")), F.lit(0)))
+    return fine.join(high, [*parts, "_high"]).select(*parts, "_bucket", (F.col("_base") + F.col("_in")).alias("_offset"))
+
+
+def prefix_sums(df: DataFrame, parts: Sequence[str], key: str, digits: int, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Add `name`: the sum of value over the rows of the same parts that come before, in order of the hex string `key`.
+
+    No task holds a whole part: totals of buckets (the first digits of the key) give offsets, and rows are summed within
+    their own bucket only, in order of (key, order).
+    """
+    rows = df.withColumn("_bucket", F.substring(key, 1, digits)).withColumn("_value", value)
     keys = [*parts, "_bucket"]
-    totals = rows.groupBy(*keys).agg(F.sum("_value").alias("_total"))
-    before = Window.partitionBy(*parts).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-    local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = bucket_offsets(rows.groupBy(*keys).agg(F.sum("_value").alias("_total")), parts, digits)
+    local = Window.partitionBy(*keys).orderBy(key, *order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_local", F.coalesce(F.sum("_value").over(local), F.lit(0)))
     return rows.join(offsets, keys).withColumn(name, F.col("_offset") + F.col("_local")).drop("_bucket", "_value", "_local", "_offset")
+
+
+def running_sums(df: DataFrame, order: Sequence[Column], values: dict[str, str]) -> DataFrame:
+    """Add for each name the sum of a column over the rows before in a total order, and as name_all the sum of all rows.
+
+    Rows are dealt by ranges of the order; a window over all ranges sees one row for each of them.
+    """
+    rows = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ranges = rows.groupBy("_part").agg(*(F.sum(v).alias(f"_of_{n}") for n, v in values.items()))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(F.lit(0))
+    sums = [F.coalesce(F.sum(f"_of_{n}").over(ahead), F.lit(0)).alias(f"_at_{n}") for n in values]
+    ranges = ranges.select("_part", *sums, *(F.sum(f"_of_{n}").over(every).alias(f"{n}_all") for n in values))
+    local = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("*", *(F.coalesce(F.sum(v).over(local), F.lit(0)).alias(f"_in_{n}") for n, v in values.items()))
+    rows = rows.join(ranges, "_part")
+    return rows.select(*df.columns, *((F.col(f"_at_{n}") + F.col(f"_in_{n}")).alias(n) for n in values), *(f"{n}_all" for n in values))
+
+
+def spread_join(rows: DataFrame, side: DataFrame, keys: Sequence[str], size: str, total: int, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """rows joined with side on keys (not null), where a few keys may hold most of rows. Adds side's other columns.
+
+    side has one row a key; its column `size` says how many rows have that key, `total` how many rows there are. Keys
+    with more than a thousandth of all rows are fewer than 1,000: these rows of side are broadcast, and the rows that
+    have found one go through the shuffle of the rest spread out by the columns `by`.
+    """
+    limit = max(1, total // 1000)
+    values = [c for c in side.columns if c not in keys]
+
+    def part(which: Column, name: str) -> DataFrame:
+        return side.filter(which).select(*(F.col(k).alias(f"_{name}_{k}") for k in keys), F.struct(*values).alias(f"_{name}"))
+
+    hot, cold = part(F.col(size) > limit, "hot"), part(F.col(size) <= limit, "cold").withColumn("_rest", F.lit(0).cast("long"))
+    match = lambda name: [F.col(k) == F.col(f"_{name}_{k}") for k in keys]
+    out = rows.join(F.broadcast(hot), match("hot"), "left")
+    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*by), F.lit(1 << 20)) + 1).cast("long")
+    out = out.withColumn("_salt", salt).join(cold, [*match("cold"), F.col("_salt") == F.col("_rest")], "left")
+    found = F.coalesce("_hot", "_cold")
+    out = out.withColumn("_found", found)
+    if how == "inner":
+        out = out.filter(F.col("_found").isNotNull())
+    return out.select(*rows.columns, *(F.col("_found")[v].alias(v) for v in values))

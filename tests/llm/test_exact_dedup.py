@@ -59,9 +59,9 @@ def test_buckets_that_outgrow_their_memory_recurse(documents, rows, monkeypatch)
     monkeypatch.setattr(exact_dedup, "_grace", lambda level, *a: levels.append(level) or inner(level, *a))
     table = [(i, f"text {i % 60} " * 20) for i in range(300)]
     docs = documents(*table)
-    assert rows(exact_groups(docs, memory=4000), *COLUMNS) == expected(table)
+    assert rows(exact_groups(docs, memory=2000), *COLUMNS) == expected(table)
     assert max(levels) > 0
-    assert len(keep(docs, memory=4000).collect()) == 60
+    assert len(keep(docs, memory=2000).collect()) == 60
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
@@ -70,3 +70,28 @@ def test_any_texts(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = sorted((tuple(r) for r in exact_groups(docs).select(*COLUMNS).collect()), key=repr)
     assert found == expected(list(enumerate(texts)))
+
+
+def test_a_bucket_hands_on_all_that_it_cannot_hold():
+    """Distinct contents that all lie in sub-bucket 0: the table stays small, and no content is in two places."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    fields = [*T.StructType.fromDDL(exact_dedup._LEADER).fields, T.StructField("_c0", T.StringType())]
+    inside = exact_dedup._arrow(T.StructType(fields))
+    outside = exact_dedup._arrow(T.StructType([*fields, T.StructField("_class", T.LongType()), T.StructField("_kind", T.IntegerType())]))
+    rows = [(i, i, "", 16 * (i % 500), 1, 9, i, 700, f"text {i % 500}") for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(inside)], schema=inside)
+    out = pa.Table.from_batches(list(exact_dedup._grace(0, 4000, ["_c0"], "_c0", outside, True)([batch]))).to_pylist()
+    held = [r for r in out if r["_kind"] == exact_dedup.CLASS]
+    passed = [r for r in out if r["_kind"] == exact_dedup.OVER]
+    assert 1 <= len(held) and 700 * len(held) <= 4000
+    assert sum(r["_count"] for r in held + passed) == 2000
+    assert not {r["_c0"] for r in held} & {r["_c0"] for r in passed}
+
+
+def test_more_buckets_than_a_job_may_have(documents, rows):
+    table = [(i, f"text {i % 40} " * 20) for i in range(200)]
+    docs = documents(*table)
+    assert rows(exact_groups(docs, memory=20_000, buckets=2), *COLUMNS) == expected(table)
+    assert len(keep(docs, memory=20_000, buckets=2).collect()) == 40
