@@ -1,13 +1,17 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, in flat neighbour arrays.
 
 Equal vectors are one node that keeps the smallest ids it stands for, as many as a search may return, so a hot vector
-neither grows a shard nor cuts the graph. Nodes are dealt into shards of bounded size by a hash of the vector; each
-shard's graph is one row of a stored table. Queries go to every shard in blocks, each (shard, block) is one bounded
-piece of work, and the best k of all shards are merged. Distances given are Euclidean, in double precision.
+neither grows a shard nor cuts the graph. Nodes are dealt into shards by a hash of the vector: a shard for each core, as
+long as shards stay above `least_rows`, and never more than `shard_rows` nodes a shard, which bounds a worker's memory.
+Each shard's graph is one row of a stored table. Queries go to every shard in blocks, each (shard, block) is one bounded
+piece of work, and the best k of all shards are merged. All distances, in the graph and in the result, are Euclidean
+ones of the original vectors, summed over differences in double precision; so vectors far from the origin or of mixed
+scale lose nothing, and whatever the search has met is ranked exactly.
 
 Defined results: vectors that are null or zero, hold null or non-finite components, or differ in length from most
 others take no part, neither as queries nor as candidates; ties go to the smaller id; a query's own row is no candidate,
-other rows with the same vector are. With fewer candidates than k all are given; an empty table gives an empty result.
+other rows are, also those with the same vector or the same id. Rows that repeat an id are queries of their own, each
+with its k results. With fewer candidates than k all are given; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +32,7 @@ class Graph:
     """Layers of neighbour rows over vectors; -1 fills a row up. Layer 0 holds all nodes in order."""
 
     def __init__(self, vectors: np.ndarray, width: int = 16, beam: int = 80, seed: int = 0) -> None:
-        self.v = np.ascontiguousarray(vectors, np.float32)
-        self.norms = np.einsum("ij,ij->i", self.v, self.v)
+        self.v = np.ascontiguousarray(vectors, np.float64)
         n = len(self.v)
         self.width, self.beam = width, beam
         draws = np.random.default_rng(seed).random(n)
@@ -52,14 +55,18 @@ class Graph:
     def of(cls, vectors: np.ndarray, levels: np.ndarray, rows: list[np.ndarray], layers: list[np.ndarray], entry: int) -> Graph:
         self = cls.__new__(cls)
         self.v, self.levels, self.rows, self.layers, self.entry = vectors, levels, rows, layers, entry
-        self.norms = np.einsum("ij,ij->i", vectors, vectors)
         self.stamp, self.turn = np.zeros(len(vectors), np.int32), 0
         return self
 
+    def away(self, q: np.ndarray, nodes: np.ndarray | list[int]) -> np.ndarray:
+        """Squared distances of nodes from q."""
+        x = self.v[nodes] - q
+        return np.einsum("ij,ij->i", x, x)
+
     def _beam(self, q: np.ndarray, starts: list[tuple[float, int]], beam: int, level: int) -> list[tuple[float, int]]:
-        """The nearest nodes of a layer (squared distance less the query's norm, node), by best-first search."""
+        """The nearest nodes of a layer (squared distance, node), by best-first search."""
         self.turn += 1
-        stamp, turn, v, norms, layer, row = self.stamp, self.turn, self.v, self.norms, self.layers[level], self.rows[level]
+        stamp, turn, layer, row = self.stamp, self.turn, self.layers[level], self.rows[level]
         for _, i in starts:
             stamp[i] = turn
         todo = list(starts)
@@ -78,7 +85,7 @@ class Graph:
             if not len(near):
                 continue
             stamp[near] = turn
-            far = norms[near] - 2 * (v[near] @ q)
+            far = self.away(q, near)
             if len(best) >= beam:
                 good = far < -best[0][0]
                 near, far = near[good], far[good]
@@ -96,7 +103,9 @@ class Graph:
         """Of nodes in order of distance, those nearer to the new node than to any chosen before; then the nearest."""
         if len(nodes) <= most:
             return nodes
-        near = self.norms[nodes][:, None] + self.norms[nodes][None, :] - 2 * (self.v[nodes] @ self.v[nodes].T)
+        around = self.v[nodes] - self.v[nodes[0]]  # near the origin, where the product below loses nothing
+        norms = np.einsum("ij,ij->i", around, around)
+        near = norms[:, None] + norms[None, :] - 2 * (around @ around.T)
         chosen: list[int] = []
         closest = np.full(len(nodes), np.inf)
         for i in range(len(nodes)):
@@ -116,14 +125,14 @@ class Graph:
             self.entry = i
             return
         q = self.v[i]
-        start = [(float(self.norms[self.entry] - 2 * (self.v[self.entry] @ q)), self.entry)]
+        start = [(float(self.away(q, [self.entry])[0]), self.entry)]
         high = int(self.levels[self.entry])
         for at in range(high, level, -1):
             start = self._beam(q, start, 1, at)
         for at in range(min(level, high), -1, -1):
             start = self._beam(q, start, self.beam, at)
             nodes = np.array([j for _, j in start], np.int32)
-            far = np.array([d for d, _ in start], np.float32) + self.norms[i]
+            far = np.array([d for d, _ in start])
             chosen = self._choose(nodes, far, self.width)
             layer, row = self.layers[at], self.rows[at]
             layer[row[i], : len(chosen)] = chosen
@@ -134,7 +143,7 @@ class Graph:
                     own[free[0]] = i
                     continue
                 others = np.append(own, np.int32(i))
-                away = self.norms[others] + self.norms[j] - 2 * (self.v[others] @ self.v[j])
+                away = self.away(self.v[j], others)
                 order = np.argsort(away, kind="stable")
                 kept = self._choose(others[order], away[order], max(4, len(own) * 3 // 4))
                 own[:] = -1
@@ -142,14 +151,18 @@ class Graph:
         if level > high:
             self.entry = i
 
-    def search(self, q: np.ndarray, count: int, beam: int) -> list[int]:
+    def met(self, q: np.ndarray, beam: int) -> list[tuple[float, int]]:
+        """The whole beam of a search, nearest first: (squared distance, node)."""
         if self.entry < 0:
             return []
-        q = q.astype(np.float32)
-        start = [(float(self.norms[self.entry] - 2 * (self.v[self.entry] @ q)), self.entry)]
+        q = np.asarray(q, np.float64)
+        start = [(float(self.away(q, [self.entry])[0]), self.entry)]
         for at in range(int(self.levels[self.entry]), 0, -1):
             start = self._beam(q, start, 1, at)
-        return [i for _, i in self._beam(q, start, max(beam, count), 0)][:count]
+        return self._beam(q, start, beam, 0)
+
+    def search(self, q: np.ndarray, count: int, beam: int) -> list[int]:
+        return [i for _, i in self.met(q, max(beam, count))][:count]
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -161,17 +174,22 @@ def _flat(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
 
 
-def build_index(vectors: DataFrame, keep: int, shard_rows: int, width: int, beam: int) -> tuple[DataFrame, int]:
+def build_index(vectors: DataFrame, keep: int, shard_rows: int, least_rows: int, width: int, beam: int) -> tuple[DataFrame, int]:
     """vectors: vec_id, vec; usable ones only. A row for each shard; the number of shards."""
     rows = vectors.withColumn("hash", F.xxhash64("vec"))
-    nth = F.row_number().over(Window.partitionBy("hash", "vec").orderBy("vec_id"))
-    few = rows.withColumn("nth", nth).filter(F.col("nth") <= keep)
-    nodes = stored(few.groupBy("hash", "vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "nodes")
-    shards = max(1, -(-nodes.count() // shard_rows))
+    # Few ids a part first, so that a hot vector's rows are never one group.
+    part = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(64))
+    for by in (["hash", "vec", "part"], ["hash", "vec"]):
+        rows = rows.withColumn("part", part) if "part" in by else rows.drop("part")
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))
+        rows = rows.withColumn("nth", nth).filter(F.col("nth") <= keep).drop("nth")
+    nodes = stored(rows.groupBy("hash", "vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "nodes")
+    count, cores = nodes.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-count // shard_rows), min(cores, -(-count // least_rows)))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("hash", ignore_index=True)
-        graph = Graph(np.stack(part["vec"].to_numpy()).astype(np.float32), width, beam)
+        graph = Graph(np.stack(part["vec"].to_numpy()), width, beam)
         ends = np.cumsum([len(x) for x in part["ids"]])
         out = {
             "shard": [int(part["shard"].iloc[0])],
@@ -191,7 +209,7 @@ def build_index(vectors: DataFrame, keep: int, shard_rows: int, width: int, beam
 
 def open_graph(row: pd.Series, dim: int) -> tuple[Graph, np.ndarray, np.ndarray]:
     """The graph of an index row, the ids of its nodes end to end, and where each node's ids end."""
-    vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, dim)
+    vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, dim)
     levels = np.frombuffer(row["levels"], np.int32)
     rows, layers = [], []
     for level, blob in enumerate(row["layers"]):
@@ -204,17 +222,20 @@ def open_graph(row: pd.Series, dim: int) -> tuple[Graph, np.ndarray, np.ndarray]
 
 
 def nearest(
-    table: DataFrame, every: int = 100, k: int = 10, shard_rows: int = 4096, width: int = 16, beam: int = 80, search_beam: int = 120, block: int = 512, id_col: str = "vec_id", vector_col: str = "embedding"
-) -> DataFrame:
+    table: DataFrame, every: int = 100, k: int = 10, shard_rows: int = 65_536, least_rows: int = 4096, width: int = 16, beam: int = 80, search_beam: int = 120, block: int = 2048,
+    id_col: str = "vec_id", vector_col: str = "embedding",
+) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest other rows."""
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vec"))
+    whole = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0))  # -0.0 becomes 0.0
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("vec"))
     common = rows.filter("vec_id is not null and vec is not null").groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim = common["dim"] if common else 0
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vec"), dim))
-    index, shards = build_index(rows, k + 1, shard_rows, width, beam)
-    queries = rows.filter(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-queries.count() // block))
-    asked = queries.select(F.col("vec_id").alias("query_id"), "vec", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    index, shards = build_index(rows, k + 1, min(shard_rows, max(1, (256 << 20) // (8 * max(1, dim)))), least_rows, width, beam)
+    asked = rows.filter(F.col("vec_id") % every == 0).withColumn("query", F.monotonically_increasing_id())
+    asked = stored(asked.select("query", F.col("vec_id").alias("query_id"), "vec"), "queries")
+    blocks = max(1, -(-asked.count() // block))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     parts = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -222,17 +243,19 @@ def nearest(
         out: list[tuple] = []
         if len(these) and len(shard):
             graph, ids, ends = open_graph(shard.iloc[0], dim)
-            exact = graph.v.astype(np.float64)
-            for query, vec in zip(these["query_id"], these["vec"], strict=True):
+            for query, query_id, vec in zip(these["query"], these["query_id"], these["vec"], strict=True):
                 q = np.asarray(vec, np.float64)
-                nodes = graph.search(q, k + 1, search_beam)
-                far = np.sqrt(((exact[nodes] - q) ** 2).sum(1))
-                found = [(d, int(x)) for d, i in zip(far.tolist(), nodes, strict=True) for x in ids[ends[i - 1] if i else 0 : ends[i]] if x != query]
-                out += [(int(query), x, d) for d, x in heapq.nsmallest(k, found)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    hits = asked.groupBy("shard", "block").cogroup(parts.groupBy("shard", "block")).applyInPandas(find, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+                found = []
+                for d, i in graph.met(q, max(search_beam, k + 1)):
+                    here = ids[ends[i - 1] if i else 0 : ends[i]].tolist()
+                    if d == 0 and query_id in here:
+                        here.remove(query_id)  # the query's own row, once
+                    found += [(math.sqrt(d), x) for x in here]
+                out += [(query, query_id, x, d) for d, x in heapq.nsmallest(k, found)]
+        return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"]).astype({"query": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    hits = asked.groupBy("shard", "block").cogroup(parts.groupBy("shard", "block")).applyInPandas(find, "query long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -51,3 +51,30 @@ def test_graph_finds_every_node_of_a_line():
     g = Graph(v, width=6, beam=20)
     assert all(g.search(v[i], 1, 20)[0] == i for i in range(300))
     assert len(g.layers) > 1 and g.layers[0].shape == (300, 12)
+
+
+def recall(spark, v, **how):
+    v = np.asarray(v, float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = nearest(df, every=50, least_rows=500, **how).toPandas()
+    want = pd.DataFrame(list(brute_force(list(range(len(v))), v, 50)), columns=["query_id", "rank", "vec_id", "score"])
+    both = want.merge(got, on=["query_id", "vec_id"])
+    assert (both["score_x"] - both["score_y"]).abs().max() <= 1e-9 * max(1.0, want["score"].max())
+    return len(both) / len(want)
+
+
+def test_recall_away_from_the_origin_and_over_mixed_scales(spark):
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(1500, 24))
+    for shift in (0, 1e3, 1e4, 1e8):
+        assert recall(spark, v + shift) >= 0.95
+    mixed = np.concatenate([v[:500], v[500:1000] * 1e-4 + 1e5, v[1000:] * 1e4 - 1e6])
+    assert recall(spark, mixed) >= 0.95
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    ids = [100, 100, 7, 8, 8, 9]
+    got = [tuple(r) for r in nearest(table(spark, ids, [[1, 0], [1, 0], [2, 0], [3, 0], [3, 0], [1, 1]])).collect()]
+    assert sorted(got) == sorted([(100, 1, 100, 0.0), (100, 2, 7, 1.0), (100, 3, 9, 1.0), (100, 4, 8, 2.0), (100, 5, 8, 2.0)] * 2)
+    got = [tuple(r) for r in nearest(table(spark, [100, 100, 7], [[1, 0], [5, 0], [2, 0]])).collect()]
+    assert sorted(got) == [(100, 1, 7, 1.0), (100, 1, 7, 3.0), (100, 2, 100, 4.0), (100, 2, 100, 4.0)]
