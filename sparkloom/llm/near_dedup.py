@@ -5,30 +5,36 @@
 2. In each bucket (band, key) one member is the centre; candidate edges go from the centre to the others, so a bucket
    gives fewer edges than it has members. Candidates are confirmed on full sets and joined into components.
 3. A bucket whose members still are in several components may hide links between members that aren't its centre. Such
-   buckets are searched exactly: members are dealt into blocks, each pair of blocks is one bounded piece of work, and
-   only links that join two components there are given out.
+   buckets are searched exactly: members are dealt by the size of their sets into classes, of which only neighbours can
+   be similar, and within a class into blocks; each pair of blocks is one bounded piece of work, and only links that
+   join two components there are given out. Buckets of several bands with the same members are searched once.
 
 So no pair that shares a bucket is left out, and no step emits the pairs of a group. The bands follow from the threshold
 (`banding`; 30 of 6 values at 0.85), so that a pair at the threshold shares no bucket with a probability below 1e-6.
-
-Defined results: a null text is an empty one; texts without words link to nothing; texts with fewer words than a
-shingle has are one shingle; a null id is reported as null and counts as larger than any other; rows that repeat an id
-share its component; an empty table gives an empty result.
+Sets are computed once more for one row of each node that shares a bucket, and shipped as sorted 64-bit hashes; a centre
+with many candidates is dealt out in several copies. Joins on keys that may be hot are spread (`shared.spread_join`).
+
+Defined results: a null text is an empty one; texts without words link to nothing; texts with fewer words than a shingle
+has are one shingle; a null id is reported as null and counts as larger than any other; an empty table gives an empty
+result. In near_groups rows that repeat an id (not null) are one document: the id links them, so they share one
+component. In near_dedup they are documents of their own, and of each component the rows stay that equal its first one
+(smallest id, null last, then text hash) in id and text.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .links import components
-from .shared import small_batches, stored
+from .shared import small_batches, spread_join, stored
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -131,27 +137,68 @@ def similar(a: int, b: int, common: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
+def digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
 def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set; of the id where it is empty), keys (null where it is empty), text_hash."""
+    """row, doc_id, n_shingles, node (digest of the set; a row's own where it is empty), keys (null where it is empty), text_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
         for batch in batches:
-            ids, sizes, nodes, keys = batch.column(0).to_pylist(), [], [], []
-            for doc_id, text in zip(ids, batch.column(1).to_pylist(), strict=True):
+            places, sizes, nodes, keys = batch.column(3).to_pylist(), [], [], []
+            for place, text in zip(places, batch.column(1).to_pylist(), strict=True):
                 found = shingles(text or "", words)
                 sizes.append(len(found))
-                nodes.append(hashlib.blake2b(found.tobytes() if len(found) else f"empty {doc_id}".encode(), digest_size=16).digest())
+                nodes.append(digest(found) if len(found) else hashlib.blake2b(f"empty {place}".encode(), digest_size=16).digest())
                 keys.append(signer(found) if len(found) else None)
-            arrays = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "node", "keys", "text_hash"])
+            arrays = [batch.column(3), batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "n_shingles", "node", "keys", "text_hash"])
+
+    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"), F.monotonically_increasing_id().alias("row"))
+    return rows_.mapInArrow(run, "row long, doc_id long, n_shingles long, node binary, keys array<long>, text_hash long")
+
+
+def node_sets(docs: DataFrame, wanted: DataFrame, words: int, text_col: str, remember: int = 200_000) -> DataFrame:
+    """node, set: sorted hashes of each wanted node (node, text_hash: the hash of one of its texts).
+
+    Copies of a text leave a task once (as long as it remembers them), and hashes that agree by chance are told apart by
+    the digest of the set.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            if len(seen) > remember:
+                seen.clear()
+            new = []
+            for h in batch.column(0).to_pylist():
+                new.append(h not in seen)
+                seen.add(h)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            same = pa.array([digest(f) == n for f, n in zip(found, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(same), pa.array([f.tobytes() for f in found], pa.binary()).filter(same)], ["node", "set"])
 
-    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    return rows_.mapInArrow(run, "doc_id long, n_shingles long, node binary, keys array<long>, text_hash long")
+    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.mapInArrow(first, "text_hash long, text string").join(wanted, "text_hash").select("node", "text")
+    return stored(texts.mapInArrow(run, "node binary, set binary").dropDuplicates(["node"]), "sets")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs u, v whose sets are similar."""
+def _set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, copies: int = 256) -> DataFrame:
+    """The pairs u, v whose sets are similar, of pairs centre, node, count (how many nodes their largest bucket has).
+
+    A centre's set is dealt out in a copy for every `copies` members of its largest bucket; a node has no more centres
+    than there are bands.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ours = None, None
@@ -160,23 +207,26 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
             good = []
             for i in range(len(u)):
                 if u[i] != last:
-                    last, ours = u[i], shingles(a[i], words)
-                other = shingles(b[i], words)
+                    last, ours = u[i], _set(a[i])
+                other = _set(b[i])
                 at = np.searchsorted(ours, other)
                 common = int((ours[np.minimum(at, len(ours) - 1)] == other).sum())
                 good.append(similar(len(ours), len(other), common, percent))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
 
-    other = texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
-    own = texts.select(F.col("node").alias("u"), F.col("text").alias("a"))
-    rows = pairs.join(other, "v").join(own, "u").select("u", "v", "a", "b").sortWithinPartitions("u")
+    parts = F.ceil(F.col("count") / copies).cast("int")
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    centres = pairs.groupBy("centre").agg(F.max(parts).alias("parts"))
+    centres = centres.join(sets.withColumnsRenamed({"node": "centre", "set": "a"}), "centre").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = pairs.join(sets.withColumnRenamed("set", "b"), "node").join(centres, ["centre", "part"])
+    rows = rows.select(F.col("centre").alias("u"), F.col("node").alias("v"), "a", "b").sortWithinPartitions("u")
     return rows.mapInArrow(run, "u binary, v binary")
 
 
-def _links_of_block(names: list[bytes], comps: list[bytes], halves: list[int], texts: list[str], words: int, percent: int, cross: bool) -> list[tuple[bytes, bytes]]:
-    """Links between members of different components; with cross, of different halves only. A spanning set of them."""
-    sets = [shingles(t, words) for t in texts]
+def _links_of_block(names: list[bytes], comps: list[bytes], halves: list[bool], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between members of different components; where there are two halves, between them only. A spanning set."""
+    cross = len(set(halves)) > 1
     sizes = np.array([len(s) for s in sets])
     flat, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), sizes)
@@ -212,26 +262,44 @@ def _links_of_block(names: list[bytes], comps: list[bytes], halves: list[int], t
     return out
 
 
-def _search(members: DataFrame, texts: DataFrame, words: int, percent: int, block: int) -> DataFrame:
-    """Links within buckets that still hold several components. members: band, key, node, comp, count."""
-    blocks = F.ceil(F.col("count") / block).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("half", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = F.concat_ws(":", "band", "key", F.least("half", "with"), F.greatest("half", "with"))
-    rows = rows.select("node", "comp", "half", (F.col("half") == F.col("with")).alias("same"), work.alias("work"))
-    # A block paired with itself has one row a member; `cross` is told from the work's name.
-    rows = rows.withColumn("cross", F.element_at(F.split("work", ":"), -1) != F.element_at(F.split("work", ":"), -2))
-    rows = rows.join(texts, "node").select("work", "node", "comp", "half", "cross", "text")
+def _search(members: DataFrame, total: int, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links within buckets that still hold several components. members: band, key, node, comp, n; total of them.
+
+    Sets whose sizes are two classes apart can't be similar: a class ends where its first size is the threshold of it.
+    """
+    wide = F.lit(-math.log(min(percent, 99) / 100))
+    rows = members.withColumn("cls", F.floor(F.log("n") / wide).cast("int"))
+    # A block holds `block` sets at most, and fewer if they are large (2**21 hashes at most, two sets at least).
+    most = F.greatest(F.lit(2), F.least(F.lit(block), F.floor(F.lit(float(1 << 21)) / F.exp((F.col("cls") + 1) * wide)))).cast("int")
+    counts = rows.groupBy("band", "key", "cls").agg(F.count("*").alias("held")).withColumn("blocks", F.ceil(F.col("held") / most).cast("int"))
+    near = Window.partitionBy("band", "key").orderBy("cls")  # a bucket's classes are some hundred at most
+    beside = lambda f, step: F.when(f("cls", 1).over(near) == F.col("cls") + step, f("blocks", 1).over(near)).otherwise(0)
+    counts = counts.withColumn("above", beside(F.lead, 1)).withColumn("below", beside(F.lag, -1))
+    rows = spread_join(rows, counts, ["band", "key", "cls"], "held", total, ["node"])
+    half = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("half", half)
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    work = lambda c, i, d, j, second: F.struct(c.alias("c"), i.alias("i"), d.alias("d"), j.alias("j"), second.alias("second"))
+    cls, mine = F.col("cls"), F.col("half")
+    same = F.transform(upto("blocks"), lambda j: work(cls, F.least(mine, j), cls, F.greatest(mine, j), mine > j))
+    above = F.transform(upto("above"), lambda j: work(cls, mine, cls + 1, j, F.lit(False)))
+    below = F.transform(upto("below"), lambda j: work(cls - 1, j, cls, mine, F.lit(True)))
+    rows = rows.select("band", "key", "node", "comp", F.explode(F.concat(same, above, below)).alias("w"))
+    rows = rows.select("node", "comp", F.concat_ws(":", "band", "key", "w.c", "w.i", "w.d", "w.j").alias("work"), F.col("w.second").alias("second"))
+    rows = rows.join(sets, "node").select("work", "node", "comp", "second", "set")
     rows = rows.repartition("work").sortWithinPartitions("work")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def links() -> list[tuple[bytes, bytes]]:
-            if not held:
+            if len(held) < 2:
                 return []
-            _, names, comps, halves, cross, body = zip(*held, strict=True)
-            return _links_of_block(list(names), list(comps), list(halves), list(body), words, percent, cross[0])
+            _, names, comps, halves, body = zip(*held, strict=True)
+            one, two = held[0][0].split(":")[2:4], held[0][0].split(":")[4:6]
+            if len(set(comps)) < 2 or (one != two and len(set(halves)) < 2):
+                return []
+            return _links_of_block(list(names), list(comps), list(halves), [_set(x) for x in body], percent)
 
         def batch_of(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["u", "v"])
@@ -249,59 +317,65 @@ def _search(members: DataFrame, texts: DataFrame, words: int, percent: int, bloc
     return rows.mapInArrow(run, "u binary, v binary")
 
 
-def near_groups(docs: DataFrame, percent: int = 85, words: int = 5, bands: int | None = None, rows: int | None = None, block: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id, kept, text_hash."""
+def near_groups(docs: DataFrame, percent: int = 85, words: int = 5, bands: int | None = None, rows: int | None = None, block: int = 128, id_col: str = "doc_id", text_col: str = "text", by_id: bool = True) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id, kept, text_hash, first (doc_id and text_hash of its component's first row)."""
     small_batches(docs.sparkSession)
     if bands is None or rows is None:
         bands, rows = banding(percent)
     signed = stored(signatures(docs, words, bands, rows, id_col, text_col), "signed")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    heads = signed.filter("keys is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    entries = stored(heads, "heads").select("node", "rep", "n", F.posexplode("keys").alias("band", "key"))
+    total = signed.count()
+    heads = signed.filter("keys is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.min("text_hash").alias("text_hash"))
+    heads = stored(heads, "heads")
+    entries = heads.select("node", "n", F.posexplode("keys").alias("band", "key"))
     head = F.struct(F.xxhash64("band", "node").alias("order"), "node", "n")
     buckets = entries.groupBy("band", "key").agg(F.count("*").alias("count"), F.min(head).alias("centre")).filter("count > 1")
-    members = stored(entries.join(buckets, ["band", "key"]), "members")
+    members = stored(spread_join(entries, buckets, ["band", "key"], "count", total * bands, ["node"]), "members")
     fit = F.lit(100) * F.least("n", "centre.n") >= F.lit(percent) * F.greatest("n", "centre.n")
     stars = members.filter((F.col("node") != F.col("centre.node")) & fit)
-    pairs = stars.select(F.least("node", "centre.node").alias("u"), F.greatest("node", "centre.node").alias("v")).distinct()
-    # Texts of the nodes that share a bucket, one a node: of the row whose id stands for the node.
-    wanted = members.select("node", "rep").distinct()
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = own.join(wanted, own["doc_id"].eqNullSafe(wanted["rep"])).select("node", "text")
-    texts = stored(texts.mapInArrow(_matching(words), "node binary, text string"), "texts")
-    links = stored(_confirm(pairs, texts, words, percent), "links")
+    pairs = stars.groupBy(F.col("centre.node").alias("centre"), "node").agg(F.max("count").alias("count"))
+    sets = node_sets(docs, heads.join(members.select("node").distinct(), "node", "left_semi").select("node", "text_hash"), words, text_col)
+    links = stored(_confirm(pairs, sets, percent), "links")
     roots = components(links)
-    placed = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band", "key")
-    open_ = placed.filter("count > 2").join(mixed, ["band", "key"]).select("band", "key", "node", "comp", "count")
-    more = stored(_search(open_, texts, words, percent, block), "more")
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-    # The smallest id of each component, for the nodes that are in one with others.
+    # Buckets with members of several components, one of those that have the same members.
+    placed = stored(members.filter("count > 2").join(roots, "node", "left").select("band", "key", "node", "n", F.coalesce("root", "node").alias("comp")), "placed")
+    alike = [F.count("*").alias("held"), *(F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"h{seed}") for seed in (1, 2)), F.min("comp").alias("lo"), F.max("comp").alias("hi")]
+    mixed = placed.groupBy("band", "key").agg(*alike).filter("lo <> hi").groupBy("held", "h1", "h2").agg(F.min_by(F.struct("band", "key"), F.struct("band", "key")).alias("b"))
+    open_ = stored(spread_join(placed, mixed.select("b.band", "b.key", "held"), ["band", "key"], "held", total * bands, ["node"]).drop("held"), "open")
+    held, found = open_.count(), []
+    if held:
+        found.append(stored(_search(open_, held, sets, percent, block), "more"))
+    if by_id:  # the least node of an id that repeats with its others
+        twice = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("uses")).filter("u <> v")
+        twice = stored(twice.drop("v"), "twice")
+        if not twice.isEmpty():
+            same = spread_join(signed.select("doc_id", "node", "row"), twice, ["doc_id"], "uses", total, ["row"]).filter("node <> u")
+            found.append(same.select("u", F.col("node").alias("v")).distinct())
+    found = [x for x in found if not x.isEmpty()]
+    if found:
+        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = components(functools.reduce(DataFrame.unionByName, found, links))
+    # The first row of each component, for the nodes that are in one with others.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    nodes = stored(signed.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("uses")), "nodes")
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(nodes, "node")
-    least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    named = linked.join(least, "root").select("node", "least")
-    ids = nodes.join(named, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
-    out = signed.join(ids, "node")
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
-
-
-def _matching(words: int):
-    """Of rows (node, text), those whose text has the node's set: ids may repeat with other texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [hashlib.blake2b(shingles(t, words).tobytes(), digest_size=16).digest() == n for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(same, pa.bool_()))
-
-    return run
-
-
-def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs: of each component the row with the smallest id."""
+    least = linked.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("nodes"))
+    named = spread_join(linked.select("node", "root"), least, ["root"], "nodes", total, ["node"]).select("node", "least")
+    named = nodes.join(named, "node", "left").select("node", "uses", F.coalesce("least", "first").alias("least"))
+    out = spread_join(signed.drop("keys"), named, ["node"], "uses", total, ["row"])
+    component = F.col("least.doc_id")
+    return out.select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash",
+        F.struct("least.doc_id", "least.text_hash").alias("first"),
+    )
+
+
+def near_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """The rows of docs that stay, with the columns of docs: of each component the first row, with those that equal it."""
     at = [f"_c{i}" for i in range(len(docs.columns))]
     body = docs.toDF(*at)
     row_id, text = (F.col(at[docs.columns.index(c)]) for c in (id_col, text_col))
-    gone = near_groups(docs, percent, id_col=id_col, text_col=text_col, **how).filter("not kept").select("doc_id", "text_hash").distinct()
+    groups = near_groups(docs, percent, id_col=id_col, text_col=text_col, by_id=False, **how)
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("text_hash").eqNullSafe(F.col("first.text_hash"))
+    gone = groups.filter(~stays).select("doc_id", "text_hash").distinct()
     kept = body.join(gone, row_id.cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("text_hash")), "left_anti")
     return kept.toDF(*docs.columns)

@@ -38,7 +38,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_dedup.near_groups(_documents(spark, sf_dir), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,17 +114,18 @@ ORACLE_SQL: dict[str, str] = {
         FROM p""",
     "op4_near_dedup": r"""
         WITH RECURSIVE t AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            SELECT row_number() OVER () AS r, doc_id,
+                   list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
             FROM documents),
         s AS (
-            SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle
-            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
-        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
-        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
-        e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
-        r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.c),
-        g AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
-        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
-        FROM documents d JOIN g USING (doc_id) LEFT JOIN n USING (doc_id)""",
+            SELECT DISTINCT r, doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle
+            FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        p AS (SELECT a.r AS a, b.r AS b, any_value(a.doc_id) AS u, any_value(b.doc_id) AS v, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.r < b.r GROUP BY ALL),
+        l AS (SELECT DISTINCT u, v FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+        g AS (SELECT DISTINCT doc_id, doc_id AS c FROM t UNION SELECT g.doc_id, e.v FROM g JOIN e ON e.u = g.c),
+        m AS (SELECT doc_id, min(c) AS component_id FROM g GROUP BY doc_id)
+        SELECT t.doc_id, coalesce(n, 0) AS n_shingles, component_id, t.doc_id = component_id AS kept
+        FROM t JOIN m USING (doc_id) LEFT JOIN n USING (r)""",
 }

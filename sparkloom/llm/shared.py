@@ -14,6 +14,8 @@ __all__ = ["WHITE", "WORD", "discard", "hex_digits", "prefix_sums", "running_sum
 #: White space of the text contracts: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Narrow rows of one key that a task may always be given.
+FEW = 1000
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -81,10 +83,12 @@ def spread_join(rows: DataFrame, side: DataFrame, keys: Sequence[str], size: str
     """rows joined with side on keys (not null), where a few keys may hold most of rows. Adds side's other columns.
 
     side has one row a key; its column `size` says how many rows have that key, `total` how many rows there are. Keys
-    with more than a thousandth of all rows are fewer than 1,000: these rows of side are broadcast, and the rows that
-    have found one go through the shuffle of the rest spread out by the columns `by`.
+    with more than a thousandth of all rows (and more than FEW) are fewer than 1,000: these rows of side are broadcast,
+    and the rows that have found one go through the shuffle of the rest spread out by the columns `by`.
     """
-    limit = max(1, total // 1000)
+    if how == "inner" and total <= FEW:  # no key can have more
+        return rows.join(side, list(keys)).select(*rows.columns, *(c for c in side.columns if c not in keys))
+    limit = max(FEW, total // 1000)
     values = [c for c in side.columns if c not in keys]
 
     def part(which: Column, name: str) -> DataFrame:

@@ -63,9 +63,10 @@ def test_chains_stars_and_small_blocks(documents, rows):
     table = [(1000 - i, t) for i, t in enumerate(texts)]
     want = sorted(expected(table), key=repr)
     assert rows(near_groups(docs, block=4), "doc_id", "n_shingles", "component_id", "kept") == want
-    out = near_dedup(docs)
-    assert out.columns == docs.columns
-    assert sorted(r.doc_id for r in out.collect()) == sorted(d for d, _, _, k in want if k)
+    for percent in (85, 80):
+        out = near_dedup(docs, percent)
+        assert out.columns == docs.columns
+        assert sorted(r.doc_id for r in out.collect()) == sorted(d for d, _, _, k in expected(table, percent) if k)
 
 
 def test_lower_thresholds_find_all_links(documents, rows):
@@ -129,3 +130,20 @@ def test_components_of_paths_and_stars(spark):
     found = {tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {(i, 0) for i in range(1, 41)} | {(100 + i, 100) for i in range(1, 30)} | {(201, 200)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_many_null_ids_and_repeated_rows(documents, rows):
+    """Null ids are no key of a join, and a text that repeats is one node."""
+    rng = random.Random(4)
+    a, b = chain(rng, 2, 110, 1)
+    table = [(None, a), (None, b)] * 300 + [(7, a), (7, b), (5, "other words than these are here")] * 100
+    found = near_groups(documents(*table)).collect()
+    assert len(found) == len(table)
+    assert {(r.doc_id, r.component_id, r.kept) for r in found} == {(None, 7, False), (7, 7, True), (5, 5, True)}
+    assert {(r.doc_id, r.text) for r in near_dedup(documents(*table)).collect()} in ({(7, a), (5, table[602][1])}, {(7, b), (5, table[602][1])})
+
+
+def test_an_id_links_its_texts(documents, rows):
+    docs = documents((5, "a b c d e"), (3, "a b c d e"), (5, "v w x y z"), (9, "v w x y z"))
+    assert rows(near_groups(docs), "doc_id", "component_id", "kept") == [(3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False)]
+    assert {r.doc_id for r in near_dedup(docs).collect()} == {3, 5}

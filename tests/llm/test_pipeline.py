@@ -27,7 +27,7 @@ def test_near_stage_against_brute_force(spark, data, documents):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     table = [(r.doc_id, r.text) for r in docs.collect()]
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, data).collect()}
-    assert kept == {d for d, _, _, k in expected(table) if k}
+    assert kept == {d for d, _, _, k in expected(table, 80) if k}
 
 
 def test_run_gives_pieces(spark, data):
