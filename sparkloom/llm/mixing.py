@@ -1,12 +1,14 @@
 """Mixing sources to target weights.
 
 Every row gets a hash-random key. Within a source rows are ranged by key into buckets, bucket totals give distributed
-prefix sums of sizes, and each source is cut at its exact budget: whole epochs first, then the rows in key order until
-the rest of the budget is used up, the last row in part. Targets stop at a multiple of the source's size; what is cut
-off is shared out again by weight.
+prefix sums of sizes (in two levels, so that neither a hot source nor the number of buckets weighs on one task), and
+each source is cut at its exact budget: whole epochs first, then the rows in key order until the rest of the budget is
+used up, the last row in part: its first words, with the white space between them. Targets stop at a multiple of the
+source's size; what is cut off is shared out again by weight. Sources themselves are ranked and summed over ranges.
 
 Defined results: a null text has size 0; a null source is a source of its own and comes last; identical rows (same id,
-same text) may swap their takes. Weights repeat along the sources in code-point order. Empty input gives empty output.
+same text) may swap their takes, whose sum is defined. Weights repeat along the sources in code-point order. Texts of any
+length are counted whole. Empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, hex_digits, stored
+from .shared import WORD, bucket_offsets, hex_digits, running_sums, stored
 
 
 def words(text: Column) -> Column:
@@ -28,25 +30,23 @@ def _key(doc_id: Column, text: Column) -> Column:
 
 
 def source_targets(totals: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """totals: source, source_size; adds weight and target (double). The windows run over sources, not documents.
+    """totals: source, source_size; adds weight and target (double).
 
     Sources in order of size over weight: a source is full while its cap is at most its share of what the sources
     before it leave over. This is where sharing the excess again and again ends.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(by_name) - 1) % len(weights)
-    out = totals.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), place + 1).cast("long"))
-    by_ratio = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(0))
+    named = running_sums(totals.withColumn("_one", F.lit(1)), [F.col("source").asc_nulls_last()], {"_place": "_one"})
+    out = named.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("_place") % len(weights) + 1).cast("int")).cast("long"))
+    ratio = F.col("source_size") / F.col("weight")
+    out = out.withColumn("_cap", F.col("source_size") * most)
+    out = running_sums(out, [ratio, F.col("source").asc_nulls_last()], {"_caps": "_cap", "_weights": "weight", "_sizes": "source_size"})
     out = (
-        out.withColumn("_cap", F.col("source_size") * most)
-        .withColumn("_left", F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0)))
-        .withColumn("_weight_left", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
+        out.withColumn("_left", F.col("_sizes_all") - F.col("_caps"))
+        .withColumn("_weight_left", F.col("_weights_all") - F.col("_weights"))
         .withColumn("_full", F.col("_cap").cast("double") * F.col("_weight_left") <= F.col("weight").cast("double") * F.col("_left"))
     )
-    first = F.min(F.when(~F.col("_full"), F.struct(F.col("source_size") / F.col("weight"), F.col("_left").alias("l"), F.col("_weight_left").alias("w")))).over(every)
-    out = out.withColumn("_first", first)
+    first = out.agg(F.min(F.when(~F.col("_full"), F.struct(ratio.alias("r"), (-F.col("_left")).alias("l"), (-F.col("_weight_left")).alias("w")))).alias("_first"))
+    out = out.crossJoin(F.broadcast(first))  # one row: what the first source that isn't full is left with
     share = (F.col("weight") * F.col("_first.l")).cast("double") / F.col("_first.w")
     return out.withColumn("target", F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(share)).select("source", "source_size", "weight", "target")
 
@@ -72,8 +72,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     bucket = F.substring("_key", 1, digits)
     rows = sized.withColumn("_bucket", bucket)
     totals = rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_total"))
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0))).join(targets, "_source")
+    offsets = bucket_offsets(totals, ["_source"], digits).join(targets, "_source")
     local = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_local", F.coalesce(F.sum("size").over(local), F.lit(0))).join(offsets, ["_source", "_bucket"])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -84,7 +83,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """The mix itself: rows of docs with its columns, each repeated as often as it is taken; the last in part.
+    """The mix itself: rows of docs with its columns, each repeated as often as it is taken; the last in part, cut after a word.
 
     A row of size 0 is kept once if its source is taken at all. Identical rows share their takes evenly.
     """
@@ -106,6 +105,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def _head(text: str) -> Column:
-    """The first _take words of a text."""
-    return F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.greatest(F.col("_take"), F.lit(1))), " ")
-
+    """The first _take words of a text with all white space before them."""
+    parts = F.regexp_extract_all(F.col(text), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    return F.array_join(F.slice(parts, F.lit(1), F.greatest(F.col("_take"), F.lit(1))), "")

@@ -99,7 +99,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0) AS l, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS v
             FROM s WINDOW b AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         f AS (SELECT *, (3 * source_size)::DOUBLE * v <= w::DOUBLE * l AS is_full FROM o),
-        x AS (SELECT l, v FROM f WHERE NOT is_full ORDER BY source_size / w LIMIT 1),
+        x AS (SELECT l, v FROM f WHERE NOT is_full ORDER BY source_size / w, l DESC, v DESC LIMIT 1),
         t AS (
             SELECT source, source_size,
                    CASE WHEN is_full THEN (3 * source_size)::DOUBLE ELSE (w * (SELECT l FROM x))::DOUBLE / (SELECT v FROM x) END AS target

@@ -62,3 +62,19 @@ def test_targets_when_everything_is_capped(spark):
     totals = spark.createDataFrame([("a", 100), ("b", 1), ("c", 1), (None, 0)], "source string, source_size long")
     found = {r.source: r.target for r in source_targets(totals).collect()}
     assert found == expected_targets({"a": 100, "b": 1, "c": 1, None: 0})
+
+
+def test_cut_texts_keep_their_white_space_and_long_texts_count_whole(documents):
+    body = "  a\n\nb  c\td \x0b e\n"
+    docs = documents(*[(i, body, "en", "a", 0) for i in range(10)], (99, "w " * 200_000, "en", "b", 0), (98, None, "en", None, 0))
+    plan = {r.doc_id: r for r in plan_mix(docs).collect()}
+    assert plan[99].size == 200_000 and plan[98].taken == 0
+    seen = [r.text for r in mix(docs).collect() if r.doc_id < 10]
+    assert all(body.startswith(t) for t in seen) and sum(len(t.split()) for t in seen) == sum(plan[i].taken for i in range(10))
+
+
+def test_many_sources_in_ranges(spark):
+    sizes = {f"s{i:04}": (i * 37) % 101 for i in range(600)} | {None: 5}
+    found = {r.source: r.target for r in source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    want = expected_targets(sizes)
+    assert found.keys() == want.keys() and all(abs(found[s] - want[s]) < 1e-6 for s in want)
