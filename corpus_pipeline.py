@@ -1,4 +1,14 @@
-"""A training corpus from documents: quality, exact copies, near copies, mixture of sources, packing."""
+"""A training corpus from documents: quality, exact copies, near copies, mixture of sources, packing.
+
+run() gives one row for each piece of a document: doc_id, source, start, length, ids_crc32, doc_tokens, ids (unsigned
+32-bit little-endian), sequence_id and offset. `sequences(run(...))` makes the training sequences of it.
+
+Defined results, stage by stage: null texts are empty ones, which the quality stage may reject like any other text; all
+empty texts are equal, so the exact stage keeps one; null ids and null sources are kept as such (a null source is a
+source of its own); rows that repeat an id are documents of their own, equal ones among them copies; without labels of
+both classes nothing is rejected; texts of any length are read whole; an empty table gives an empty result. Columns
+beside those of documents go through the first four stages whatever their names, and end at the last.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import cotraining, exact_dedup, mixing, near_dedup, packing, shared
-from sparkloom.llm.queries import BYTE_RANKS
+from sparkloom.llm.packing import sequences
+from sparkloom.llm.queries import byte_level
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +42,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, BYTE_RANKS())
+    """Pieces of documents, with their ids and source, and their place in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, byte_level(), with_ids=True, source_col="source")
+
 
+__all__ = ["ORACLE_SQL", "STAGES", "run", "sequences"]
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", keep_good),

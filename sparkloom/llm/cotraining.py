@@ -1,17 +1,19 @@
 """Quality classifier by co-training of two views.
 
-View 1 looks at the text's content: n-grams of its characters, case and signs included. View 2 looks at what a page
-keeps beside its words: source, language, length and layout (lines, repeated lines and words, shares of capitals,
-digits and signs), each cut into intervals. Both are fitted on a bounded sample of labelled rows. In each round both
-score all documents; each view's surest unlabelled documents become labelled examples for the other view. At the end a
-part of the sample that was not learnt from calibrates both views, and their combination scores all documents.
+View 1 is the text's content: n-grams of its characters, case and signs included, and statistics of its words and lines
+(repeats, variety, word and line lengths, shares of capitals, digits and signs), each cut into intervals. View 2 is what
+the page declares beside its text: source, language, declared length and pairs of them; it never sees the text. Both are
+fitted on a bounded sample of labelled rows, on all places that occur. In each round both score all documents; each
+view's surest unlabelled documents become labelled examples for the other view (a view that is sure of nothing teaches
+nothing). At the end a part of the sample that was not learnt from calibrates both views, and their combination scores
+all documents. Texts are turned into features once, in a stored table that all rounds read.
 
-Bounds: `sample` labelled rows and `exchange` documents a class, view and round are learnt from; scoring and the search
-for sure documents cover all rows.
+Bounds: `sample` labelled rows and `exchange` documents a class, view and round are learnt from, each of them one row of
+its id (that with the least hash, where an id repeats); scoring and the search for sure documents cover all rows.
 
 Defined results: a null text is an empty one; null source, language and length are values of their own; ids that repeat
 in the labels count once, as bad if any row says so; a null id is held out of learning; without labels of both classes
-nothing is rejected. Repeated rows each get their score.
+nothing is rejected. Repeated rows each get their score, very long texts are read whole, other columns are unused.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import fit_logistic
-from .shared import small_batches, stored
+from .shared import discard, small_batches, stored
 from .toxicity import held_out, labelled
 
 BITS = 15
@@ -56,7 +58,10 @@ _KIND[48:58] = 2
 for _low, _high in ((33, 48), (58, 65), (91, 97), (123, 127)):
     _KIND[_low:_high] = 3
 _KIND[46] = 4
-_PLACES = len(CUTS) * _WIDTH + 64 + 256  # intervals, then hashed languages, then hashed sources
+_CONTENT = (1 << BITS) + len(CUTS) * _WIDTH
+#: Upper ends of the intervals of declared lengths, and places of lengths, languages, sources and pairs.
+LENGTHS = np.array([0, 20, 40, 70, 100, 150, 200, 300, 400, 600, 800, 1200, 1600, 2400, 3200, 4800, 6400, 12800, 25600, 51200])
+_META = (32, 64, 512, 1024, 1024)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -67,41 +72,46 @@ def _codes(text: str) -> np.ndarray:
         return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def content(text: str) -> np.ndarray:
-    """Distinct n-gram buckets of a text with its case and signs."""
-    codes = np.concatenate(([32], _codes(text), [32])).astype(np.uint32)
-    pairs = codes[:-1] * _FACTORS[0] + codes[1:]
-    seen = np.zeros(1 << BITS, bool)
-    seen[(pairs * _FACTORS[1]) >> _DOWN] = True
-    seen[((pairs[:-1] * _FACTORS[0] + codes[2:]) * _FACTORS[2]) >> _DOWN] = True
-    return np.flatnonzero(seen)
-
-
-def metadata(text: str, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """Active places of a document's metadata and layout."""
+def statistics(text: str, codes: np.ndarray) -> list[int]:
+    """The interval that each statistic of the text falls into, as places."""
     words = text.split()
     lines = [x for x in text.split("\n") if x.strip()]
-    codes = _codes(text)
-    n = max(1, len(codes))
-    kinds = np.bincount(_KIND[np.minimum(codes, 255)], minlength=5) / n
-    size = sum(map(len, words))
+    kinds = np.bincount(_KIND[np.minimum(codes, 255)], minlength=5) / max(1, len(codes))
     values = {
-        "chars": len(text) if n_chars is None else n_chars,
+        "chars": len(text),
         "line": len(text) / max(1, len(lines)),
         "lines": len(lines),
         "repeats": 1 - len(set(lines)) / max(1, len(lines)),
         "variety": len(set(words)) / max(1, len(words)),
         "stutter": sum(map(eq, words, words[1:])) / max(1, len(words)),
-        "word": size / max(1, len(words)),
+        "word": sum(map(len, words)) / max(1, len(words)),
         "capitals": kinds[1],
         "digits": kinds[2],
         "signs": kinds[3] + kinds[4],
         "stops": kinds[4],
     }
-    places = [i * _WIDTH + int(np.searchsorted(CUTS[k], values[k])) for i, k in enumerate(CUTS)]
-    places.append(len(CUTS) * _WIDTH + zlib.crc32((lang or "?").encode()) % 64)
-    places.append(len(CUTS) * _WIDTH + 64 + zlib.crc32((source or "?").encode()) % 256)
-    return np.array(places)
+    return [i * _WIDTH + int(np.searchsorted(CUTS[k], values[k])) for i, k in enumerate(CUTS)]
+
+
+def content(text: str) -> np.ndarray:
+    """Distinct n-gram buckets of a text with its case and signs, then the places of its statistics."""
+    codes = _codes(text)
+    padded = np.concatenate(([32], codes, [32])).astype(np.uint32)
+    pairs = padded[:-1] * _FACTORS[0] + padded[1:]
+    seen = np.zeros(_CONTENT, bool)
+    seen[(pairs * _FACTORS[1]) >> _DOWN] = True
+    seen[((pairs[:-1] * _FACTORS[0] + padded[2:]) * _FACTORS[2]) >> _DOWN] = True
+    seen[[(1 << BITS) + x for x in statistics(text, codes)]] = True
+    return np.flatnonzero(seen)
+
+
+def metadata(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """Active places of what is declared about a document."""
+    length = _META[0] - 1 if n_chars is None else int(np.searchsorted(LENGTHS, n_chars))
+    lang, source = ("null" if x is None else f"={x}" for x in (lang, source))
+    values = (length, zlib.crc32(lang.encode()), zlib.crc32(source.encode()), zlib.crc32(f"{lang} {length}".encode()), zlib.crc32(f"{source} {lang}".encode()))
+    starts = np.cumsum((0, *_META[:-1]))
+    return np.array([a + v % n for a, v, n in zip(starts, values, _META, strict=True)])
 
 
 @dataclass
@@ -113,23 +123,17 @@ class View:
         return float(self.weights[found].sum() + self.bias)
 
 
-def fit_view(rows: list[np.ndarray], labels: np.ndarray, places: int, ridge: float, most: int = 1000) -> View:
-    """Logistic regression on log-count ratios of the `most` places that tell the classes apart best."""
+def fit_view(rows: list[np.ndarray], labels: np.ndarray, places: int, ridge: float, least: int = 3) -> View:
+    """Logistic regression on log-count ratios of all places that `least` rows have."""
     counts = [np.zeros(places), np.zeros(places)]
     for r, y in zip(rows, labels, strict=True):
         counts[int(y)][r] += 1
     n = [max(1, int((labels == c).sum())) for c in (0, 1)]
     scales = np.log((counts[1] + 1) / (n[1] + 2)) - np.log((counts[0] + 1) / (n[0] + 2))
-    share = (counts[0] + counts[1]) / sum(n)
-    gap = (counts[1] / n[1] - counts[0] / n[0]) ** 2 / (share * (1 - share) + 1 / sum(n))
-    chosen = np.argsort(np.where(counts[0] + counts[1] < 3, 0, -gap), kind="stable")[:most]
-    table = np.full(places, -1, np.int32)
-    table[chosen] = np.arange(len(chosen))
-    found = [table[r] for r in rows]
-    w, bias = fit_logistic([f[f >= 0] for f in found], scales[chosen], labels.astype(float), ridge)
-    weights = np.zeros(places)
-    weights[chosen] = w * scales[chosen]
-    return View(weights, bias)
+    scales[counts[0] + counts[1] < least] = 0
+    flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
+    w, bias = fit_logistic(flat, sizes, scales, labels.astype(float), ridge)
+    return View(w * scales, bias)
 
 
 def _inputs(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, chars_col: str) -> DataFrame:
@@ -142,32 +146,42 @@ def _inputs(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_c
     )
 
 
-def _views(batch: pa.RecordBatch, at: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for text, lang, source, n in zip(*(batch.column(at + i).to_pylist() for i in range(4)), strict=True):
-        yield content(text), metadata(text, lang, source, n)
+def _packed(found: np.ndarray) -> bytes:
+    """Ascending places as their gaps, which compress well."""
+    return np.diff(found, prepend=0).astype("<u2").tobytes()
 
 
-def _features(rows: DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Features of a bounded set of rows (doc_id, text, lang, source, n_chars, label), in order of doc_id."""
+def _places(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, "<u2"), dtype=np.int32)
+
+
+def features(rows: DataFrame) -> DataFrame:
+    """doc_id, content, metadata of rows (doc_id, text, lang, source, n_chars), stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = list(_views(batch))
-            arrays = [batch.column(0), batch.column(5), *(pa.array([v[i].astype("<u2").tobytes() for v in both], pa.binary()) for i in (0, 1))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "label", "content", "metadata"])
+            texts, *declared = (batch.column(1 + i).to_pylist() for i in range(4))
+            arrays = [pa.array([_packed(content(t)) for t in texts], pa.binary()), pa.array([_packed(metadata(*d)) for d in zip(*declared, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "content", "metadata"])
+
+    return stored(rows.mapInArrow(run, "doc_id long, content binary, metadata binary"), "features")
+
 
-    found = rows.mapInArrow(run, "doc_id long, label int, content binary, metadata binary").orderBy("doc_id").toPandas()
-    read = lambda x: np.frombuffer(x, "<u2").astype(np.int32)
-    return [(d, y, read(a), read(b)) for d, y, a, b in found.itertuples(index=False)]
+def _learnt(found: DataFrame, chosen: DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """doc_id, label and both views of a bounded set of rows (doc_id, label), one an id, in order of doc_id."""
+    both = F.struct("content", "metadata")
+    rows = found.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by(both, F.xxhash64("content", "metadata")).alias("v"))
+    rows = rows.select("doc_id", "label", "v.content", "v.metadata").orderBy("doc_id").toPandas()
+    return [(d, y, _places(a), _places(b)) for d, y, a, b in rows.itertuples(index=False)]
 
 
-def _score(rows: DataFrame, views: tuple[View, View]) -> DataFrame:
+def _score(found: DataFrame, views: tuple[View, View]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.array([[views[0].logit(a), views[1].logit(b)] for a, b in _views(batch)]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z[:, 0]), pa.array(z[:, 1])], ["doc_id", "za", "zb"])
+            z = [pa.array([v.logit(_places(x)) for x in batch.column(1 + i).to_pylist()], pa.float64()) for i, v in enumerate(views)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *z], ["doc_id", "za", "zb"])
 
-    return rows.mapInArrow(run, "doc_id long, za double, zb double")
+    return found.select("doc_id", "content", "metadata").mapInArrow(run, "doc_id long, za double, zb double")
 
 
 def _surest(scores: DataFrame, view: str, most: int) -> DataFrame:
@@ -196,36 +210,35 @@ class CoModel:
 def fit_cotraining(
     docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 8_000, exchange: int = 400, rounds: int = 2, folds: int = 5,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars",
-) -> CoModel | None:
-    """The model, or None without labels of both classes."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = _inputs(docs, id_col, text_col, lang_col, source_col, chars_col)
+) -> tuple[CoModel | None, DataFrame]:
+    """The model, or None without labels of both classes; and the stored features of all rows."""
+    small_batches(docs.sparkSession)
+    found = features(_inputs(docs, id_col, text_col, lang_col, source_col, chars_col))
     good = labels.select(F.col(id_col), (1 - F.col(label)).alias("_bad"))
     known = labelled(good, "_bad", sample, folds, id_col).select("doc_id", (1 - F.col("label")).alias("label"))
     known = stored(known, "known")
-    first = {d: (y, a, b) for d, y, a, b in _features(rows.join(F.broadcast(known), "doc_id"))}  # bounded by sample
+    first = {d: (y, a, b) for d, y, a, b in _learnt(found, known)}  # bounded by sample
     aside = {d for d in first if zlib.crc32(f"aside {d}".encode()) % 4 == 0}
     learn = [v for d, v in first.items() if d not in aside]
     check = [v for d, v in first.items() if d in aside]
     if len({v[0] for v in learn}) < 2:
-        return None
+        return None, found
     extra: tuple[list, list] = ([], [])  # what view 1 and view 2 are taught by the other
     views = None
     for turn in range(rounds + 1):
         fitted = []
         for i, ridge in ((0, 3e-4), (1, 1e-3)):
             data = [(v[0], v[1 + i]) for v in learn] + [(y, v) for y, v in extra[i]]
-            fitted.append(fit_view([v for _, v in data], np.array([y for y, _ in data]), (1 << BITS, _PLACES)[i], ridge))
+            fitted.append(fit_view([v for _, v in data], np.array([y for y, _ in data]), (_CONTENT, sum(_META))[i], ridge))
         views = (fitted[0], fitted[1])
         if turn == rounds:
             break
-        scores = stored(_score(rows.join(F.broadcast(known), "doc_id", "left_anti"), views), "scores")
+        scores = stored(_score(found.join(F.broadcast(known), "doc_id", "left_anti"), views), "scores")
         for i, view in ((1, "za"), (0, "zb")):
             surest = _surest(scores, view, exchange)  # bounded by exchange
-            for _, y, a, b in _features(rows.join(F.broadcast(surest), "doc_id")):
-                extra[i].append((y, (a, b)[i]))
-    return calibrate(views, check or learn)
+            extra[i].extend((y, (a, b)[i]) for _, y, a, b in _learnt(found, surest))
+        discard(scores)
+    return calibrate(views, check or learn), found
 
 
 def calibrate(views: tuple[View, View], rows: list[tuple]) -> CoModel:
@@ -244,22 +257,22 @@ def calibrate(views: tuple[View, View], rows: list[tuple]) -> CoModel:
 
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, threshold: float = 0.5, **how) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, content_score, metadata_score, score, predicted (1: good)."""
-    model = fit_cotraining(docs, labels, label, folds=folds, **how)
-    names = [how.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("lang_col", "lang"), ("source_col", "source"), ("chars_col", "n_chars"))]
-    rows = _inputs(docs, *names)
+    model, found = fit_cotraining(docs, labels, label, folds=folds, **how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.array([model.probability(a, b) if model else (1.0, 1.0, 1.0) for a, b in _views(batch)]).reshape(-1, 3)
+            both = zip(*(map(_places, batch.column(1 + i).to_pylist()) for i in range(2)), strict=True)
+            p = np.array([model.probability(a, b) if model else (1.0, 1.0, 1.0) for a, b in both]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, i]) for i in range(3))], ["doc_id", "content_score", "metadata_score", "score"])
 
-    scored = rows.mapInArrow(run, "doc_id long, content_score double, metadata_score double, score double")
+    scored = found.mapInArrow(run, "doc_id long, content_score double, metadata_score double, score double")
     return scored.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "content_score", "metadata_score", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.5, **how) -> DataFrame:
     """The rows of docs whose score reaches the threshold, with the columns of docs."""
-    model = fit_cotraining(docs, labels, label, **how)
+    model, found = fit_cotraining(docs, labels, label, **how)
+    discard(found)
     if model is None:
         return docs
     shown = [f"_c{i}" for i in range(len(docs.columns))]
@@ -268,7 +281,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", thresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = zip(*(batch.column(i).to_pylist() for i in at), strict=True)
-            good = [model.probability(content(t or ""), metadata(t or "", g, s, n))[2] >= threshold for t, g, s, n in values]
+            good = [model.probability(content(t or ""), metadata(g, s, n))[2] >= threshold for t, g, s, n in values]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.toDF(*shown).mapInArrow(run, docs.toDF(*shown).schema).toDF(*docs.columns)

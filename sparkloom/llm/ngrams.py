@@ -36,8 +36,8 @@ def hashed(codes: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
 
 
 def present(text: str, orders: tuple[int, ...], bits: int, table: np.ndarray | None = None) -> np.ndarray:
-    """Distinct buckets of a text; with a table (bucket to feature, -1 for none), its distinct features."""
-    buckets = hashed(characters(text), orders, bits)
+    """Distinct buckets of a text with its digits and signs; with a table (bucket to feature, -1 for none), its distinct features."""
+    buckets = hashed(characters(text, letters_only=False), orders, bits)
     if table is None:
         seen = np.zeros(1 << bits, bool)
         seen[buckets] = True
@@ -46,19 +46,30 @@ def present(text: str, orders: tuple[int, ...], bits: int, table: np.ndarray | N
     return np.unique(found[found >= 0])
 
 
-def fit_logistic(rows: list[np.ndarray], scales: np.ndarray, labels: np.ndarray, ridge: float = 1e-5, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and bias over features that a row has (1) or hasn't (0), each scaled. Limited-memory BFGS."""
+def fit_logistic(flat: np.ndarray, sizes: np.ndarray, scales: np.ndarray, labels: np.ndarray, ridge: float = 1e-5, steps: int = 60, piece: int = 1 << 22) -> tuple[np.ndarray, float]:
+    """Weights and bias over features that a row has (1) or hasn't (0), each scaled. Limited-memory BFGS.
+
+    flat: the rows' features end to end; sizes: how many each row has. Beside them it holds vectors of as many places as
+    there are features, and `piece` values (or a row's) at a time.
+    """
     n, k = len(labels), len(scales)
-    flat = np.concatenate(rows) if n else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    values = scales[flat]
+    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, ends[cuts[-1]] + piece, "right")) - 1))
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, values * x[flat], n) + x[k]
-        p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-        rest = (p - labels) / n
-        g = np.append(np.bincount(flat, values * rest[row], k) + ridge * x[:k], rest.sum())
-        return float(np.logaddexp(0, np.where(labels == 1, -z, z)).mean() + ridge / 2 * (x[:k] ** 2).sum()), g
+        u, g, total, bias = scales * x[:k], np.zeros(k), 0.0, 0.0
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            here = flat[ends[a] : ends[b]]
+            z, some = np.full(b - a, x[k]), sizes[a:b] > 0
+            if some.any():
+                z[some] += np.add.reduceat(u[here], (ends[a:b] - ends[a])[some])
+            rest = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - labels[a:b]) / n
+            g += np.bincount(here, np.repeat(rest, sizes[a:b]), k)
+            bias += rest.sum()
+            total += np.logaddexp(0, np.where(labels[a:b] == 1, -z, z)).sum() / n
+        return float(total + ridge / 2 * (x[:k] ** 2).sum()), np.append(scales * g + ridge * x[:k], bias)
 
     share = min(max(float(labels.mean()) if n else 0.5, 1e-3), 1 - 1e-3)
     x = np.zeros(k + 1)
@@ -86,7 +97,7 @@ def fit_logistic(rows: list[np.ndarray], scales: np.ndarray, labels: np.ndarray,
         s, y = t * d, h - g
         if s @ y > 1e-12:
             past = [*past[-9:], (s, y, 1 / (s @ y))]
-        done = abs(f - new) < 1e-9
+        done = abs(f - new) < 1e-8
         x, f, g = x + s, new, h
         if done:
             break

@@ -5,9 +5,10 @@ groups of bounded size; in each group, differencing merges partial partitions wi
 near-equal partition is left. Where a window of it exceeds the capacity, the number of windows rises and the group is
 parted again.
 
-Tokenizing: pieces between spaces are tokenized once per worker and remembered, because the byte-level pattern never
-joins characters over a space that follows a non-space; where that doesn't hold, the whole text is tokenized. Unseen
-pieces go through the same vocabulary as ranks, which gives the ids of the tokenizer file (tests compare the two).
+Tokenizing: all ids come from the `tokenizers` library and the tokenizer file. Pieces between spaces are tokenized once
+per worker and remembered, because the byte-level pattern never joins characters over a space that follows a non-space;
+where that doesn't hold, and where the text holds an added token of the file, the whole text is tokenized. A file
+without the plain byte-level form gets no such shortcut.
 
 Defined results: a null text is an empty one: it has the end id alone. Repeated rows are packed each for itself. Empty
 input gives an empty result.
@@ -15,8 +16,8 @@ input gives an empty result.
 
 from __future__ import annotations
 
-import base64
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -28,57 +29,62 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches, stored
 
-#: Fixed values of the byte-level vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 END_ID = 1
 
 _BYTE_IDS: dict[str, ByteIds] = {}
 
 
 class ByteIds:
-    """Ids of a byte-level vocabulary, as little-endian unsigned 32-bit integers in bytes."""
-
-    def __init__(self, ranks: str, remember: int = 300_000) -> None:
-        import tiktoken
-
-        with open(ranks, "rb") as lines:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.plain = tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    """Ids of a byte-level tokenizer file, as little-endian unsigned 32-bit integers in bytes."""
+
+    def __init__(self, path: str, remember: int = 300_000) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        self.added = [x["content"] for x in parts.get("added_tokens") or []]
+        first = parts.get("pre_tokenizer") or {}
+        self.plain = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not parts.get("normalizer")
         self.seen: dict[str, bytes | None] = {}
         self.remember = remember
 
     @classmethod
-    def of(cls, ranks: str) -> ByteIds:
+    def of(cls, path: str) -> ByteIds:
         """One for each worker and file."""
-        if ranks not in _BYTE_IDS:
-            _BYTE_IDS[ranks] = cls(ranks)
-        return _BYTE_IDS[ranks]
+        if path not in _BYTE_IDS:
+            _BYTE_IDS[path] = cls(path)
+        return _BYTE_IDS[path]
 
     def _pack(self, text: str) -> bytes:
-        return np.array(self.plain(text), "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes | None:
-        """Ids of a space and a piece; None where the space may belong to a longer run."""
-        ids = None if not piece or piece[0].isspace() else self._pack(" " + piece)
+    def _learn(self, pieces: list[str]) -> dict[str, bytes | None]:
+        """Ids of a space and each piece; None where the space may belong to a longer run."""
+        asked = [p for p in pieces if p and not p[0].isspace()]
+        ids = self.tokenizer.encode_batch_fast([" " + p for p in asked], add_special_tokens=False)
+        new = dict.fromkeys(pieces) | {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(asked, ids, strict=True)}
         if len(self.seen) < self.remember:
-            self.seen[piece] = ids
-        return ids
-
-    def _part(self, text: str) -> bytes:
-        first, *pieces = text.split(" ")
-        seen, out = self.seen, [self._pack(first)]
-        for p in pieces:
-            ids = seen[p] if p in seen else self._piece(p)
-            if ids is None:
-                return self._pack(text)
-            out.append(ids)
-        return b"".join(out)
+            self.seen |= new
+        return new
 
     def __call__(self, text: str) -> bytes:
-        if SPECIAL not in text:
-            return self._part(text)
-        return np.array([SPECIAL_ID], "<u4").tobytes().join(self._part(x) for x in text.split(SPECIAL))
+        return self.all([text])[0]
+
+    def all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; what no text before had is tokenized in one go."""
+        parts = [t.split(" ") if self.plain and not any(x in t for x in self.added) else None for t in texts]
+        seen = self.seen
+        unseen = list({p: None for x in parts if x for p in x[1:] if p not in seen})
+        if unseen:
+            seen = seen | self._learn(unseen) if len(seen) + len(unseen) > self.remember else (self._learn(unseen), self.seen)[1]
+        out = []
+        for text, pieces in zip(texts, parts, strict=True):
+            ids = None if pieces is None else [seen[p] for p in pieces[1:]]
+            out.append(self._pack(text) if ids is None or None in ids else self._pack(pieces[0]) + b"".join(ids))
+        return out
 
 
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -131,32 +137,34 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> np.ndarray:
         windows = max(windows + 1, int(windows * (1 + 0.25 * (most / capacity - 1))))
 
 
-def cut_pieces(docs: DataFrame, ranks: str, window: int = 2048, rest: int = 256, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Tokenize and cut: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids as bytes.
+def cut_pieces(docs: DataFrame, tokenizer: str, window: int = 2048, rest: int = 256, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, source_col: str | None = None) -> DataFrame:
+    """Tokenize and cut: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids as bytes and the source.
 
     Windows of `window` ids, then pieces of at most `rest` ids: short pieces level windows better.
     """
     small_batches(docs.sparkSession)
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
+    fields = [("doc_id", "long"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long")]
+    fields += [("ids", "binary")] * with_ids + [("source", "string")] * bool(source_col)
+    schema, names = ", ".join(f"{n} {t}" for n, t in fields), [n for n, _ in fields]
+    types = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = ByteIds.of(ranks), np.array([END_ID], "<u4").tobytes()
+        tokens, end = ByteIds.of(tokenizer), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tokens(text or "") + end
+            sources = batch.column(2).to_pylist()
+            for doc_id, ids, source in zip(batch.column(0).to_pylist(), tokens.all([t or "" for t in batch.column(1).to_pylist()]), sources, strict=True):
+                ids += end
                 n = len(ids) // 4
                 full = n - n % window
                 starts = [*range(0, full, window), *range(full, n, rest)]
                 for start, stop in zip(starts, [*starts[1:], n], strict=True):
                     part = ids[4 * start : 4 * stop]
-                    out.append((doc_id, start, stop - start, zlib.crc32(part), n, *([part] if with_ids else [])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], pa.binary() if i == 5 else pa.int64()) for i in range(5 + with_ids)],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids],
-            )
+                    out.append((doc_id, start, stop - start, zlib.crc32(part), n, *[part] * with_ids, *[source] * bool(source_col)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], types[t]) for i, (_, t) in enumerate(fields)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), source.alias("source")).mapInArrow(run, schema)
 
 
 def pack(pieces: DataFrame, window: int = 2048, group: int = 4096) -> DataFrame:
@@ -180,9 +188,12 @@ def pack(pieces: DataFrame, window: int = 2048, group: int = 4096) -> DataFrame:
     return full.unionByName(short.join(parted, "_piece")).drop("_piece")
 
 
-def pack_documents(docs: DataFrame, ranks: str, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return pack(cut_pieces(docs, ranks, window, id_col=id_col, text_col=text_col, with_ids=with_ids), window)
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, source_col: str | None = None) -> DataFrame:
+    """Pieces of all documents with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    Asked for, also their ids, of which `sequences` makes the windows, and their document's source.
+    """
+    return pack(cut_pieces(docs, tokenizer, window, id_col=id_col, text_col=text_col, with_ids=with_ids, source_col=source_col), window)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -20,9 +20,9 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def BYTE_RANKS() -> str:  # noqa: N802
-    """The byte-level vocabulary of byte_bpe_50k.json, as ranks."""
-    return tokenizer("byte_bpe_50k.tiktoken")
+def byte_level() -> str:
+    """The byte-level tokenizer that packing uses."""
+    return tokenizer("byte_bpe_50k.json")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_documents(spark, sf_dir), BYTE_RANKS())
+    return packing.pack_documents(_documents(spark, sf_dir), byte_level())
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from sparkloom.llm.packing import ByteIds, difference, pack_documents, pack_sizes, sequences
-from sparkloom.llm.queries import BYTE_RANKS, tokenizer
+from sparkloom.llm.queries import byte_level, tokenizer
 
 ODD = ["", " ", "a  b", "a \n b\n \n c ", "\n\n", "x<|endoftext|>y", "<|endoftext|><|endoftext|> ", "don't  stop", "é́   x", "日本 語", "1234 5 67", " lead", "trail ", "a  b", "\x1c \x1fa", "tab\t \tx"]
 
@@ -17,7 +17,7 @@ def library(texts):
 
 
 def ids(text):
-    return np.frombuffer(ByteIds.of(BYTE_RANKS())(text), "<u4").tolist()
+    return np.frombuffer(ByteIds.of(byte_level())(text), "<u4").tolist()
 
 
 def test_ids_are_the_tokenizers():
@@ -32,7 +32,7 @@ def test_ids_of_any_text(texts):
 
 def check(docs, texts, window=2048):
     """texts: id to text; every id in exactly one piece, windows gapless and within their capacity."""
-    got = pack_documents(docs, BYTE_RANKS(), window, with_ids=True)
+    got = pack_documents(docs, byte_level(), window, with_ids=True)
     pieces = got.toPandas()
     want = {d: i + [1] for d, i in zip(texts, library(list(texts.values())), strict=True)}
     for d, its in pieces.groupby("doc_id"):
@@ -64,8 +64,8 @@ def test_small_windows_nulls_long_texts(documents):
 
 def test_repeated_rows_and_empty_table(documents):
     docs = documents((1, "same"), (1, "same"))
-    assert pack_documents(docs, BYTE_RANKS()).count() == 2
-    assert pack_documents(docs.limit(0), BYTE_RANKS()).count() == 0
+    assert pack_documents(docs, byte_level()).count() == 2
+    assert pack_documents(docs.limit(0), byte_level()).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
