@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark, size = seen, 2 * (seen[0] or 0)
-        hot = (seen[2] or 0) > max(FEW, size // 1000)
+        hot = (seen[2] or 0) > FEW
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("near"))
         large = spread_join(both, least, ["u"], "near", size, ["v"]) if hot else both.join(least, "u")

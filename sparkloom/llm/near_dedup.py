@@ -224,26 +224,40 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, copies: int = 256)
     return rows.mapInArrow(run, "u binary, v binary")
 
 
+def _common(sets: list[np.ndarray], rare: int = 8, width: int = 1024) -> np.ndarray:
+    """How many hashes each pair of sets shares (above the diagonal): rare ones pair by pair, others as products."""
+    n = len(sets)
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    uses = np.diff(np.r_[start, len(flat)])
+    out = np.zeros((n, n), np.float32)
+    for u in range(2, rare + 1):
+        at = start[uses == u]
+        for i in range(u if len(at) else 0):
+            for j in range(i + 1, u):  # rows of a hash ascend
+                np.add.at(out, (row[at + i], row[at + j]), 1)
+    often = np.flatnonzero(uses > rare)
+    for k in range(0, len(often), width):
+        here = often[k : k + width]
+        member = np.repeat(start[here] - np.r_[0, np.cumsum(uses[here])[:-1]], uses[here]) + np.arange(uses[here].sum())
+        part = np.zeros((n, len(here)), np.float32)
+        part[row[member], np.repeat(np.arange(len(here)), uses[here])] = 1
+        out += part @ part.T
+    return np.triu(out, 1)
+
+
 def _links_of_block(names: list[bytes], comps: list[bytes], halves: list[bool], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
     """Links between members of different components; where there are two halves, between them only. A spanning set."""
-    cross = len(set(halves)) > 1
     sizes = np.array([len(s) for s in sets])
-    flat, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    shared = np.bincount(inverse, minlength=len(flat)) > 1
-    column = np.cumsum(shared) - 1
-    use = shared[inverse]
-    row, inverse = row[use], column[inverse[use]]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(inverse, kind="stable")
-    row, inverse, width = row[order], inverse[order], 8192
-    for at in range(0, int(shared.sum()), width):
-        lo, hi = np.searchsorted(inverse, (at, at + width))
-        part = np.zeros((len(sets), width), np.float32)
-        part[row[lo:hi], inverse[lo:hi] - at] = 1
-        common += part @ part.T
+    common = _common(sets)
     union = sizes[:, None] + sizes[None, :] - common
-    i, j = np.nonzero(np.triu(100 * common >= percent * union, 1))
+    comp, half = np.unique(comps, return_inverse=True)[1], np.array(halves)
+    good = (100 * common >= percent * union) & (common > 0) & (comp[:, None] != comp[None, :])
+    if half.any() and not half.all():
+        good &= half[:, None] != half[None, :]
     root = {c: c for c in comps}
 
     def find(c: bytes) -> bytes:
@@ -252,9 +266,7 @@ def _links_of_block(names: list[bytes], comps: list[bytes], halves: list[bool],
         return c
 
     out = []
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        if cross and halves[a] == halves[b]:
-            continue
+    for a, b in zip(*(x.tolist() for x in np.nonzero(good)), strict=True):
         x, y = find(comps[a]), find(comps[b])
         if x != y:
             root[x] = y
@@ -263,14 +275,16 @@ def _links_of_block(names: list[bytes], comps: list[bytes], halves: list[bool],
 
 
 def _search(members: DataFrame, total: int, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links within buckets that still hold several components. members: band, key, node, comp, n; total of them.
+    """Links within buckets that still hold several components. members: band, key, held, weight, node, comp, n; total of them.
 
-    Sets whose sizes are two classes apart can't be similar: a class ends where its first size is the threshold of it.
+    held and weight: members of the bucket and hashes of their sets. A bucket that fits a block is one; of a larger one
+    sets whose sizes are two classes apart can't be similar: a class ends where its first size is the threshold of it.
     """
-    wide = F.lit(-math.log(min(percent, 99) / 100))
-    rows = members.withColumn("cls", F.floor(F.log("n") / wide).cast("int"))
-    # A block holds `block` sets at most, and fewer if they are large (2**21 hashes at most, two sets at least).
-    most = F.greatest(F.lit(2), F.least(F.lit(block), F.floor(F.lit(float(1 << 21)) / F.exp((F.col("cls") + 1) * wide)))).cast("int")
+    wide, hashes = F.lit(-math.log(min(percent, 99) / 100)), 1 << 18
+    small = (F.col("held") <= block) & (F.col("weight") <= hashes)
+    rows = members.withColumn("cls", F.when(small, -9).otherwise(F.floor(F.log("n") / wide)).cast("int")).drop("held", "weight")
+    # A block holds `block` sets at most, and fewer if they are large (2**18 hashes, but two sets at least).
+    most = F.when(F.col("cls") < 0, block).otherwise(F.greatest(F.lit(2), F.least(F.lit(block), F.floor(F.lit(float(hashes)) / F.exp((F.col("cls") + 1) * wide))))).cast("int")
     counts = rows.groupBy("band", "key", "cls").agg(F.count("*").alias("held")).withColumn("blocks", F.ceil(F.col("held") / most).cast("int"))
     near = Window.partitionBy("band", "key").orderBy("cls")  # a bucket's classes are some hundred at most
     beside = lambda f, step: F.when(f("cls", 1).over(near) == F.col("cls") + step, f("blocks", 1).over(near)).otherwise(0)
@@ -317,7 +331,7 @@ def _search(members: DataFrame, total: int, sets: DataFrame, percent: int, block
     return rows.mapInArrow(run, "u binary, v binary")
 
 
-def near_groups(docs: DataFrame, percent: int = 85, words: int = 5, bands: int | None = None, rows: int | None = None, block: int = 128, id_col: str = "doc_id", text_col: str = "text", by_id: bool = True) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = 85, words: int = 5, bands: int | None = None, rows: int | None = None, block: int = 512, id_col: str = "doc_id", text_col: str = "text", by_id: bool = True) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept, text_hash, first (doc_id and text_hash of its component's first row)."""
     small_batches(docs.sparkSession)
     if bands is None or rows is None:
@@ -338,9 +352,9 @@ def near_groups(docs: DataFrame, percent: int = 85, words: int = 5, bands: int |
     roots = components(links)
     # Buckets with members of several components, one of those that have the same members.
     placed = stored(members.filter("count > 2").join(roots, "node", "left").select("band", "key", "node", "n", F.coalesce("root", "node").alias("comp")), "placed")
-    alike = [F.count("*").alias("held"), *(F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"h{seed}") for seed in (1, 2)), F.min("comp").alias("lo"), F.max("comp").alias("hi")]
-    mixed = placed.groupBy("band", "key").agg(*alike).filter("lo <> hi").groupBy("held", "h1", "h2").agg(F.min_by(F.struct("band", "key"), F.struct("band", "key")).alias("b"))
-    open_ = stored(spread_join(placed, mixed.select("b.band", "b.key", "held"), ["band", "key"], "held", total * bands, ["node"]).drop("held"), "open")
+    alike = [F.count("*").alias("held"), F.sum("n").alias("weight"), *(F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"h{seed}") for seed in (1, 2)), F.min("comp").alias("lo"), F.max("comp").alias("hi")]
+    mixed = placed.groupBy("band", "key").agg(*alike).filter("lo <> hi").groupBy("held", "weight", "h1", "h2").agg(F.min_by(F.struct("band", "key"), F.struct("band", "key")).alias("b"))
+    open_ = stored(spread_join(placed, mixed.select("b.band", "b.key", "held", "weight"), ["band", "key"], "held", total * bands, ["node"]), "open")
     held, found = open_.count(), []
     if held:
         found.append(stored(_search(open_, held, sets, percent, block), "more"))

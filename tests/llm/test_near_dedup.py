@@ -147,3 +147,12 @@ def test_an_id_links_its_texts(documents, rows):
     docs = documents((5, "a b c d e"), (3, "a b c d e"), (5, "v w x y z"), (9, "v w x y z"))
     assert rows(near_groups(docs), "doc_id", "component_id", "kept") == [(3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False)]
     assert {r.doc_id for r in near_dedup(docs).collect()} == {3, 5}
+
+
+def test_shared_hashes_are_counted():
+    from sparkloom.llm.near_dedup import _common
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60 if i % 3 else 4000, 40).astype(np.uint64)) for i in range(40)]
+    want = [[len(np.intersect1d(a, b)) if i < j else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    assert (_common(sets, width=7) == np.array(want)).all()
