@@ -94,7 +94,9 @@ def spread_join(rows: DataFrame, side: DataFrame, keys: Sequence[str], size: str
     def part(which: Column, name: str) -> DataFrame:
         return side.filter(which).select(*(F.col(k).alias(f"_{name}_{k}") for k in keys), F.struct(*values).alias(f"_{name}"))
 
-    hot, cold = part(F.col(size) > limit, "hot"), part(F.col(size) <= limit, "cold").withColumn("_rest", F.lit(0).cast("long"))
+    hot, cold = part(F.col(size) > limit, "hot"), part(F.col(size) <= limit, "cold")
+    # Always 0, but no literal: the optimizer would take a literal out of the join's keys, and nothing would be spread.
+    cold = cold.withColumn("_rest", F.pmod(F.xxhash64(*(f"_cold_{k}" for k in keys)), F.lit(1)).cast("long"))
     match = lambda name: [F.col(k) == F.col(f"_{name}_{k}") for k in keys]
     out = rows.join(F.broadcast(hot), match("hot"), "left")
     salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*by), F.lit(1 << 20)) + 1).cast("long")
