@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts that only hold a place.
@@ -95,6 +95,12 @@ def size_text(size: Column) -> Column:
     return shown
 
 
+def named_values(rows: DataFrame) -> Column:
+    """`name: value` for each column of a row in order; nulls and empty values are left out."""
+    shown = (F.when(F.col(c).cast("string") != "", F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in rows.columns)
+    return F.concat_ws(", ", *shown)
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
 

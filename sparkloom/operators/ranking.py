@@ -25,29 +25,35 @@ def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     return words.select(key, F.explode("words").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), stats
 
 
+def _uses(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == F.lit(term)))
+
+
 def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], limit: int, where: Column | None = None, must: Sequence[str] = (), never: Sequence[str] = ()) -> DataFrame:
     """The `limit` best rows for terms joined by OR: key, score. Statistics are those of all rows; `where` filters hits.
 
-    One scan gives lengths and the counts of the asked terms; no posting of another term leaves its task.
+    A row keeps its length and its uses of the asked terms; one aggregate gives the statistics as a single row, and each
+    row is scored where it lies. Nothing but that row and the best rows of each task leaves a task.
     """
     asked = sorted({t.lower() for t in terms})
-    words = docs.withColumn("_words", tokens(F.col(text))).withColumn("_len", F.size("_words"))
-    whole = words.agg(F.count("*").alias("n"), F.avg("_len").alias("mean"))  # one row
-    hits = words.filter(F.arrays_overlap("_words", F.array(*map(F.lit, asked))))
-    counts = hits.select(key, "_len", F.explode(F.filter("_words", lambda t: t.isin(*asked))).alias("term")).groupBy(key, "_len", "term").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))  # a row for each asked term at most
-    rows = counts.join(F.broadcast(df), "term").crossJoin(F.broadcast(whole))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("_len") / F.col("mean")))
-    scored = rows.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
-    if where is not None:
-        scored = scored.join(docs.filter(where).select(key), key, "left_semi")
-    for words_, how in ((must, "left_semi"), (never, "left_anti")):
-        if words_:
-            every = F.array(*(F.lit(w.lower()) for w in words_))
-            match = F.size(F.array_intersect("_words", every)) == len(set(words_)) if how == "left_semi" else F.arrays_overlap("_words", every)
-            scored = scored.join(words.filter(match).select(key), key, how)
-    return scored.orderBy(F.desc("score"), key).limit(limit)
+    passes = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    held = docs.select(key, passes.alias("_passes"), tokens(F.col(text)).alias("_words"))
+    has = lambda w: F.array_contains("_words", w.lower())
+    for word in must:
+        held = held.withColumn("_passes", F.col("_passes") & has(word))
+    for word in never:
+        held = held.withColumn("_passes", F.col("_passes") & ~has(word))
+    held = held.select(key, "_passes", F.size("_words").alias("_len"), F.filter("_words", lambda w: w.isin(*asked)).alias("_found"))
+    using = [F.count_if(F.array_contains("_found", t)).alias(f"_df{i}") for i, t in enumerate(asked)]
+    whole = held.agg(F.count("*").alias("_n"), F.avg("_len").alias("_mean"), *using)  # one row
+    score = F.lit(0.0)
+    for i, t in enumerate(asked):
+        tf = _uses("_found", t)
+        idf = F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
+        score += idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_mean")))
+    # The score needs the statistics, so this filter stays above the join and no text is cut into words twice for it.
+    rows = held.filter("_passes").crossJoin(F.broadcast(whole)).select(key, score.alias("score")).filter("score > 0")
+    return rows.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), key).limit(limit)
 
 
 def phrase(docs: DataFrame, key: str, text: str, words: Sequence[str]) -> DataFrame:

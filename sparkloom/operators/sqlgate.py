@@ -67,6 +67,17 @@ def table_report(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def schema_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """A row for each column: table, position, column, type, and the rows of its table, counted once a table."""
+    out = None
+    for name, df in sorted(tables.items()):
+        kind = lambda t: t.simpleString().removesuffix("_ntz")
+        columns = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.lit(kind(f.dataType)).alias("type")) for i, f in enumerate(df.schema, 1)))
+        part = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), F.inline(columns), "rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def folder_tables(spark: SparkSession, folder: str) -> list[str]:
     """Names of the Parquet tables in a folder of any file system."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -25,22 +25,25 @@ def _array_of_stops() -> Column:
 
 
 def phrases(docs: DataFrame, key: str, text: str, most_words: int = 4) -> DataFrame:
-    """key, phrase, uses: runs of words between stop words and signs, of most_words at most."""
+    """key, phrase, uses: runs of words between stop words and signs, of most_words at most. The rows of a key lie in one partition."""
     marked = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}\s'-]+", " | ")
     words = F.filter(F.split(marked, r"\s+"), lambda w: w != "")
     stopped = F.transform(words, lambda w: F.when((w == "|") | _is_stop(w), F.lit("|")).otherwise(w))
     runs = F.filter(F.transform(F.split(F.array_join(stopped, " "), r"\|"), lambda p: F.trim(p)), lambda p: p != "")
-    rows = docs.select(key, F.explode(runs).alias("phrase"))
+    rows = docs.select(key, runs.alias("runs")).repartition(key).select(key, F.explode("runs").alias("phrase"))
     return rows.filter(F.size(F.split("phrase", " ")) <= most_words).groupBy(key, "phrase").agg(F.count("*").alias("uses"))
 
 
 def rake(docs: DataFrame, key: str, text: str, most: int = 20, most_words: int = 4, least: float = 1.0) -> DataFrame:
-    """key, tag, score, rank: phrases by the sum of degree over frequency of their words."""
-    found = phrases(docs, key, text, most_words)
-    n = F.size(F.split("phrase", " "))
-    words = found.select(key, "uses", n.alias("n"), F.explode(F.split("phrase", " ")).alias("word"))
-    weight = words.groupBy(key, "word").agg((F.sum(F.col("uses") * F.col("n")) / F.sum("uses")).alias("weight"))
-    parts = found.select(key, "phrase", F.explode(F.split("phrase", " ")).alias("word")).join(weight, [key, "word"])
+    """key, tag, score, rank: phrases by the sum of degree over frequency of their words.
+
+    Texts are dealt by key once; counts, weights and ranks are taken where they lie, without another shuffle.
+    """
+    found = phrases(docs, key, text, most_words).withColumn("words", F.split("phrase", " "))
+    words = found.select(key, "phrase", "uses", F.size("words").alias("n"), F.explode("words").alias("word"))
+    of_word = Window.partitionBy(key, "word")
+    weight = F.sum(F.col("uses") * F.col("n")).over(of_word) / F.sum("uses").over(of_word)
+    parts = words.select(key, "phrase", weight.alias("weight"))
     scored = parts.groupBy(key, F.col("phrase").alias("tag")).agg(F.round(F.sum("weight"), 6).alias("score")).filter(F.col("score") >= least)
     return _best(scored, key, most)
 
@@ -49,7 +52,7 @@ def tfidf(docs: DataFrame, key: str, text: str, most: int = 5, least_bytes: int
     """key, tag, score, rank: words by frequency times the log of sentences over sentences with the word."""
     sentences = F.filter(F.split(F.lower(F.col(text)), r"[.!?]+"), lambda s: F.regexp_like(s, F.lit(r"\p{L}")))
     cut = F.transform(sentences, lambda s: F.filter(F.regexp_extract_all(s, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: ~_is_stop(w)))
-    held = docs.select(key, cut.alias("cut")).select(key, "cut", F.size("cut").alias("sentences"))
+    held = docs.select(key, cut.alias("cut")).repartition(key).select(key, "cut", F.size("cut").alias("sentences"))  # the only shuffle
     rows = held.select(key, "sentences", F.posexplode("cut").alias("sentence", "words"))
     words = rows.select(key, "sentences", "sentence", F.explode("words").alias("word"))
     per = words.groupBy(key, "sentences", "word", "sentence").agg(F.count("*").alias("n"))

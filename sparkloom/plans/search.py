@@ -122,6 +122,15 @@ def bm25_filtered(spark: SparkSession, folder: str) -> DataFrame:
     return _texts(spark, folder, 150, F.col("entry_type") == "en")
 
 
+_ITEMS = "SELECT conv_id || '/' || turn AS id, role, text FROM conversations"
+
+
+@query("WITH " + _bm25_sql(_ITEMS, "role = 'user'", 60) + " SELECT id AS item_id, score FROM t")
+def bm25_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Text search over work items of one kind."""
+    return ranking.bm25(tables.work_items(spark, folder), "item_id", "title", TERMS, 60, F.col("role") == "user")
+
+
 @query("WITH " + _bm25_sql(_PAGES, limit=50) + " SELECT id AS page_id, score, coalesce(nullif(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), ''), url) AS title FROM t JOIN pages ON page_id = id")
 def bm25_pages(spark: SparkSession, folder: str) -> DataFrame:
     p = tables.pages(spark, folder).withColumn("text", F.regexp_replace("html", "<[^>]*>", " "))

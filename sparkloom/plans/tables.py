@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import text, urls
 from ..operators import ranking, sqlgate
 from ..operators.sqlgate import TEMPLATES, run_safely
 from ..sources import tables
@@ -50,6 +50,72 @@ def document_with_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return tables.entries(spark, folder).select("entry_id").join(nested, "entry_id", "left")
 
 
+@query("SELECT page_id, url, length(html) AS chars FROM pages WHERE page_id = 7")
+def page_by_id(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.pages(spark, folder).filter("page_id = 7").select("page_id", "url", F.length("html").cast("long").alias("chars"))
+
+
+@query(f"SELECT page_id, url FROM pages WHERE {_HOST} = (SELECT {_HOST} FROM pages WHERE page_id = 7) ORDER BY page_id")
+def pages_of_domain(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages from the domain of page 7, oldest first."""
+    p = tables.pages(spark, folder)
+    return p.join(F.broadcast(p.filter("page_id = 7").select("domain").limit(1)), "domain").select("page_id", "url").orderBy("page_id")
+
+
+@query("SELECT vec_id AS chunk_id, vec_id // 5 AS entry_id, (vec_id % 5)::INT AS chunk_index, label AS chunk_type, 0.0::DOUBLE AS distance, 1.0::DOUBLE AS score FROM embeddings WHERE vec_id = 7")
+def chunk_by_id(spark: SparkSession, folder: str) -> DataFrame:
+    """One chunk, given like a hit at distance 0."""
+    hit = tables.chunks(spark, folder).filter("chunk_id = 7").drop("vector")
+    return hit.withColumns({"distance": F.lit(0.0), "score": F.lit(1.0)})
+
+
+@query("""
+    WITH s AS (SELECT p_partkey AS entry_id, regexp_replace(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part)
+    SELECT * FROM s WHERE slug = (SELECT slug FROM s WHERE entry_id = 7)""")
+def entries_by_slug(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries whose title gives the slug of entry 7's."""
+    named = tables.table(spark, folder, "part").select(F.col("p_partkey").alias("entry_id"), text.slug(F.col("p_name")).alias("slug"))
+    asked = named.filter("entry_id = 7").select("slug").limit(1)
+    return named.join(F.broadcast(asked), "slug").select("entry_id", "slug")
+
+
+@query("""
+    SELECT substr(sha256(coalesce(source, '') || '/' || doc_id || '.txt'), 1, 32) AS id, doc_id::VARCHAR AS title, substr(coalesce(text, ''), 1, 200) AS description, 'indexed-content' AS tag
+    FROM documents""")
+def text_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of plain texts: ids from their paths, stems of the files as titles, the first 200 characters as descriptions."""
+    path = F.concat(F.coalesce("source_domain", F.lit("")), F.lit("/"), F.col("entry_id").cast("string"), F.lit(".txt"))
+    return tables.entries(spark, folder).select(
+        F.substring(F.sha2(path.cast("binary"), 256), 1, 32).alias("id"),
+        F.regexp_extract(path, r"([^/]*)\.[^./]*$", 1).alias("title"),
+        F.substring("content", 1, 200).alias("description"),
+        F.lit("indexed-content").alias("tag"),
+    )
+
+
+@query("""
+    SELECT s_suppkey AS id, array_to_string(list_filter([
+        's_suppkey: ' || s_suppkey, CASE WHEN s_name <> '' THEN 's_name: ' || s_name END, 's_nationkey: ' || s_nationkey], lambda x: x IS NOT NULL), ', ') AS line
+    FROM supplier""")
+def row_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows as lines of names and values, as tables are indexed; values that are empty are left out."""
+    rows = tables.table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    return rows.select(F.col("s_suppkey").alias("id"), text.named_values(rows).alias("line"))
+
+
+@query("""
+    SELECT table_name AS "table", ordinal_position::INT AS position, column_name AS "column",
+        CASE WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp' WHEN data_type = 'BIGINT' THEN 'bigint' WHEN data_type = 'INTEGER' THEN 'int'
+            WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type = 'DOUBLE' THEN 'double' WHEN data_type = 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END AS type,
+        CASE table_name WHEN 'documents' THEN (SELECT count(*) FROM documents) WHEN 'embeddings' THEN (SELECT count(*) FROM embeddings)
+            WHEN 'pages' THEN (SELECT count(*) FROM pages) WHEN 'events' THEN (SELECT count(*) FROM events) WHEN 'orders' THEN (SELECT count(*) FROM orders) END AS rows
+    FROM information_schema.columns WHERE table_name IN ('documents', 'embeddings', 'pages', 'events', 'orders')""")
+def schema_report(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each column of the library's main tables: place, name, type, and how many rows its table has."""
+    names = ("documents", "embeddings", "pages", "events", "orders")
+    return sqlgate.schema_report({n: tables.table(spark, folder, n) for n in names})
+
+
 @query("SELECT vec_id AS chunk_id, page_id, url FROM embeddings JOIN pages ON page_id = vec_id // 5")
 def page_context(spark: SparkSession, folder: str) -> DataFrame:
     """The page each chunk comes from."""
