@@ -8,6 +8,8 @@ from operator import add, or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import text as text_functions
+
 #: What code has, what a bad extraction has, what prose has.
 INDICATORS = (
     r"\w+\s*\([^)]*\)",
@@ -33,7 +35,8 @@ PROSE = (
     r"[.!?]\s+[A-Z]",
     r"\b(however|therefore|furthermore|moreover|nevertheless|additionally|specifically)\b",
 )
-COMMENT = r"""^\s*(//|#|/\*|\*|<!--|\"\"\"|''')"""
+#: How lines of comments begin, and languages that are diagrams.
+COMMENT = (r"^\s*(//|#|/\*|\*|<!--)", r'^\s*"""', r"^\s*'''", r"^\s*\*\s")
 DIAGRAMS = ("mermaid", "plantuml", "graphviz", "dot", "diagram")
 #: Words of which code of a language has two at least.
 LANGUAGE_WORDS = {
@@ -115,7 +118,7 @@ def verdict(text: Column, language: Column | None = None, least: int = 20, most:
     size = F.octet_length(F.regexp_replace(text, r"^\s+|\s+$", ""))
     lines = F.split(F.regexp_replace(text, r"\n$", ""), "\n")
     filled = F.size(F.filter(lines, lambda x: _has(x, r"\S")))
-    comments = F.size(F.filter(lines, lambda x: _has(x, COMMENT)))
+    comments = F.size(F.filter(lines, lambda x: reduce(or_, (_has(x, p) for p in COMMENT))))
     long = F.size(F.filter(lines, lambda x: F.octet_length(x) > 300))
     out = F.when(size < least, "too short").when(size > most, "too long")
     if language is not None:
@@ -137,6 +140,11 @@ def canonical_language(hint: Column) -> Column:
     return out
 
 
+def language_vote(text: Column) -> Column:
+    """The language of which a text has most words, two at least; ties go to the first name; null for none."""
+    return text_functions.language_vote(text, LANGUAGE_WORDS)
+
+
 def alias(language: Column) -> Column:
     low = F.lower(language)
     out = low

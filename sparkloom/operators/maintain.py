@@ -20,7 +20,7 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
 
 
 def delete(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    return rows.join(gone.select(key).distinct(), key, "left_anti")
+    return rows.join(gone.select(key).distinct(), key, "left_anti").select(*rows.columns)
 
 
 def deletion_preview(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import maintain, ranking, trees
 from ..sources import tables
+from ..sources.storage import stored
 from .catalog import query
 
 COLUMNS = ("O", "F", "P")
@@ -87,16 +88,16 @@ def child_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-    WITH RECURSIVE l AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_quantity >= 49),
-    g AS (SELECT DISTINCT x.a AS src, y.a AS dst FROM l x JOIN l y ON x.b = y.b AND x.a < y.a AND y.a - x.a <= 40),
-    r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN g ON src = node WHERE depth < 3)
+    WITH RECURSIVE l AS (SELECT DISTINCT 'part/' || l_partkey AS a, 'supplier/' || l_suppkey AS b FROM lineitem),
+    g AS (SELECT a AS src, b AS dst FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT 'supplier/' || s_suppkey AS node, 0 AS depth FROM supplier WHERE s_acctbal < 0 UNION SELECT dst, depth + 1 FROM r JOIN g ON src = node WHERE depth < 3)
     SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def crawl_reach(spark: SparkSession, folder: str) -> DataFrame:
-    """Entries reached from entry 1 in three steps, each from an entry to a later one close by with a common supplier."""
-    l = tables.table(spark, folder, "lineitem").filter("l_quantity >= 49").select("l_partkey", "l_suppkey").distinct()  # noqa: E741
-    x, y = l.select(F.col("l_partkey").alias("src"), "l_suppkey"), l.select(F.col("l_partkey").alias("dst"), "l_suppkey")
-    links = x.join(y, "l_suppkey").filter("src < dst and dst - src <= 40").select("src", "dst").distinct()
-    seeds = spark.range(1).select((F.col("id") + 1).alias("node"))
+    """Parts and suppliers reached in three steps from suppliers in debt, over all that were ever ordered together."""
+    part, supplier = (F.concat(F.lit(f"{k}/"), f"l_{c}key") for k, c in (("part", "part"), ("supplier", "supp")))
+    ordered = tables.table(spark, folder, "lineitem").select(part.alias("src"), supplier.alias("dst")).distinct()
+    links = stored(ordered.unionByName(ordered.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "links")
+    seeds = tables.table(spark, folder, "supplier").filter("s_acctbal < 0").select(F.concat(F.lit("supplier/"), "s_suppkey").alias("node"))
     return trees.reach(links, seeds, 3)
 
 

@@ -71,11 +71,14 @@ def crawl_schedule(spark: SparkSession, folder: str) -> DataFrame:
     return crawl.schedule(rows).select("page_id", "domain", "after")
 
 
-@query("SELECT doc_id AS entry_id, 'feature' AS template, 4 AS steps FROM documents WHERE NOT regexp_matches(lower(coalesce(text, '')), 'bug|fix|broken|research|explore|investigate|refactor|reorganize|restructure')")
+@query("""
+    WITH d AS (SELECT doc_id AS entry_id, lower(coalesce(text, '')) AS low FROM documents),
+    t AS (SELECT entry_id, CASE WHEN regexp_matches(low, 'bug|fix|broken') THEN 'bug_fix' WHEN regexp_matches(low, 'research|explore|investigate') THEN 'research' WHEN regexp_matches(low, 'refactor|reorganize|restructure') THEN 'refactor' ELSE 'feature' END AS template FROM d)
+    SELECT entry_id, template, CASE template WHEN 'bug_fix' THEN 'Investigate,Fix,Test,Verify' WHEN 'research' THEN 'Explore,Prototype,Evaluate,Document' WHEN 'refactor' THEN 'Analyze,Plan,Execute,Verify' ELSE 'Design,Implement,Test,Document' END AS phases FROM t""")
 def plan_templates(spark: SparkSession, folder: str) -> DataFrame:
-    """Plans of entries without a keyword of another template."""
+    """The plan that each entry's keywords call for, and its phases."""
     rows = tables.entries(spark, folder).select("entry_id", crawl.plan_template(F.col("content")).alias("template"))
-    return rows.filter("template = 'feature'").select("entry_id", "template", F.size(crawl.phases(F.col("template"))).alias("steps"))
+    return rows.select("entry_id", "template", F.array_join(crawl.phases(F.col("template")), ",").alias("phases"))
 
 
 @query("SELECT user_id AS job_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, count(*) OVER (PARTITION BY user_id) AS items FROM events WHERE event_type = 'error'")

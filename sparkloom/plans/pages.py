@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import code, markup, selectors, text, urls
@@ -164,6 +164,26 @@ def language_vote(spark: SparkSession, folder: str) -> DataFrame:
     return tables.entries(spark, folder).select("entry_id", text.language_vote(F.col("content")).alias("lang"))
 
 
+_SIGNS = ", ".join(f"({' + '.join(f'contains({_BODY}, {_quoted(p)})::INT' for p in ps)}) AS \"{k}\"" for k, ps in sorted(code.LANGUAGE_WORDS.items()))
+_KNOWN = sorted(code.LANGUAGE_WORDS)
+_CODE_VOTE = f"SELECT doc_id, source, CASE WHEN top >= 2 THEN CASE {' '.join(f'WHEN "{k}" = top THEN {_quoted(k)}' for k in _KNOWN)} END END AS language FROM (SELECT *, greatest({', '.join(f'"{k}"' for k in _KNOWN)}) AS top FROM (SELECT doc_id, source, {_SIGNS} FROM documents))"
+
+
+@query(f"SELECT doc_id AS entry_id, language FROM ({_CODE_VOTE})")
+def code_language_vote(spark: SparkSession, folder: str) -> DataFrame:
+    """The programming language of which a text has most words, two at least; ties go to the first name."""
+    return tables.entries(spark, folder).select("entry_id", code.language_vote(F.col("content")).alias("language"))
+
+
+@query(f"SELECT source, coalesce(language, 'unknown') AS language, count(*) AS blocks, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, coalesce(language, 'unknown')) AS rank FROM ({_CODE_VOTE}) GROUP BY 1, 2")
+def code_language_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of each source by programming language, commonest first; `unknown` where no language wins the vote."""
+    language = F.coalesce(code.language_vote(F.col("content")), F.lit("unknown"))
+    rows = tables.entries(spark, folder).select(F.col("source_domain").alias("source"), language.alias("language"))
+    counts = rows.groupBy("source", "language").agg(F.count("*").alias("blocks"))
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("blocks"), "language")))
+
+
 @query(f"SELECT doc_id AS entry_id, list_slice(list_filter(list_transform(regexp_split_to_array({_BODY}, '\\r?\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '' AND strlen(x) < 80 AND len(regexp_extract_all(x, '\\p{{Lu}}')) > 1), 1, 10) AS lines {_D}")
 def heading_lines(spark: SparkSession, folder: str) -> DataFrame:
     return tables.entries(spark, folder).select("entry_id", text.heading_lines(F.col("content")).alias("lines"))
@@ -193,7 +213,7 @@ _PROSE = " + ".join(f"len(regexp_extract_all({_BODY}, {_quoted(p)}))" for p in c
     WITH x AS (
         SELECT doc_id, strlen(regexp_replace({_BODY}, '^\\s+|\\s+$', '', 'g')) AS size, {_BAD} AS bad, {_INDICATED} AS n, {_LINES} AS lines, {_PROSE} AS prose, len(list_filter(regexp_split_to_array({_BODY}, '\\s+'), lambda w: w <> '')) AS words
         FROM documents),
-    y AS (SELECT *, len(list_filter(lines, lambda l: regexp_matches(l, '\\S'))) AS filled, len(list_filter(lines, lambda l: regexp_matches(l, {_quoted(code.COMMENT)}))) AS comments, len(list_filter(lines, lambda l: strlen(l) > 300)) AS long_lines FROM x)
+    y AS (SELECT *, len(list_filter(lines, lambda l: regexp_matches(l, '\\S'))) AS filled, len(list_filter(lines, lambda l: {' OR '.join(f'regexp_matches(l, {_quoted(p)})' for p in code.COMMENT)})) AS comments, len(list_filter(lines, lambda l: strlen(l) > 300)) AS long_lines FROM x)
     SELECT doc_id AS entry_id, CASE
         WHEN size < 20 THEN 'too short' WHEN size > 50000 THEN 'too long' WHEN bad THEN 'bad extraction' WHEN n < 3 THEN 'few indicators' WHEN filled = 0 THEN 'no lines'
         WHEN comments / filled > 0.7 THEN 'comments' WHEN filled < 3 THEN 'few lines' WHEN long_lines > len(lines) // 2 THEN 'long lines' WHEN prose / greatest(words, 1) > 0.15 THEN 'prose' ELSE 'valid' END AS verdict

@@ -101,18 +101,17 @@ def stage_progress(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS state, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def events_stream_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily counts by a stream of the events' files: each batch's sums are merged into a table of sums."""
+    """Daily counts by a stream of the events' files: each batch adds its sums to one table, a folder for each batch."""
     stream = jobs.event_stream(spark, _files(folder, "events"))
-    parts: list[DataFrame] = []
+    empty = spark.createDataFrame([], "start timestamp, state string, events long, value double")
+    sums = stored(empty.withColumn("batch", F.lit(0)), "sums", by="batch").stored_at
 
     def each(batch: DataFrame, number: int) -> None:
         grouped = batch.groupBy(F.window("ts", "1 day")["start"].alias("start"), "state").agg(F.count("*").alias("events"), F.sum("value").alias("value"))
-        parts.append(stored(grouped, "batch"))
+        grouped.write.mode("overwrite").parquet(f"{sums}/batch={number}")  # a batch that is run again takes its own place
 
     jobs.run_to_end(stream, "events", each=each)
-    out = parts[0] if parts else spark.createDataFrame([], "start timestamp, state string, events long, value double")
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = spark.read.schema(empty.schema).parquet(sums)
     return out.groupBy("start", "state").agg(F.sum("events").alias("events"), F.round(F.sum("value"), 4).alias("value"))
 
 

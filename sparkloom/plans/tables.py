@@ -143,10 +143,10 @@ def large_documents(spark: SparkSession, folder: str) -> DataFrame:
     return run_safely(spark, TEMPLATES["large_documents"], {"least": 5000}, limit=50)
 
 
-@query("SELECT l_orderkey AS project_id, p_partkey AS entry_id, p_name AS title, l_discount AS relevance FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'F' AND l_discount >= 0.09")
+@query("SELECT l_orderkey AS project_id, p_partkey AS entry_id, p_name AS title, l_discount AS relevance FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'F'")
 def linked_entries(spark: SparkSession, folder: str) -> DataFrame:
     """Three tables: links of closed projects with what they point to."""
-    links = tables.project_links(spark, folder).filter("relevance >= 0.09")
+    links = tables.project_links(spark, folder)
     closed = tables.cards(spark, folder).filter("column = 'F'").select("number")
     names = tables.table(spark, folder, "part").select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("title"))
     return links.join(closed, F.col("number") == F.col("project_id")).join(names, "entry_id").select("project_id", "entry_id", "title", "relevance")

@@ -58,6 +58,29 @@ def test_store_replaces_deletes_and_reindexes(spark, data, tmp_path):
     assert set(store.counts().values()) == {0}
 
 
+def test_store_reads_changes_over_a_base_and_merges_them(spark, data, tmp_path):
+    pages = tables.pages(spark, data).orderBy("page_id").limit(6).select("page_id", "url", "html")
+    store, built = Store(spark, str(tmp_path / "store")), build(pages, 8)
+    store.MERGE = 2
+    store.replace(built)
+    first = {r.entry_id for r in store.read("entries").collect()}
+    one = built.entries.orderBy("entry_id").limit(1).select("entry_id")
+    gone = one.first().entry_id
+    columns = store.read("chunks").columns
+    for _ in range(2):  # layers: base, change, change, merged base, ...
+        store.delete(one)
+        assert {r.entry_id for n in store.TABLES for r in store.read(n).select("entry_id").collect()} == first - {gone}
+        assert len(store._layers()) <= store.MERGE + 1
+        store.replace(build(pages.filter(F.col("page_id") == gone), 8))
+        assert {r.entry_id for r in store.read("entries").collect()} == first
+        assert store.read("chunks").columns == columns and store.read("chunks").count() == built.chunks.count()
+        assert store.read("terms").count() == built.terms.count()
+    # A change holds the touched entry alone.
+    store._write({n: store.read(n) for n in store.TABLES})
+    n = store.replace(build(pages.filter(F.col("page_id") == gone), 8))
+    assert [r.entry_id for r in spark.read.parquet(f"{store.folder}/v{n}/entries").collect()] == [gone]
+
+
 def test_related_to_text_and_tables(spark, data):
     engine = Engine(spark, data)
     assert engine.related_to_text("a title", None, "a text", limit=3).count() == 3
