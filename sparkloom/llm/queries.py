@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotraining, exact_dedup, language, mixing, near_dedup, neighbours, packing, sharding, token_counts, toxicity
+from . import cotraining, exact_dedup, language, lm, merkle, mixing, near_dedup, neighbours, packing, sharding, token_counts, toxicity, tries
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), _documents(spark, sf_dir))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_documents(spark, sf_dir))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
@@ -76,8 +88,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
+    "op11_lm_scores": op11_lm_scores,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_merkle": op13_merkle,
 }
 
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of ASCII text: the polynomial bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    bits = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: {bits}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    field = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')".format
+    return "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
         WITH t AS (
@@ -128,4 +156,72 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT doc_id, min(c) AS component_id FROM g GROUP BY doc_id)
         SELECT t.doc_id, coalesce(n, 0) AS n_shingles, component_id, t.doc_id = component_id AS kept
         FROM t JOIN m USING (doc_id) LEFT JOIN n USING (r)""",
+    "op12_prefix_trie": f"""
+        WITH t AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) AS i, digest, chars
+            FROM (
+                SELECT conv_id, turn, coalesce(role, '') AS role, length(coalesce(text, '')) AS chars,
+                       sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+                FROM conversations WHERE conv_id IS NOT NULL)),
+        v AS (SELECT c, {_crc32("c::VARCHAR")} % 6 AS h, c - c % 100 AS b, own FROM (SELECT c, max(i) AS own FROM t GROUP BY c)),
+        e AS (
+            SELECT v.c, t.i AS d, digest, chars FROM v JOIN t ON t.c = v.b AND t.i <= v.h
+            UNION ALL
+            SELECT v.c, least(v.h, coalesce(base.own, 0)) + t.i - v.h, digest, chars
+            FROM t JOIN v ON t.c = v.c AND t.i > v.h LEFT JOIN v AS base ON base.c = v.b
+            UNION ALL SELECT c, 0, '', 0 FROM v),
+        p AS (
+            SELECT c, d, chars, max(d) OVER (PARTITION BY c) AS l,
+                   sha256(string_agg(digest, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)) AS k
+            FROM e),
+        n AS (
+            SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = l), '')) AS ends_sha256
+            FROM p GROUP BY d, k),
+        a AS (SELECT n.*, y.k AS above FROM n LEFT JOIN p AS y ON y.c = n.conv_id AND y.d = n.d - 1),
+        f AS (SELECT d - 1 AS d, above AS k, count(*) AS n_children FROM a WHERE d > 0 GROUP BY ALL),
+        g AS (SELECT a.*, coalesce(n_children, 0) AS n_children FROM a LEFT JOIN f ON f.d = a.d AND f.k = a.k),
+        s AS (
+            SELECT y.d, y.k, sum((g.n_convs - 1) * g.chars)::BIGINT AS saved_tokens, count(*) FILTER (WHERE g.n_children = 0) AS n_leaves
+            FROM g JOIN p AS y ON y.c = g.conv_id AND y.d <= g.d GROUP BY y.d, y.k)
+        SELECT g.conv_id, g.d AS depth, up.conv_id AS parent_conv_id, g.n_convs, g.n_children, n_leaves, saved_tokens, g.ends_sha256
+        FROM g JOIN s ON s.d = g.d AND s.k = g.k LEFT JOIN n AS up ON up.d = g.d - 1 AND up.k = g.above""",
+    "op13_merkle": f"""
+        WITH RECURSIVE d AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+                   CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE leaf END AS start
+            FROM (SELECT *, {_leaf("text")} AS leaf FROM documents)),
+        n AS (
+            SELECT lang, 0 AS level, place, leaf AS h FROM d
+            UNION ALL
+            SELECT lang, level + 1, place // 8, sha256(string_agg(h, '' ORDER BY place))
+            FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS nodes FROM n) WHERE nodes > 1 GROUP BY lang, level, place // 8),
+        s AS (SELECT lang, arg_max(h, level) AS subroot, max(level) AS levels, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM n GROUP BY lang),
+        u AS (
+            SELECT 0 AS level, tree AS place, subroot AS h FROM s
+            UNION ALL
+            SELECT level + 1, place // 8, sha256(string_agg(h, '' ORDER BY place))
+            FROM (SELECT *, count(*) OVER () AS nodes FROM u) WHERE nodes > 1 GROUP BY level, place // 8),
+        x AS (
+            SELECT tree, level, place, h FROM n JOIN s ON n.lang IS NOT DISTINCT FROM s.lang WHERE level < levels
+            UNION ALL SELECT -1, level, place, h FROM u WHERE level < (SELECT max(level) FROM u)),
+        y AS (
+            SELECT tree, level, place,
+                   coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                   coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM x WINDOW w AS (PARTITION BY tree, level, place // 8 ORDER BY place)),
+        f AS (
+            SELECT doc_id, leaf, s.tree, s.tree AS own, s.subroot, 0 AS level, place, start AS h, '' AS proof
+            FROM d JOIN s ON d.lang IS NOT DISTINCT FROM s.lang
+            UNION ALL
+            SELECT doc_id, leaf,
+                   CASE WHEN y.tree IS NULL THEN -1 ELSE f.tree END, own, subroot,
+                   CASE WHEN y.tree IS NULL THEN 0 ELSE f.level + 1 END,
+                   CASE WHEN y.tree IS NULL THEN own ELSE f.place // 8 END,
+                   CASE WHEN y.tree IS NULL THEN h ELSE sha256(l || h || r) END, proof || coalesce(l || r, '')
+            FROM f LEFT JOIN y ON y.tree = f.tree AND y.level = f.level AND y.place = f.place
+            WHERE f.tree >= 0 OR y.tree IS NOT NULL),
+        z AS (SELECT h AS root FROM u ORDER BY level DESC LIMIT 1)
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+        FROM f, z WHERE tree = -1 AND level = (SELECT max(level) FROM u)""",
 }
