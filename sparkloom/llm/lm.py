@@ -26,6 +26,7 @@ import hashlib
 import math
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -205,9 +206,10 @@ def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
 def by_segment(hashes: np.ndarray, segments: int) -> Iterator[tuple[int, slice]]:
     """The slice of each segment in sorted hashes."""
     own = segment_of(hashes, segments)
-    start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, int)
-    for a, b in zip(start, np.r_[start[1:], len(own)], strict=True):
-        yield int(own[a]), slice(a, b)
+    cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+    for a, b in pairwise(cuts):
+        if b > a:
+            yield int(own[a]), slice(a, b)
 
 
 def held_out(doc_id: Column, folds: int) -> Column:
@@ -301,7 +303,8 @@ class Model:
                 p = (found + 0.1) / self.total
             else:
                 last = np.r_[0.0, history[:-1]]
-                p = np.where(there, (np.minimum(found, last) + self.strength * p) / (last + self.strength), p)
+                found = np.minimum(found, np.minimum(last, history))  # no n-gram is more frequent than its parts
+                p = np.where(there, (found + self.strength * p) / (last + self.strength), p)
             history = found
         return np.log10(np.minimum(p, 1.0))
 
@@ -324,7 +327,7 @@ def _scored(batch: pa.RecordBatch, words: Words, model: Model, levels: Callable[
             add = lambda v: np.bincount(at, v, len(texts))  # noqa: B023, E731
             n += add(None)
             known += add((count > 0).astype(float)).astype(np.int64)
-            base += add(np.where(count < 0, 0.0, np.log10(np.maximum(count, 0) + 0.1)))
+            base += add(np.where(count < 0, 0.0, np.log10((np.maximum(count, 0) + 0.1) / model.total)))
             score += add(logs)
             for i in np.flatnonzero(count < 0):
                 rest[at[i]][0].append(int(one[i].view(np.int64)))
@@ -434,16 +437,15 @@ def score_texts(
         scored = score_here(rows, shared_words, model, spark.sparkContext.broadcast(bloom))
     else:
         scored = score_by_segments(rows, shared_words, model, filters, segments)
-    unit = F.lit(math.log10(model.total))
     if complete:
-        out = scored.withColumn("base_score", F.col("base") - F.col("n_tokens") * unit)
+        out = scored.withColumn("base_score", F.col("base"))
     else:
         scored = stored(scored, "scored")
         lacking = scored.select("row", F.explode(F.arrays_zip("one", "two")).alias("w")).select("row", "w.one", "w.two")
         # A word that is not among the frequent ones holds less than one in most_words of all training tokens.
-        found = lacking.join(others, ["one", "two"]).groupBy("row").agg(F.sum(F.log10(F.col("count") + 0.1)).alias("more"), F.count("*").alias("found"))
+        found = lacking.join(others, ["one", "two"]).groupBy("row").agg(F.sum(F.log10((F.col("count") + 0.1) / F.lit(model.total))).alias("more"), F.count("*").alias("found"))
         out = scored.join(found, "row", "left").withColumn("found", F.coalesce("found", F.lit(0)))
-        unknown = (F.size("one") - F.col("found")) * F.lit(math.log10(0.1))
-        out = out.withColumn("base_score", F.col("base") + F.coalesce("more", F.lit(0.0)) + unknown - F.col("n_tokens") * unit)
+        unknown = (F.size("one") - F.col("found")) * F.lit(math.log10(0.1 / model.total))
+        out = out.withColumn("base_score", F.col("base") + F.coalesce("more", F.lit(0.0)) + unknown)
         out = out.withColumn("n_known", F.col("n_known") + F.col("found"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
