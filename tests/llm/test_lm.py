@@ -60,7 +60,7 @@ def test_scores_against_brute_force(corpus, order):
     docs, rows = corpus
     want = brute(rows, order, 8.0)
     found = close(lm.score_texts(docs, order=order, bits=1024), want, 1e-3)  # so many bits that chance hits are rare
-    plain = close(lm.score_texts(docs, order=order), want, 0.06)
+    plain = close(lm.score_texts(docs, order=order), want, 0.15)
     assert all(a[6] >= b[6] - 1e-6 for a, b in zip(plain, want, strict=True) if order == 1)  # levels err upwards only
     if order > 1:
         assert sum(r[6] for r in found if r[1]) > sum(r[5] for r in found if r[1])
