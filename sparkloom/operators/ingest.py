@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import markup, urls
 from ..functions.embed import embed
 from ..sources.storage import stored
+from ..sources.versions import Versions
 from . import chunkers, maintain, ranking
 
 
@@ -43,79 +43,46 @@ def build(pages: DataFrame, dim: int = 256, size: int = 2000, least: int = chunk
     return Ingested(entries, chunks, terms)
 
 
-class Store:
+class Store(Versions):
     """Entries, chunks and terms under one folder, each version a folder of its own; a change writes the next version.
 
-    A change holds new rows and the ids of the entries it touches, no others: readers leave out rows of older versions
-    whose entry was touched later. Every MERGE changes a version with all rows is written, which readers start from.
-    The versions that count are named by their markers (`base-` with all rows, `done-` for changes), written last, so
-    readers never see half a change.
+    A change holds new rows and the ids of the entries it touches, no others. Every MERGE changes a version with all rows
+    is written, which readers start from. On an empty folder a deletion changes nothing.
     """
 
     TABLES = ("entries", "chunks", "terms")
     MERGE = 16
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _layers(self) -> list[int]:
-        """The newest version with all rows and the changes since."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName().split("-") for s in fs.listStatus(path)]
-        base = max((int(n[1]) for n in names if n[0] == "base"), default=0)
-        return [base, *sorted(int(n[1]) for n in names if n[0] == "done" and int(n[1]) > base)] if base else []
-
-    def version(self) -> int:
-        """The newest complete version; 0 before the first."""
-        return max(self._layers(), default=0)
-
-    def _of(self, layers: list[int], name: str) -> DataFrame:
-        rows = (self.spark.read.parquet(f"{self.folder}/v{n}/{name}").withColumn("_layer", F.lit(n)) for n in layers)
-        return reduce(DataFrame.unionByName, rows)
-
-    def read(self, name: str) -> DataFrame | None:
-        layers = self._layers()
-        if not layers:
-            return None
-        rows = self._of(layers, name)
-        columns = rows.columns[:-1]
-        if len(layers) > 1:
-            touched = self._of(layers[1:], "touched").groupBy("entry_id").agg(F.max("_layer").alias("_last"))
-            rows = rows.join(touched, "entry_id", "left").filter("_last is null or _layer >= _last")
-        return rows.select(*columns)
-
-    def _write(self, tables: dict[str, DataFrame], kind: str = "base") -> int:
-        n = self.version() + 1
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.folder}/v{n}/{name}")
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.folder}/{kind}-{n}")
-        return n
+        super().__init__(spark, folder, "entry_id")
+
+    _layers, _write = Versions.layers, Versions.write
 
     def _change(self, ids: DataFrame, new: dict[str, DataFrame]) -> int:
         """Rows of the ids (entry_id) go, new rows come."""
-        if len(self._layers()) <= self.MERGE:
-            return self._write({**new, "touched": ids.select("entry_id").distinct()}, "done")
-        return self._write({n: maintain.delete(self.read(n), ids, "entry_id").unionByName(new[n]) for n in self.TABLES})
+        if len(self.layers()) <= self.MERGE:
+            return self.write({**new, "touched": ids.select("entry_id").distinct()}, "done")
+        return self.write({n: maintain.delete(self.read(n), ids, "entry_id").unionByName(new[n]) for n in self.TABLES})
 
     def replace(self, new: Ingested) -> int:
         """Entries with the same id are replaced with all their chunks and terms; others stay."""
         parts = {"entries": new.entries, "chunks": new.chunks, "terms": new.terms}
-        return self._change(new.entries, parts) if self.version() else self._write(parts)
+        return self._change(new.entries, parts) if self.version() else self.write(parts)
 
     def delete(self, ids: DataFrame) -> int:
-        """Entries of the ids (entry_id) go, with their chunks and terms."""
-        return self._change(ids, {n: self.read(n).limit(0) for n in self.TABLES})
+        """Entries of the ids (entry_id) go, with their chunks and terms; 0 where there is no version yet."""
+        return self._change(ids, {n: self.read(n).limit(0) for n in self.TABLES}) if self.version() else 0
 
     def clear(self) -> int:
-        return self._write({n: self.read(n).limit(0) for n in self.TABLES})
+        """A version without rows; 0 where there is no version yet."""
+        return self.write({n: self.read(n).limit(0) for n in self.TABLES}) if self.version() else 0
 
     def reindex(self) -> int:
-        """Terms of all entries anew."""
+        """Terms of all entries anew; 0 where there is no version yet."""
+        if not self.version():
+            return 0
         entries = self.read("entries")
-        return self._write({"entries": entries, "chunks": self.read("chunks"), "terms": ranking.postings(entries, "entry_id", "content")[0]})
+        return self.write({"entries": entries, "chunks": self.read("chunks"), "terms": ranking.postings(entries, "entry_id", "content")[0]})
 
     def counts(self) -> dict[str, int]:
         return {n: self.read(n).count() if self.version() else 0 for n in self.TABLES}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ranking, vectors
+from ..operators import postings, ranking, vectors
 from ..sources import tables
-from .catalog import query
+from ..sources.storage import shared_dir
+from .catalog import ORACLE_SQL, query
 
 TERMS = ("with", "that", "para", "nicht", "dans")
 _CHUNKS = "SELECT vec_id AS chunk_id, vec_id // 5 AS entry_id, (vec_id % 5)::INT AS chunk_index, label AS chunk_type, embedding::DOUBLE[] AS v FROM embeddings"
@@ -40,6 +43,11 @@ def _near(spark: SparkSession, folder: str, k: int, where: F.Column | None = Non
     return vectors.top_k(c, vectors.vector_of(c, 0), k, where)
 
 
+def _index(spark: SparkSession, folder: str) -> postings.Index:
+    """The stored index of the entries, built by the first query that asks for it."""
+    return postings.index_of(spark, folder, "documents", tables.entries(spark, folder).select("entry_id", "content", "entry_type"), "content")
+
+
 def _texts(spark: SparkSession, folder: str, limit: int, where: F.Column | None = None) -> DataFrame:
     return ranking.bm25(tables.entries(spark, folder), "entry_id", "content", TERMS, limit, where)
 
@@ -163,19 +171,19 @@ _FUSED = f"""
 def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
     """Vector and text hits fused; entries that only the text side found are given by their first chunk."""
     first = tables.chunks(spark, folder).filter("chunk_index = 0").select("entry_id", "chunk_id")
-    return ranking.fuse(_near(spark, folder, 150), _texts(spark, folder, 150), 20, first)
+    return ranking.fuse(_near(spark, folder, 150), _index(spark, folder).search(TERMS, 150), 20, first)
 
 
 @query(f"WITH {_FUSED} SELECT chunk_id, entry_id, score FROM f ORDER BY score DESC, chunk_id LIMIT 20")
 def hybrid_vector_found(spark: SparkSession, folder: str) -> DataFrame:
     """Fusion in which text hits only lift chunks that the vector side found."""
-    return ranking.fuse(_near(spark, folder, 150), _texts(spark, folder, 150), 20)
+    return ranking.fuse(_near(spark, folder, 150), _index(spark, folder).search(TERMS, 150), 20)
 
 
 @query(f"WITH {_FUSED} SELECT chunk_id, entry_id, score FROM f ORDER BY score DESC, chunk_id LIMIT 10 OFFSET 10")
 def hybrid_page(spark: SparkSession, folder: str) -> DataFrame:
     """The second page of hybrid results."""
-    fused = ranking.fuse(_near(spark, folder, 150), _texts(spark, folder, 150), 150)
+    fused = ranking.fuse(_near(spark, folder, 150), _index(spark, folder).search(TERMS, 150), 150)
     return ranking.page(fused, [F.desc("score"), F.col("chunk_id")], 10, 10)
 
 
@@ -243,3 +251,81 @@ def excerpts(spark: SparkSession, folder: str) -> DataFrame:
     SELECT doc_id AS entry_id FROM x WHERE contains(w, ' of the ')""")
 def phrase_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.phrase(tables.entries(spark, folder), "entry_id", "content", ["of", "the"])
+
+
+def _phrase_sql(words: str) -> str:
+    return f"""
+    WITH x AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) <= 40), ' ') || ' ' AS w FROM documents)
+    SELECT doc_id AS entry_id FROM x WHERE contains(w, ' {words} ')"""
+
+
+@query(ORACLE_SQL["index_terms"])
+def stored_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored index by term; as the first query of the index it builds it."""
+    index = _index(spark, folder)
+    rows = index.of(index.layers(), "postings").select("term", "n", "most", F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x).alias("uses"))
+    return rows.groupBy("term").agg(F.sum("n").alias("docs"), F.sum("uses").alias("uses"), F.max("most").alias("most"))
+
+
+@query(ORACLE_SQL["bm25_entries"])
+def bm25_stored(spark: SparkSession, folder: str) -> DataFrame:
+    return _index(spark, folder).search(TERMS, 150)
+
+
+@query("WITH " + _bm25_sql(_ENTRIES, "lang = 'en' AND list_contains(words, 'that') AND NOT list_contains(words, 'with')") + " SELECT id AS entry_id, score FROM t")
+def bm25_stored_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """A filter by type, a word that must occur and one that must not."""
+    return _index(spark, folder).search(TERMS, 150, F.col("entry_type") == "en", must=["that"], never=["with"])
+
+
+@query(ORACLE_SQL["phrase_search"])
+def phrase_stored(spark: SparkSession, folder: str) -> DataFrame:
+    return _index(spark, folder).phrase(["of", "the"])
+
+
+@query(_phrase_sql("of and of"))
+def phrase_stored_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    """A phrase of several words, one of them twice."""
+    return _index(spark, folder).phrase("of and of".split())
+
+
+def _changed(spark: SparkSession, rows: DataFrame, text: str) -> postings.Index:
+    """An index of rows (key, text, ...) after two changes: every third key with the text of its first 200 characters, every seventh gone."""
+    key = rows.columns[0]
+    index = postings.Index(spark, f"{shared_dir(spark)}/changed-{uuid.uuid4().hex}", key)
+    index.build(rows, text)
+    third, seventh = (F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n)) == 0 for n in (3, 7))
+    short = rows.filter(third).withColumn(text, F.substring(text, 1, 200))
+    index.change(short.select(rows.columns), text, rows.select(key).limit(0))
+    index.delete(rows.filter(seventh).select(key))
+    return index
+
+
+def _changed_sql(rows: str, key: str, where: str = "true", limit: int = 150) -> str:
+    """BM25 over rows (id, text, ...) after the changes of _changed; crc32 of the key as text, bit by bit."""
+    codes = f"list_transform(string_split({key}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)"
+    bits = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: {bits}), 4294967295)"
+    changed = f"SELECT * REPLACE (CASE WHEN crc % 3 = 0 THEN substr(text, 1, 200) ELSE text END AS text) FROM (SELECT *, {crc} AS crc FROM ({rows})) WHERE crc % 7 <> 0"
+    return _bm25_sql(changed, where, limit)
+
+
+@query("WITH " + _changed_sql(_ENTRIES, "id", "lang = 'en'") + " SELECT id AS entry_id, score FROM t")
+def entry_index_changed(spark: SparkSession, folder: str) -> DataFrame:
+    """Search after entries were replaced and deleted in the index."""
+    rows = tables.entries(spark, folder).select("entry_id", "content", "entry_type")
+    return _changed(spark, rows, "content").search(TERMS, 150, F.col("entry_type") == "en")
+
+
+@query("WITH " + _changed_sql(_PAGES, "id", limit=50) + " SELECT id AS page_id, score FROM t")
+def page_index_changed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over pages."""
+    rows = tables.pages(spark, folder).select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    return _changed(spark, rows, "text").search(TERMS, 50)
+
+
+@query("WITH " + _changed_sql(_ITEMS, "id", "role = 'user'", 60) + " SELECT id AS item_id, score FROM t")
+def item_index_changed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over work items, whose keys are text, of one kind."""
+    rows = tables.work_items(spark, folder).select("item_id", "title", "role")
+    return _changed(spark, rows, "title").search(TERMS, 60, F.col("role") == "user")
