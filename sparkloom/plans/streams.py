@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import tables
 from ..sources.storage import stored
-from ..streaming import jobs
+from ..streaming import jobs, timers
 from .catalog import query
 
 
@@ -123,6 +123,58 @@ def job_states_stream(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("job_id").agg(F.max("events").alias("events"))
 
 
+def _slices(spark: SparkSession, folder: str, late: bool = False) -> DataFrame:
+    """The events as a stream of four slices of their ids, which are in order of time; with `late`, some rows come a slice later."""
+    rows = tables.job_events(spark, folder).drop("props").withColumn("ts", F.col("ts").cast("timestamp"))
+    lo, hi = rows.agg(F.min("event_id"), F.max("event_id")).first()
+    number = F.floor((F.col("event_id") - F.lit(lo or 0)) * 4 / F.lit((hi or 0) - (lo or 0) + 1))
+    if late:
+        number = number + F.when(F.col("event_id") % 10 == 3, 1).otherwise(0)
+    return timers.slice_stream(spark, timers.in_slices(rows, number, 5 if late else 4, "slices"), rows.schema)
+
+
+@query("""
+    WITH e AS (SELECT user_id, ts, event_id, lead(ts) OVER w AS next, lag(ts) OVER w AS before, max(ts) OVER () AS newest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    r AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e),
+    k AS (SELECT *, count(*) OVER (PARTITION BY user_id, run) AS events FROM r)
+    SELECT user_id AS job_id, ts::TIMESTAMP AS last, events FROM k
+    WHERE next - ts > INTERVAL 6 HOUR OR (next IS NULL AND ts + INTERVAL 6 HOUR <= newest - INTERVAL 10 MINUTE)""")
+def silent_jobs_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs that fall silent for six hours, by timers of a stream."""
+    return timers.run_silences(_slices(spark, folder), 6 * 3600, "10 minutes")
+
+
+_LATE = """
+    WITH b AS (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events),
+    s AS (SELECT *, floor((event_id - lo) * 4 / (hi - lo + 1)) + CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END AS batch FROM events, b),
+    n AS (SELECT batch, max(ts) AS newest FROM s GROUP BY batch),
+    m AS (SELECT batch, max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 HOUR AS watermark FROM n),
+    l AS (SELECT s.*, coalesce(time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= watermark, false) AS lost FROM s JOIN m USING (batch))"""
+
+
+@query(_LATE + " SELECT batch::INT AS batch, count(*) AS seen, count(*) FILTER (WHERE lost) AS lost FROM l GROUP BY batch")
+def late_rows_by_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows each batch saw, and how many of them came after the end of their window and an hour."""
+    return timers.counted_windows(_slices(spark, folder, late=True), "1 hour", 3600).batches().select("batch", "seen", "lost")
+
+
+@query(_LATE + " SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS state, count(*) AS events, round(sum(value), 4) AS value FROM l WHERE NOT lost GROUP BY 1, 2")
+def windows_without_late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return timers.counted_windows(_slices(spark, folder, late=True), "1 hour", 3600).windows()
+
+
+@query("""
+    WITH a AS (SELECT user_id AS job_id, event_id AS submission, ts FROM events WHERE event_type = 'signup'),
+    b AS (SELECT user_id AS job_id, event_id AS outcome, ts FROM events WHERE event_type IN ('error', 'purchase')),
+    m AS (SELECT least((SELECT max(ts) FROM a), (SELECT max(ts) FROM b)) - INTERVAL 10 MINUTE AS watermark)
+    SELECT a.job_id, submission, outcome FROM a LEFT JOIN b ON a.job_id = b.job_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 12 HOUR, m
+    WHERE outcome IS NOT NULL OR a.ts + INTERVAL 12 HOUR < watermark""")
+def job_outcomes_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Submissions with their outcomes within twelve hours, by a join of two streams; those that may still get one are left out."""
+    events = _slices(spark, folder)
+    return timers.run_outcomes(events.filter("state = 'signup'"), events.filter(F.col("state").isin(*jobs.TERMINAL)), "12 HOURS", "10 minutes").select("job_id", "submission", "outcome")
+
+
 def _files(folder: str, name: str) -> str:
     """A stream reads folders: the table's own, or the pattern that matches its single file."""
     return f"{folder}/{name}.parque[t]"
