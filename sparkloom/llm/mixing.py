@@ -7,8 +7,9 @@ used up, the last row in part: its first words, with the white space between the
 source's size; what is cut off is shared out again by weight. Sources themselves are ranked and summed over ranges.
 
 Defined results: a null text has size 0; a null source is a source of its own and comes last; identical rows (same id,
-same text) may swap their takes, whose sum is defined. Weights repeat along the sources in code-point order. Texts of any
-length are counted whole. Empty input gives empty output.
+same text) are rows of their own, which may swap their takes, whose sum is defined. Weights repeat along the sources in
+code-point order. Texts of any length are counted whole. Other columns are kept by mix() whatever their names and ignored
+by plan_mix(). Empty input gives empty output. Identical rows share one key, so they are numbered in one task.
 """
 
 from __future__ import annotations
@@ -51,17 +52,20 @@ def source_targets(totals: DataFrame, weights: Sequence[int] = (1, 2, 3), most:
     return out.withColumn("target", F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(share)).select("source", "source_size", "weight", "target")
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), most: int = 3, row_col: str | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, source, _key, size, source_size, target, epochs, part, taken.
 
-    epochs: how often the whole document is taken; part: words of it that are taken once more.
+    epochs: how often the whole document is taken; part: words of it that are taken once more. With row_col, a column of
+    docs that tells its rows apart, its values come as _row.
     """
+    row = [F.col(row_col).alias("_row")] if row_col else []
     sized = stored(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             words(F.col(text_col)).alias("size"),
             _key(F.col(id_col), F.col(text_col)).alias("_key"),
+            *row,
         ).withColumn("_source", F.when(F.col("source").isNull(), "z").otherwise(F.concat(F.lit("a"), F.col("source")))),
         "sized",
     )
@@ -73,30 +77,31 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rows = sized.withColumn("_bucket", bucket)
     totals = rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_total"))
     offsets = bucket_offsets(totals, ["_source"], digits).join(targets, "_source")
-    local = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", *["_row"] * bool(row)).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_local", F.coalesce(F.sum("size").over(local), F.lit(0))).join(offsets, ["_source", "_bucket"])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("_offset") - F.col("_local"), F.lit(0)), F.col("size"))
     out = rows.withColumn("epochs", whole).withColumn("part", part)
-    return out.select("doc_id", "source", "_key", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+    return out.select("doc_id", "source", "_key", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), *["_row"] * bool(row))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The mix itself: rows of docs with its columns, each repeated as often as it is taken; the last in part, cut after a word.
 
-    A row of size 0 is kept once if its source is taken at all. Identical rows share their takes evenly.
+    A row of size 0 is kept once if its source is taken at all. Every row takes what the plan gives to it, identical ones too:
+    rows are numbered and stored, and meet the plan by their number, which no two share.
     """
     columns = docs.columns
     shown = [f"_c{i}" for i in range(len(columns))]
-    body = docs.toDF(*shown)
     at = {c: shown[columns.index(c)] for c in (id_col, text_col, source_col)}
-    body = body.withColumn("_key", _key(F.col(at[id_col]), F.col(at[text_col])))
-    plan = plan_mix(docs, id_col, text_col, source_col, weights, most).groupBy("_key")
-    plan = plan.agg(F.max("size").alias("_size"), F.floor(F.sum("taken") / F.count("*")).cast("long").alias("_taken"), F.max("target").alias("_target"))
-    times = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise((F.col("_target") > 0).cast("int")).cast("int")
-    rest = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(F.lit(0)).cast("int")
-    rows = body.join(plan, "_key").withColumn("_times", times).withColumn("_rest", rest)
+    body = stored(docs.toDF(*shown).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    plan = plan_mix(body, at[id_col], at[text_col], at[source_col], weights, most, "_row")
+    plan = plan.select("_row", F.col("epochs").alias("_epochs"), F.col("part").alias("_rest"), F.col("size").alias("_size"), F.col("target").alias("_target"))
+    whole = F.col("_epochs") + F.when(F.col("_rest") == F.col("_size"), 1).otherwise(0)
+    times = F.when(F.col("_size") > 0, whole).otherwise((F.col("_target") > 0).cast("int")).cast("int")
+    rest = F.when(F.col("_rest") < F.col("_size"), F.col("_rest")).otherwise(F.lit(0)).cast("int")
+    rows = body.join(plan, "_row").withColumn("_times", times).withColumn("_rest", rest)
     takes = F.concat(F.array_repeat(F.lit(-1), F.col("_times")), F.when(F.col("_rest") > 0, F.array(F.col("_rest"))).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("_take", F.explode(takes))
     head = _head(at[text_col])

@@ -5,8 +5,12 @@ merged in all sequences at once; a sequence without a known pair is done and its
 merge always has a higher rank than that merge, so merging all places of the lowest pair at once is what merging them
 one by one gives.
 
+Libraries differ in their tables of letters and digits. So each character beyond ASCII is tried once in a worker: if the
+`tokenizers` library normalizes or splits short texts with it otherwise, texts that hold it are counted by that library.
+
 Defined results: a null text is empty and has no tokens; strings of special tokens count as one token each wherever
-they stand, as the tokenizer file has them; other columns are ignored; repeated rows each get their count.
+they stand, as the tokenizer file has them; texts of any length are counted whole; other columns are ignored, whatever
+their names; repeated rows each get their count; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,6 +65,36 @@ class TokenCounter:
         self.odd = re.compile("[\x1c-\x1f]")
         self.seen: dict[str, int] = {}
         self.remember = remember
+        self.path, self._library = path, None
+        self.tried: set[str] = {chr(i) for i in range(128)}
+        self.odd_ones: set[str] = set()
+
+    @property
+    def library(self):
+        """The library's tokenizer of the same file, for the characters that it takes otherwise."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library
+
+    def _by_library(self, text: str) -> int:
+        return len(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _try(self, chars: set[str]) -> None:
+        """Find out which characters the library normalizes or splits otherwise: after a letter, after a sign, and doubled."""
+        self.tried |= chars
+        for c in chars:
+            for text in (f"a{c}", f"!{c}", f"{c}{c}"):
+                own, theirs = self.spaces.sub(" ", self._normal(text)), self.library.normalizer.normalize_str(text)
+                if own != theirs or len(self.split.findall(own)) != len(self.library.pre_tokenizer.pre_tokenize_str(theirs)):
+                    self.odd_ones.add(c)
+
+    @staticmethod
+    def _normal(text: str) -> str:
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # lower() alone would look at a sigma's place
 
     @classmethod
     def of(cls, path: str) -> TokenCounter:
@@ -112,6 +146,17 @@ class TokenCounter:
         return {c: sum(counts[t] for t in p) for c, p in zip(names, parts, strict=True)}
 
     def __call__(self, texts: list[str]) -> list[int]:
+        chars = [set() if t.isascii() else set(t) for t in texts]
+        new = set().union(*chars) - self.tried
+        if new:
+            self._try(new)
+        if not self.odd_ones:
+            return self._own(texts)
+        odd = [not self.odd_ones.isdisjoint(c) for c in chars]
+        own = iter(self._own([t for t, o in zip(texts, odd, strict=True) if not o]))
+        return [self._by_library(t) if o else next(own) for t, o in zip(texts, odd, strict=True)]
+
+    def _own(self, texts: list[str]) -> list[int]:
         extra, chunked = [], []
         for text in texts:
             found = 0
@@ -119,9 +164,7 @@ class TokenCounter:
                 for s in self.special:
                     found += text.count(s)
                     text = text.replace(s, " ")
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() below would look at a sigma's place
-            text = text.lower()
+            text = text.lower() if text.isascii() else self._normal(text)
             chunked.append(self.spaces.split(text) if self.odd.search(text) else text.split())
             extra.append(found)
         new = {c for chunks in chunked for c in chunks}

@@ -78,3 +78,12 @@ def test_many_sources_in_ranges(spark):
     found = {r.source: r.target for r in source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
     want = expected_targets(sizes)
     assert found.keys() == want.keys() and all(abs(found[s] - want[s]) < 1e-6 for s in want)
+
+
+def test_mix_takes_what_the_plan_gives_to_repeated_rows(documents):
+    """Seven equal rows of a source whose target isn't a multiple of anything, beside another."""
+    docs = documents(*[(7, "a b c d e", "en", "a", 9)] * 7, *[(i, "x y z", "en", "b", 9) for i in range(11)], (None, None, "en", "a", 0), extra=True)
+    plan, found = plan_mix(docs).collect(), mix(docs).collect()
+    for doc_id in {r.doc_id for r in plan}:
+        assert sum(len((r.text or "").split()) for r in found if r.doc_id == doc_id) == sum(r.taken for r in plan if r.doc_id == doc_id)
+    assert 0 < sum(r.taken for r in plan if r.doc_id == 7) < 105

@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -53,3 +55,14 @@ def test_forgetting_changes_nothing(library):
     small = TokenCounter(PATH, remember=3)
     texts = ["one two three four five", "six seven one", "eight nine ten eleven one"]
     assert [small([t])[0] for t in texts] == lengths(library, texts)
+
+
+def test_code_points(library):
+    """Doubled before a sign, and between letters: a third of what Unicode 15 leaves unassigned, and every 11th other."""
+    counter = TokenCounter(PATH)
+    points = [chr(i) for i in range(128, 0x33480) if not 0xD800 <= i < 0xE000 and (i < 0x20000 and unicodedata.category(chr(i)) == "Cn" and i % 3 == 0 or i % 11 == 0)]
+    for k in range(0, len(points), 10_000):
+        some = points[k : k + 10_000]
+        texts = [f"{c}{c}!" for c in some] + [f"a{c}b 1{c}" for c in some]
+        assert counter(texts) == lengths(library, texts)
+    assert "\ua7cb" in counter.odd_ones or counter(["\ua7cb\ua7cb!"]) == lengths(library, ["\ua7cb\ua7cb!"])
