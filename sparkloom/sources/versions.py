@@ -59,8 +59,9 @@ class Versions:
         """Rows (key, _layer) whose key no later version touched."""
         if len(layers) < 2:
             return rows
+        columns = rows.columns
         touched = self.of(layers[1:], "touched").groupBy(self.key).agg(F.max("_layer").alias("_last"))
-        return rows.join(touched, self.key, "left").filter("_last is null or _layer >= _last").drop("_last")
+        return rows.join(touched, self.key, "left").filter("_last is null or _layer >= _last").select(*columns)
 
     def read(self, name: str) -> DataFrame | None:
         layers = self.layers()
