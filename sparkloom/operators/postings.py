@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Sequence
@@ -237,5 +238,9 @@ def index_of(spark: SparkSession, folder: str, table: str, docs: DataFrame, text
     name = hashlib.sha256(repr((files, sorted(docs.columns), text)).encode()).hexdigest()[:24]
     index = Index(spark, f"{shared_dir(spark)}/index-{name}", docs.columns[0])
     if not index.version():
-        index.build(docs, text)
+        try:
+            index.build(docs, text)
+        except RuntimeError:  # another session builds it, or died while it did: this one takes a folder of its own
+            index = Index(spark, f"{index.folder}-{uuid.uuid4().hex}", docs.columns[0])
+            index.build(docs, text)
     return index

@@ -74,7 +74,12 @@ def test_index_of_a_table_is_built_once(spark, docs, tmp_path):
     assert index_of(spark, str(tmp_path), "documents", table, "text").folder == one.folder and one.version() == 1
     docs(texts(4, 5, 100)).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
     table = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    same(index_of(spark, str(tmp_path), "documents", table, "text"), table)
+    newer = index_of(spark, str(tmp_path), "documents", table, "text")
+    same(newer, table)
+    for marker in ("base-1", "claim-1"):  # as a session that died leaves it
+        path, fs = newer._path(marker)
+        fs.delete(path, True) if marker == "base-1" else fs.createNewFile(path)
+    assert index_of(spark, str(tmp_path), "documents", table, "text").folder != newer.folder
 
 
 def test_empty_folders_old_folders_and_two_writers(spark, docs, tmp_path):
