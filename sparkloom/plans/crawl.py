@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import crawl
+from ..operators import crawl, frontier
 from ..sources import tables
+from ..sources.storage import shared_dir
 from .catalog import query
+from .pages import _CLEAN, _normal
 
 _U = r"'^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/@?#]*@)?([^/:?#]*)(?::(\d*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
 _HOST = f"lower(regexp_extract(url, {_U}, 2))"
@@ -62,6 +67,15 @@ def discovery(spark: SparkSession, folder: str) -> DataFrame:
     return crawl.discovered(tables.pages(spark, folder).select(F.col("domain").alias("site"), way.alias("way"), "url"))
 
 
+@query(f"SELECT normal, arg_min(depth, (batch, depth)) AS depth, min(batch) AS batch FROM (SELECT {_normal(_CLEAN)} AS normal, page_id % 3 AS depth, (page_id // 3) % 4 AS batch FROM pages) GROUP BY 1")
+def frontier_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's address offered to a frontier that remembers in bitmaps, in four batches: the batch that admitted it."""
+    p = tables.pages(spark, folder).select("url", (F.col("page_id") % 3).alias("depth"), (F.floor(F.col("page_id") / 3) % 4).alias("batch"))
+    known = frontier.Frontier(spark, f"{shared_dir(spark)}/frontier-{uuid.uuid4().hex}")
+    new = [known.admit(p.filter(F.col("batch") == b)).select("normal", "depth", F.lit(b).cast("long").alias("batch")) for b in range(4)]
+    return functools.reduce(DataFrame.unionByName, new)
+
+
 @query(f"SELECT page_id, {_HOST} AS domain, round((row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id % 3, url, page_id) - 1) * CASE WHEN {_HOST} LIKE '%.org' THEN 2.0 ELSE 0.1 END, 6)::DOUBLE AS after FROM pages")
 def crawl_schedule(spark: SparkSession, folder: str) -> DataFrame:
     """When each page may be fetched: ten a second for a domain, or as its delay says."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import code, markup, selectors, text, urls
-from ..operators import ingest
+from ..operators import ingest, rules
 from ..sources import tables
 from .catalog import query
 
@@ -104,6 +104,37 @@ def robots_allowed(spark: SparkSession, folder: str) -> DataFrame:
     return tables.pages(spark, folder).select("page_id", urls.path_allowed(urls.path(F.col("url")), allow, disallow).alias("allowed"))
 
 
+_PAGES = f"SELECT page_id, {_HOST} AS host, {_PATH} AS path, regexp_extract({_PATH}, '^/[a-z]+/', 0) AS section FROM pages"
+
+
+@query(f"""
+    WITH p AS ({_PAGES}),
+    r AS (
+        SELECT DISTINCT host, 'disallow' AS kind, section AS rule FROM p WHERE section <> '' AND page_id % 2 = 0
+        UNION SELECT host, 'allow', section || '*.html$' FROM p WHERE section <> ''
+        UNION SELECT host, 'allow', path FROM p WHERE page_id % 5 = 0 AND NOT contains(path, '*') AND path <> ''
+        UNION SELECT host, 'disallow', '/*7' FROM p WHERE page_id % 3 = 0),
+    m AS (
+        SELECT page_id, kind = 'allow' AS allows, rule FROM p JOIN r USING (host)
+        WHERE CASE WHEN rule = '/*7' THEN regexp_matches(path, '^/.*7') WHEN contains(rule, '*') THEN starts_with(path, section) AND section || '*.html$' = rule AND ends_with(path, '.html') ELSE starts_with(path, rule) END),
+    b AS (SELECT page_id, arg_max(allows, (strlen(rule), allows::INT, rule)) AS allowed, arg_max(rule, (strlen(rule), allows::INT, rule)) AS rule FROM m GROUP BY 1)
+    SELECT page_id, coalesce(allowed, true) AS allowed, rule FROM p LEFT JOIN b USING (page_id)""")
+def robots_of_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages judged by a table of rules of all hosts: closed sections, open files, addresses and patterns taken from the pages."""
+    path = urls.path(F.col("url"))
+    p = tables.pages(spark, folder).select("page_id", F.col("domain").alias("host"), path.alias("path"), F.regexp_extract(path, "^/[a-z]+/", 0).alias("section"))
+    kind = lambda k, rule: F.struct(F.lit(k).alias("kind"), rule.alias("rule"))
+    sections = F.col("section") != ""
+    found = F.array(
+        F.when(sections & (F.col("page_id") % 2 == 0), kind("disallow", F.col("section"))),
+        F.when(sections, kind("allow", F.concat("section", F.lit("*.html$")))),
+        F.when((F.col("page_id") % 5 == 0) & ~F.contains("path", F.lit("*")), kind("allow", F.col("path"))),
+        F.when(F.col("page_id") % 3 == 0, kind("disallow", F.lit("/*7"))),
+    )
+    table = p.select("host", F.explode(F.array_compact(found)).alias("r")).select("host", "r.kind", "r.rule")
+    return rules.judged(p.select(F.col("page_id").alias("id"), "host", "path"), table).withColumnRenamed("id", "page_id")
+
+
 @query(f"SELECT p.page_id FROM pages p, (SELECT {_HOST} AS h, regexp_replace({_PATH}, '[^/]+/*$', '') AS s FROM pages WHERE page_id = 0) z WHERE {_HOST.replace('url', 'p.url')} = z.h AND starts_with({_PATH.replace('url', 'p.url')}, z.s)")
 def same_section(spark: SparkSession, folder: str) -> DataFrame:
     """Pages under the section of page 0."""

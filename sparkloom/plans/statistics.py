@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import stats
+from ..operators import sketches, stats
 from ..sources import tables
+from ..sources.storage import shared_dir
 from .catalog import query
 
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)', 1))"
@@ -110,6 +113,29 @@ def approximate_counts(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("state", "jobs", (F.abs(F.col("near") - F.col("jobs")) <= 0.1 * F.col("jobs")).alias("approx_ok"))
 
 
+@query("""
+    WITH e AS (SELECT DISTINCT event_type AS state, ts::DATE AS of, user_id FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+    d AS (SELECT DISTINCT state, of AS day FROM e)
+    SELECT d.state, d.day, count(DISTINCT e.user_id) AS jobs, true AS approx_ok
+    FROM d JOIN e ON e.state IS NOT DISTINCT FROM d.state AND e.of BETWEEN d.day - 6 AND d.day GROUP BY 1, 2""")
+def sketched_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs of each state in the seven days up to each day, and whether the sketches stored by day say so within a tenth.
+
+    The sketches are written by two batches, of which the second also brings late rows for the days of the first.
+    """
+    e = tables.job_events(spark, folder)
+    kept = sketches.DistinctByDay(spark, f"{shared_dir(spark)}/sketches-{uuid.uuid4().hex}", ["state"])
+    late = F.pmod("event_id", F.lit(3)) == 0
+    kept.add(e.filter(~late), "ts", "job_id")
+    kept.add(e.filter(late), "ts", "job_id")
+    once = e.filter("ts is not null and job_id is not null").select("state", "job_id", F.to_date("ts").alias("of")).distinct()
+    exact = once.select("state", "job_id", "of", F.explode(F.sequence("of", F.date_add("of", 6))).alias("day"))
+    exact = exact.groupBy("state", "day").agg(F.count_distinct("job_id").alias("jobs"), F.max("of").alias("newest")).filter("newest = day")
+    near = kept.trailing(7).select(F.col("state").alias("s"), F.col("day").alias("d"), "estimate")
+    both = exact.join(near, F.col("state").eqNullSafe(F.col("s")) & (F.col("day") == F.col("d")))
+    return both.select("state", "day", "jobs", (F.abs(F.col("estimate") - F.col("jobs")) <= 0.1 * F.col("jobs")).alias("approx_ok"))
+
+
 @query(f"SELECT page_id, {_HOST} AS domain, CASE WHEN {_HOST} LIKE '%.org' THEN false ELSE {_HOST} LIKE '%.example.com' OR {_HOST} LIKE '%.example.net' END AS allowed FROM pages")
 def allowed_domains(spark: SparkSession, folder: str) -> DataFrame:
     ok = urls.allowed(F.col("domain"), ("example.com", "example.net"), ("org",))
