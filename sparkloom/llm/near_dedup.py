@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .links import components
-from .shared import small_batches, spread_join, stored
+from .shared import discard, small_batches, spread_join, stored
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -355,19 +355,23 @@ def near_groups(docs: DataFrame, percent: int = 85, words: int = 5, bands: int |
     alike = [F.count("*").alias("held"), F.sum("n").alias("weight"), *(F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"h{seed}") for seed in (1, 2)), F.min("comp").alias("lo"), F.max("comp").alias("hi")]
     mixed = placed.groupBy("band", "key").agg(*alike).filter("lo <> hi").groupBy("held", "weight", "h1", "h2").agg(F.min_by(F.struct("band", "key"), F.struct("band", "key")).alias("b"))
     open_ = stored(spread_join(placed, mixed.select("b.band", "b.key", "held", "weight"), ["band", "key"], "held", total * bands, ["node"]), "open")
-    held, found = open_.count(), []
+    discard(heads, members, links, placed)
+    held, found, spent = open_.count(), [], [sets, open_]
     if held:
         found.append(stored(_search(open_, held, sets, percent, block), "more"))
     if by_id:  # the least node of an id that repeats with its others
         twice = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("uses")).filter("u <> v")
         twice = stored(twice.drop("v"), "twice")
+        spent.append(twice)
         if not twice.isEmpty():
             same = spread_join(signed.select("doc_id", "node", "row"), twice, ["doc_id"], "uses", total, ["row"]).filter("node <> u")
             found.append(same.select("u", F.col("node").alias("v")).distinct())
+    spent += found
     found = [x for x in found if not x.isEmpty()]
     if found:
-        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        roots = components(functools.reduce(DataFrame.unionByName, found, links))
+        linked = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = components(functools.reduce(DataFrame.unionByName, found, linked))
+    discard(*spent)  # the result reads signed, roots and nodes
     # The first row of each component, for the nodes that are in one with others.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = stored(signed.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("uses")), "nodes")
