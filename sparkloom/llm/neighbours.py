@@ -3,8 +3,9 @@
 Equal vectors are one node that keeps the smallest ids it stands for, as many as a search may return, so a hot vector
 neither grows a shard nor cuts the graph. Nodes are dealt into shards by a hash of the vector: a shard for each core, as
 long as shards stay above `least_rows`, and never more than `shard_rows` nodes a shard, which bounds a worker's memory.
-Each shard's graph is one row of a stored table. Queries go to every shard in blocks, each (shard, block) is one bounded
-piece of work, and the best k of all shards are merged. All distances, in the graph and in the result, are Euclidean
+Each shard's graph is one row of a stored table. Queries go to every shard, stream past its graph in as many tasks as
+there are cores for (the index is shipped once to each, however many queries there are), and the best k of all shards
+are merged. All distances, in the graph and in the result, are Euclidean
 ones of the original vectors, summed over differences in double precision; so vectors far from the origin or of mixed
 scale lose nothing, and whatever the search has met is ranked exactly.
 
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import small_batches, stored
 
 
 class Graph:
@@ -226,6 +228,7 @@ def nearest(
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest other rows."""
+    small_batches(table.sparkSession)
     whole = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0))  # -0.0 becomes 0.0
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("vec"))
     common = rows.filter("vec_id is not null and vec is not null").groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
@@ -234,27 +237,43 @@ def nearest(
     index, shards = build_index(rows, k + 1, min(shard_rows, max(1, (256 << 20) // (8 * max(1, dim)))), least_rows, width, beam)
     asked = rows.filter(F.col("vec_id") % every == 0).withColumn("query", F.monotonically_increasing_id())
     asked = stored(asked.select("query", F.col("vec_id").alias("query_id"), "vec"), "queries")
-    blocks = max(1, -(-asked.count() // block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+    # Each shard's queries are dealt to so many tasks that all cores have work; the index is shipped once to each of them.
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    salts = max(1, min(-(-asked.count() // block), -(-2 * cores // shards)))
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("query"), F.lit(salts)).cast("int"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    parts = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def find(these: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(these) and len(shard):
-            graph, ids, ends = open_graph(shard.iloc[0], dim)
-            for query, query_id, vec in zip(these["query"], these["query_id"], these["vec"], strict=True):
-                q = np.asarray(vec, np.float64)
+    parts = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # A shard's row comes before its queries, which stream by.
+    rows = parts.unionByName(asked, allowMissingColumns=True).repartition(shards * salts, "shard", "salt")
+    rows = rows.sortWithinPartitions("shard", "salt", F.col("query").asc_nulls_first())
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, graph, ids, ends = None, None, None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                here = (row["shard"][0].as_py(), row["salt"][0].as_py())
+                query = row["query"][0].as_py()
+                if query is None:
+                    graph = None  # one shard's graph at a time
+                    graph, ids, ends = open_graph(row.to_pylist()[0], dim)
+                    at = here
+                    continue
+                if here != at:
+                    continue  # a shard without vectors has no row
+                query_id, q = row["query_id"][0].as_py(), row["vec"][0].values.to_numpy(zero_copy_only=False).astype(np.float64)
                 found = []
-                for d, i in graph.met(q, max(search_beam, k + 1)):
-                    here = ids[ends[i - 1] if i else 0 : ends[i]].tolist()
-                    if d == 0 and query_id in here:
-                        here.remove(query_id)  # the query's own row, once
-                    found += [(math.sqrt(d), x) for x in here]
+                for d, n in graph.met(q, max(search_beam, k + 1)):
+                    these = ids[ends[n - 1] if n else 0 : ends[n]].tolist()
+                    if d == 0 and query_id in these:
+                        these.remove(query_id)  # the query's own row, once
+                    found += [(math.sqrt(d), x) for x in these]
                 out += [(query, query_id, x, d) for d, x in heapq.nsmallest(k, found)]
-        return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"]).astype({"query": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
+            columns = [pa.array([r[i] for r in out], pa.float64() if i == 3 else pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays(columns, ["query", "query_id", "vec_id", "score"])
 
-    hits = asked.groupBy("shard", "block").cogroup(parts.groupBy("shard", "block")).applyInPandas(find, "query long, query_id long, vec_id long, score double")
+    hits = rows.mapInArrow(find, "query long, query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
