@@ -4,10 +4,12 @@
    one-permutation signature. Documents with equal sets are one node from here on.
 2. In each bucket (band, key) one member is the centre; candidate edges go from the centre to the others, so a bucket
    gives fewer edges than it has members. Candidates are confirmed on full sets and joined into components.
-3. A bucket whose members still are in several components may hide links between members that aren't its centre. Such
-   buckets are searched exactly: members are dealt by the size of their sets into classes, of which only neighbours can
-   be similar, and within a class into blocks; each pair of blocks is one bounded piece of work, and only links that
-   join two components there are given out. Buckets of several bands with the same members are searched once.
+3. A bucket whose members still are in several components may hide links between members that aren't its centre. The
+   members of all such buckets are searched exactly: each set's hashes are put in one order, rare ones first (by counts
+   of ranges of hash values: a table of fixed size, the only thing that goes through the driver), and of two similar
+   sets the first hash they share must come early in both, the earlier the more their sizes differ. Sets that meet at
+   such a hash are held against each other in bounded pieces, of which only links that join two components are given
+   out. Texts that share long passages but are not similar don't meet, as the passages' hashes come late.
 
 So no pair that shares a bucket is left out, and no step emits the pairs of a group. The bands follow from the threshold
 (`banding`; 30 of 6 values at 0.85), so that a pair at the threshold shares no bucket with a probability below 1e-6.
@@ -274,32 +276,100 @@ def _links_of_block(names: list[bytes], comps: list[bytes], halves: list[bool],
     return out
 
 
-def _search(members: DataFrame, total: int, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links within buckets that still hold several components. members: band, key, held, weight, node, comp, n; total of them.
+def _ranks(sets: DataFrame, cells: int = 1 << 20) -> np.ndarray:
+    """How often hashes fall in each of `cells` ranges of hash values, in quarters of powers of two: one byte a range."""
+    shift = np.uint64(65 - cells.bit_length())
 
-    held and weight: members of the bucket and hashes of their sets. A bucket that fits a block is one; of a larger one
-    sets whose sizes are two classes apart can't be similar: a class ends where its first size is the threshold of it.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(cells, np.int64)
+        for batch in batches:
+            seen += np.bincount((_set(b"".join(batch.column(0).to_pylist())) >> shift).astype(np.int64), minlength=cells)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["cell", "uses"])
+
+    found = sets.select("set").mapInArrow(run, "cell long, uses long").groupBy("cell").agg(F.sum("uses").alias("uses")).toArrow()
+    ranks = np.zeros(cells, np.uint8)
+    ranks[found["cell"].to_numpy()] = 4 * np.log2(1 + found["uses"].to_numpy())
+    return ranks
+
+
+def _leading(n: int, percent: int) -> tuple[np.ndarray, int]:
+    """For a set of n hashes in an order that all sets share: the largest set it can be similar to if the first common
+    hash is its p-th, for each p where there is one; and the smallest one.
+
+    From there on n - p hashes are left, so (100 + percent) * (n - p) >= percent * (n + m) bounds m.
     """
-    wide, hashes = F.lit(-math.log(min(percent, 99) / 100)), 1 << 18
+    least = -(-percent * n // 100)
+    left = n - np.arange(n - least + 1)
+    return left * (100 + percent) // percent - n, least
+
+
+def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int, ranks: np.ndarray) -> DataFrame:
+    """hash, node, comp, n, cls, low, high: the rarest hashes of each node, and which classes of sizes it may meet there.
+
+    Of two similar sets, both have the rarest hash they share among these, each in the other's classes. A class holds
+    the sizes within a fourth of the way (in logarithms) to the smallest size that can be similar.
+    """
+    shift, wide = np.uint64(65 - len(ranks).bit_length()), -math.log(min(percent, 99) / 100) / 4
+    classes = lambda sizes: np.floor(np.log(sizes) / wide).astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, hashes, sizes, low, high = [], [], [], [], []
+            for i, raw in enumerate(batch.column(2).to_pylist()):
+                found = _set(raw)
+                most, least = _leading(len(found), percent)
+                hashes.append(found[np.argsort(ranks[found >> shift], kind="stable")[: len(most)]])
+                at.append(np.full(len(most), i))
+                sizes.append(np.full(len(most), len(found)))
+                low.append(np.full(len(most), least))
+                high.append(most)
+            if not at:
+                continue
+            at, n = np.concatenate(at), np.concatenate(sizes)
+            columns = [pa.array(np.concatenate(hashes).view(np.int64)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(n)]
+            columns += [pa.array(classes(x)) for x in (n, np.concatenate(low), np.concatenate(high))]
+            out = pa.RecordBatch.from_arrays(columns, ["hash", "node", "comp", "n", "cls", "low", "high"])
+            for k in range(0, len(at), 50_000):
+                yield out.slice(k, 50_000)
+
+    return nodes.join(sets, "node").select("node", "comp", "set").mapInArrow(run, "hash long, node binary, comp binary, n long, cls int, low int, high int")
+
+
+def _search(nodes: DataFrame, sets: DataFrame, percent: int, block: int, hashes: int = 1 << 18) -> DataFrame:
+    """Links u, v between the nodes (node, comp) of different components, as many as span what the components make.
+
+    Nodes meet at hashes that are among the rarest of both (`_prefixes`), by pairs of size classes c <= d. What meets
+    there holds full sets against each other in pieces of `block` sets of a class and `hashes` hashes at most (two sets
+    at least). Meetings of one component, or of the same nodes as another, are left out.
+    """
+    wide = -math.log(min(percent, 99) / 100) / 4
+    entries = stored(_prefixes(nodes, sets, percent, _ranks(sets)), "prefixes")
+    total = entries.count()
+    ends = [F.min("comp").alias("lo"), F.max("comp").alias("hi")]
+    uses = entries.groupBy("hash").agg(F.count("*").alias("uses"), *ends).filter("lo <> hi").select("hash", "uses")
+    rows = spread_join(entries, uses, ["hash"], "uses", total, ["node"]).withColumn("other", F.explode(F.sequence("low", "high")))
+    rows = rows.select("hash", F.least("cls", "other").alias("c"), F.greatest("cls", "other").alias("d"), (F.col("cls") > F.col("other")).alias("second"), "node", "comp", "n")
+    meetings = stored(rows, "meetings")
+    discard(entries)
+    total, second = meetings.count(), F.col("second")
+    alike = [F.sum((~second).cast("long")).alias("firsts"), F.sum(second.cast("long")).alias("seconds"), F.sum("n").alias("weight"), *(F.bit_xor(F.xxhash64(F.lit(seed), "second", "node")).alias(f"h{seed}") for seed in (1, 2))]
+    groups = meetings.groupBy("hash", "c", "d").agg(*alike, *ends).filter("lo <> hi and (c = d or firsts > 0 and seconds > 0)")
+    groups = groups.groupBy("c", "d", "firsts", "seconds", "weight", "h1", "h2").agg(F.min("hash").alias("hash")).withColumn("held", F.col("firsts") + F.col("seconds"))
     small = (F.col("held") <= block) & (F.col("weight") <= hashes)
-    rows = members.withColumn("cls", F.when(small, -9).otherwise(F.floor(F.log("n") / wide)).cast("int")).drop("held", "weight")
-    # A block holds `block` sets at most, and fewer if they are large (2**18 hashes, but two sets at least).
-    most = F.when(F.col("cls") < 0, block).otherwise(F.greatest(F.lit(2), F.least(F.lit(block), F.floor(F.lit(float(hashes)) / F.exp((F.col("cls") + 1) * wide))))).cast("int")
-    counts = rows.groupBy("band", "key", "cls").agg(F.count("*").alias("held")).withColumn("blocks", F.ceil(F.col("held") / most).cast("int"))
-    near = Window.partitionBy("band", "key").orderBy("cls")  # a bucket's classes are some hundred at most
-    beside = lambda f, step: F.when(f("cls", 1).over(near) == F.col("cls") + step, f("blocks", 1).over(near)).otherwise(0)
-    counts = counts.withColumn("above", beside(F.lead, 1)).withColumn("below", beside(F.lag, -1))
-    rows = spread_join(rows, counts, ["band", "key", "cls"], "held", total, ["node"])
-    half = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    most = lambda cls: F.greatest(F.lit(2), F.least(F.lit(block), F.floor(F.lit(float(hashes)) / F.exp((F.col(cls) + 1) * F.lit(wide)))))
+    blocks = lambda held, cls: F.when(small, 1).otherwise(F.ceil(F.col(held) / most(cls))).cast("int")
+    same = F.col("c") == F.col("d")
+    groups = groups.select("hash", "c", "d", "held", blocks("firsts", "c").alias("ours"), F.when(same, blocks("firsts", "c")).otherwise(blocks("seconds", "d")).alias("theirs"))
+    rows = spread_join(meetings, groups, ["hash", "c", "d"], "held", total, ["node"])
+    half = F.pmod(F.xxhash64("node"), F.when(second, F.col("theirs")).otherwise(F.col("ours"))).cast("int")
     rows = rows.withColumn("half", half)
-    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-    work = lambda c, i, d, j, second: F.struct(c.alias("c"), i.alias("i"), d.alias("d"), j.alias("j"), second.alias("second"))
-    cls, mine = F.col("cls"), F.col("half")
-    same = F.transform(upto("blocks"), lambda j: work(cls, F.least(mine, j), cls, F.greatest(mine, j), mine > j))
-    above = F.transform(upto("above"), lambda j: work(cls, mine, cls + 1, j, F.lit(False)))
-    below = F.transform(upto("below"), lambda j: work(cls - 1, j, cls, mine, F.lit(True)))
-    rows = rows.select("band", "key", "node", "comp", F.explode(F.concat(same, above, below)).alias("w"))
-    rows = rows.select("node", "comp", F.concat_ws(":", "band", "key", "w.c", "w.i", "w.d", "w.j").alias("work"), F.col("w.second").alias("second"))
+    work = lambda i, j, late: F.struct(i.alias("i"), j.alias("j"), late.alias("second"))
+    mine, upto = F.col("half"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    within = F.transform(upto("ours"), lambda j: work(F.least(mine, j), F.greatest(mine, j), mine > j))
+    across = F.transform(F.when(second, upto("ours")).otherwise(upto("theirs")), lambda j: work(F.when(second, j).otherwise(mine), F.when(second, mine).otherwise(j), second))
+    rows = rows.select("hash", "c", "d", "node", "comp", F.explode(F.when(same, within).otherwise(across)).alias("w"))
+    rows = rows.select("node", "comp", F.concat_ws(":", "hash", "c", "d", "w.i", "w.j").alias("work"), F.col("w.second").alias("second"))
     rows = rows.join(sets, "node").select("work", "node", "comp", "second", "set")
     rows = rows.repartition("work").sortWithinPartitions("work")
 
@@ -310,8 +380,8 @@ def _search(members: DataFrame, total: int, sets: DataFrame, percent: int, block
             if len(held) < 2:
                 return []
             _, names, comps, halves, body = zip(*held, strict=True)
-            one, two = held[0][0].split(":")[2:4], held[0][0].split(":")[4:6]
-            if len(set(comps)) < 2 or (one != two and len(set(halves)) < 2):
+            _, c, d, i, j = held[0][0].split(":")
+            if len(set(comps)) < 2 or ((c, i) != (d, j) and len(set(halves)) < 2):
                 return []
             return _links_of_block(list(names), list(comps), list(halves), [_set(x) for x in body], percent)
 
@@ -328,7 +398,9 @@ def _search(members: DataFrame, total: int, sets: DataFrame, percent: int, block
             yield batch_of(found)
         yield batch_of(links())
 
-    return rows.mapInArrow(run, "u binary, v binary")
+    links_ = stored(rows.mapInArrow(run, "u binary, v binary"), "more")
+    discard(meetings)
+    return links_
 
 
 def near_groups(docs: DataFrame, percent: int = 85, words: int = 5, bands: int | None = None, rows: int | None = None, block: int = 512, id_col: str = "doc_id", text_col: str = "text", by_id: bool = True) -> DataFrame:
@@ -350,15 +422,14 @@ def near_groups(docs: DataFrame, percent: int = 85, words: int = 5, bands: int |
     sets = node_sets(docs, heads.join(members.select("node").distinct(), "node", "left_semi").select("node", "text_hash"), words, text_col)
     links = stored(_confirm(pairs, sets, percent), "links")
     roots = components(links)
-    # Buckets with members of several components, one of those that have the same members.
-    placed = stored(members.filter("count > 2").join(roots, "node", "left").select("band", "key", "node", "n", F.coalesce("root", "node").alias("comp")), "placed")
-    alike = [F.count("*").alias("held"), F.sum("n").alias("weight"), *(F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"h{seed}") for seed in (1, 2)), F.min("comp").alias("lo"), F.max("comp").alias("hi")]
-    mixed = placed.groupBy("band", "key").agg(*alike).filter("lo <> hi").groupBy("held", "weight", "h1", "h2").agg(F.min_by(F.struct("band", "key"), F.struct("band", "key")).alias("b"))
-    open_ = stored(spread_join(placed, mixed.select("b.band", "b.key", "held", "weight"), ["band", "key"], "held", total * bands, ["node"]), "open")
+    # Nodes of buckets whose members are in several components.
+    placed = stored(members.filter("count > 2").join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("comp")), "placed")
+    mixed = placed.groupBy("band", "key").agg(F.count("*").alias("held"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    open_ = stored(spread_join(placed, mixed.select("band", "key", "held"), ["band", "key"], "held", total * bands, ["node"]).select("node", "comp").distinct(), "open")
     discard(heads, members, links, placed)
-    held, found, spent = open_.count(), [], [sets, open_]
-    if held:
-        found.append(stored(_search(open_, held, sets, percent, block), "more"))
+    found, spent = [], [sets, open_]
+    if not open_.isEmpty():
+        found.append(_search(open_, sets, percent, block))
     if by_id:  # the least node of an id that repeats with its others
         twice = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("uses")).filter("u <> v")
         twice = stored(twice.drop("v"), "twice")

@@ -156,3 +156,39 @@ def test_shared_hashes_are_counted():
     sets = [np.unique(rng.integers(0, 60 if i % 3 else 4000, 40).astype(np.uint64)) for i in range(40)]
     want = [[len(np.intersect1d(a, b)) if i < j else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
     assert (_common(sets, width=7) == np.array(want)).all()
+
+
+def test_search_equals_brute_force_where_texts_share_passages(spark):
+    """Sets of many sizes that share a passage, most of them below the threshold; pieces of four sets and of all sets."""
+    from sparkloom.llm.near_dedup import _leading, _search, digest, similar
+
+    rng = np.random.default_rng(3)
+    passage, table = rng.integers(0, 2**63, 60, dtype=np.uint64), {}
+    for own in [3, 5, 8, 12, 13, 14, 15, 16, 18, 22, 30, 60] * 4:
+        found = np.unique(np.r_[passage[: rng.integers(40, 61)], rng.integers(0, 2**63, own, dtype=np.uint64)])
+        table[digest(found)] = found
+    for n in (1, 2, 3, 7, 400):
+        found = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        table |= {digest(x): x for x in (found, np.unique(np.r_[found, rng.integers(0, 2**63, max(1, n // 9), dtype=np.uint64)]))}
+    sets = spark.createDataFrame([(k, v.tobytes()) for k, v in table.items()], "node binary, set binary")
+    nodes = sets.select("node", sets.node.alias("comp"))
+
+    def groups(links):
+        root = {k: k for k in table}
+        for u, v in links:
+            old, new = root[u], root[v]
+            root = {k: new if r == old else r for k, r in root.items()}
+        return {frozenset(k for k, r in root.items() if r == x) for x in root.values()}
+
+    for percent, block in ((80, 4), (85, 512)):
+        names = list(table)
+        good = lambda a, b: similar(len(a), len(b), len(np.intersect1d(a, b)), percent)
+        want = [(u, v) for i, u in enumerate(names) for v in names[:i] if good(table[u], table[v])]
+        found = [(bytes(r.u), bytes(r.v)) for r in _search(nodes, sets, percent, block).collect()]
+        assert {frozenset(p) for p in found} <= {frozenset(p) for p in want}
+        assert groups(found) == groups(want)
+        for n in range(1, 90):  # a first common hash allows exactly the sizes that can still be similar
+            most, least = _leading(n, percent)
+            for m in range(1, 140):
+                early = [p for p in range(n) if similar(n, m, min(n - p, m), percent)]
+                assert early == [p for p, x in enumerate(most) if least <= m <= x]
