@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import maintain
+from ..operators.hashtree import HashTree
 from ..sources import tables
+from ..sources.storage import shared_dir
 from .catalog import query
 
 
@@ -46,6 +50,45 @@ def sync_diff(spark: SparkSession, folder: str) -> DataFrame:
     return maintain.difference(e.filter("entry_id % 10 <> 0"), index, "entry_id", "hash")
 
 
+_VERSIONS = """
+    WITH s AS (SELECT doc_id AS entry_id, md5(coalesce(text, '')) AS hash FROM documents WHERE doc_id % 301 <> 0),
+    i AS (SELECT doc_id AS entry_id, CASE WHEN doc_id % 211 = 0 THEN 'old' ELSE md5(coalesce(text, '')) END AS hash FROM documents WHERE doc_id % 251 <> 0)"""
+
+
+def _trees(spark: SparkSession, folder: str) -> tuple[HashTree, HashTree]:
+    """Entries, and an index of them that lacks some, has some that went, and some in an old form."""
+    e = tables.entries(spark, folder).select("entry_id", F.md5("content").alias("hash"))
+    index = e.filter("entry_id % 251 <> 0").withColumn("hash", F.when(F.col("entry_id") % 211 == 0, "old").otherwise(F.col("hash")))
+    at = f"{shared_dir(spark)}/trees-{uuid.uuid4().hex}"
+    return HashTree.build(e.filter("entry_id % 301 <> 0"), f"{at}/source", "entry_id", "hash"), HashTree.build(index, f"{at}/index", "entry_id", "hash")
+
+
+@query(f"""{_VERSIONS}
+    SELECT coalesce(s.entry_id, i.entry_id) AS entry_id, CASE WHEN i.entry_id IS NULL THEN 'add' WHEN s.entry_id IS NULL THEN 'delete' ELSE 'update' END AS action
+    FROM s FULL JOIN i ON s.entry_id = i.entry_id WHERE i.entry_id IS NULL OR s.entry_id IS NULL OR s.hash <> i.hash""")
+def sync_by_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """What the index needs, from the buckets whose digests differ."""
+    source, index = _trees(spark, folder)
+    return source.difference(index)
+
+
+@query(f"""{_VERSIONS},
+    d AS (SELECT DISTINCT md5(CAST(coalesce(s.entry_id, i.entry_id) AS VARCHAR))[:3] AS leaf
+          FROM s FULL JOIN i ON s.entry_id = i.entry_id WHERE i.entry_id IS NULL OR s.entry_id IS NULL OR s.hash <> i.hash),
+    a AS (SELECT 'source' AS side, entry_id FROM s UNION ALL SELECT 'index', entry_id FROM i)
+    SELECT side, count(*) FILTER (md5(CAST(entry_id AS VARCHAR))[:3] IN (SELECT leaf FROM d)) AS rows_read, count(*) AS rows_all FROM a GROUP BY side""")
+def sync_by_tree_reads(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows of each side lie in buckets that differ, of how many."""
+    source, index = _trees(spark, folder)
+    leaves = source.differing(index).withColumn("differs", F.lit(True))
+
+    def side(tree: HashTree, name: str) -> DataFrame:
+        leaf = tree.level(tree.depth).withColumnRenamed("node", "leaf").join(leaves, "leaf", "left")
+        return leaf.agg(F.coalesce(F.sum(F.when(F.col("differs"), F.col("rows"))), F.lit(0)).alias("rows_read"), F.sum("rows").alias("rows_all")).withColumn("side", F.lit(name))
+
+    return side(source, "source").unionByName(side(index, "index"))
+
+
 @query("SELECT project_id, entry_id, relevance, line FROM (SELECT l_orderkey AS project_id, l_partkey AS entry_id, l_discount AS relevance, l_linenumber AS line, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_shipdate DESC, l_linenumber DESC) AS n FROM lineitem) WHERE n = 1")
 def latest_links(spark: SparkSession, folder: str) -> DataFrame:
     """One link for each project and entry: the last one."""
