@@ -18,6 +18,9 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +31,50 @@ from .ranking import K1, B, tokens
 _CLASS = 1 << 40
 
 
+def block_postings(rows: pa.Table) -> pa.Table:
+    """Postings of one block's documents (block, id, words): term, block, n, most, least, ids, tfs, lens, places.
+
+    Rows of the same id and number of words are one document, whose uses are those of all of them.
+    """
+    ids = rows["id"].combine_chunks()
+    words = rows["words"].combine_chunks()
+    lens = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    order = np.lexsort((lens, pc.rank(ids, tiebreaker="dense").to_numpy()))
+    ids, words, lens = ids.take(order), words.take(order), lens[order]
+    same = pc.rank(ids, tiebreaker="dense").to_numpy()
+    new = np.ones(len(ids), bool)
+    new[1:] = (same[1:] != same[:-1]) | (lens[1:] != lens[:-1])
+    first, number = np.flatnonzero(new), np.cumsum(new) - 1
+    flat = words.flatten().dictionary_encode()
+    starts = np.repeat(np.cumsum(lens) - lens, lens)
+    at = (np.arange(len(flat)) - starts).astype(np.int32)
+    use = flat.indices.to_numpy().astype(np.int64) * len(first) + np.repeat(number, lens)
+    by = np.lexsort((at, use)) if len(first) < len(ids) else np.argsort(use, kind="stable")
+    use, at = use[by], at[by]
+    begins = np.flatnonzero(np.diff(use, prepend=-1))
+    term, doc = np.divmod(use[begins], max(1, len(first)))
+    tfs = np.diff(begins, append=len(use)).astype(np.int32)
+    heads = np.flatnonzero(np.diff(term, prepend=-1))
+    n = np.diff(heads, append=len(term))
+    offsets = pa.array(np.append(heads, len(term)).astype(np.int32))
+    size = lens[first[doc]].astype(np.int32)
+    listed = lambda values: pa.ListArray.from_arrays(offsets, values)
+    places = pa.ListArray.from_arrays(pa.array(np.append(begins, len(use)).astype(np.int32)), pa.array(at))
+    top = lambda of, values: of.reduceat(values, heads) if len(heads) else values[:0]
+    columns = {
+        "term": flat.dictionary.take(pa.array(term[heads])), "block": pa.array(np.full(len(heads), rows["block"][0].as_py() if len(rows) else 0, np.int64)), "n": pa.array(n.astype(np.int64)),
+        "most": pa.array(top(np.maximum, tfs)), "least": pa.array(top(np.minimum, size)), "ids": listed(ids.take(pa.array(first[doc]))), "tfs": listed(pa.array(tfs)), "lens": listed(pa.array(size)), "places": listed(places),
+    }
+    return pa.table(columns)
+
+
 class Index(Versions):
     """Postings of a text column under one folder, changed by layers. key: a column of whole numbers or text."""
 
     MERGE = 16
     FEW = 20_000
+    BYTES = 4 << 20
+    SHARE = 64 << 20
 
     def __init__(self, spark: SparkSession, folder: str, key: str = "entry_id", buckets: int = 64, block: int = 512) -> None:
         super().__init__(spark, folder, key)
@@ -49,29 +91,41 @@ class Index(Versions):
     # Writing
 
     def _tables(self, docs: DataFrame, text: str) -> dict[str, DataFrame]:
-        """docs (key, len and the other columns) and postings of rows."""
-        words = docs.withColumn("_words", tokens(F.col(text)))
-        held = stored(words.select(*(c for c in docs.columns if c != text), F.size("_words").alias("len")), "index-docs")
-        block = self._block_of(held)
-        at = words.select(self.key, F.size("_words").alias("len"), F.posexplode("_words").alias("at", "term"))
-        uses = at.groupBy(self.key, "len", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("places"))
-        one = F.struct(F.col(self.key).alias("id"), "tf", "len", "places")
-        return {"docs": held, "postings": self._gathered(uses.withColumn("block", block), one), "totals": self._totals(held)}
+        """docs (key, len, _block and the other columns) and postings of rows.
 
-    def _block_of(self, docs: DataFrame) -> Column:
-        """The block of a document: its class of lengths, a quarter of a doubling wide, and a part of it by a hash of the key."""
-        cls = F.floor(F.log2(F.col("len") + 1) * 4).cast("long")
-        counts = {r.c: r.n for r in docs.groupBy(cls.alias("c")).agg(F.count("*").alias("n")).collect()}  # some hundred classes at most
+        Texts are dealt by block, and a block's postings are made where they lie: no word is a row of its own.
+        """
+        size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
+        block, total = self._block_of(docs, size)
+        held = stored(docs.select(*(c for c in docs.columns if c != text), F.size(tokens(F.col(text))).alias("len"), block.alias("_block")), "index-docs")
+        texts = docs.select(block.alias("block"), F.col(self.key).alias("id"), F.col(text).alias("_text")).repartition("block").sortWithinPartitions("block")
+        words = texts.select("block", "id", tokens(F.col("_text")).alias("words"))
+        kind = docs.schema[self.key].dataType.simpleString()
+        rows = words.groupBy("block").applyInArrow(block_postings, f"term string, block long, n long, most int, least int, ids array<{kind}>, tfs array<int>, lens array<int>, places array<array<int>>")
+        return {"docs": held, "postings": self._dealt(rows, total), "totals": self._totals(held)}
+
+    def _block_of(self, docs: DataFrame, size: Column) -> tuple[Column, int]:
+        """The block of a document, and the bytes of all: its class of sizes, a quarter of a doubling wide, and a part of it by a hash of the key.
+
+        A part has about `block` documents, or BYTES bytes where that is less.
+        """
+        cls = F.floor(F.log2(size + 1) * 4).cast("long")
+        counts = docs.groupBy(cls.alias("c")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()  # some hundred classes at most
         parts = F.lit(1)
-        for c, n in counts.items():
-            parts = F.when(cls == c, max(1, math.ceil(n / self.block))).otherwise(parts)
-        return cls * _CLASS + F.pmod(F.xxhash64(self.key), parts)
+        for r in counts:
+            parts = F.when(cls == r.c, max(1, math.ceil(r.n / self.block), math.ceil(r.bytes / self.BYTES))).otherwise(parts)
+        return cls * _CLASS + F.pmod(F.xxhash64(self.key), parts), sum(r.bytes for r in counts)
 
-    def _gathered(self, uses: DataFrame, one: Column) -> DataFrame:
+    def _gathered(self, uses: DataFrame, one: Column, total: int) -> DataFrame:
         """Postings from (key, len, term, tf, places, block)."""
         rows = uses.groupBy("term", "block").agg(F.sort_array(F.collect_list(one)).alias("all"), F.max("tf").alias("most"), F.min("len").alias("least"), F.count("*").alias("n"))
-        rows = rows.select(self._bucket().alias("bucket"), "term", "block", "n", "most", "least", *(F.col(f"all.{a}").alias(b) for a, b in (("id", "ids"), ("tf", "tfs"), ("len", "lens"), ("places", "places"))))
-        return rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+        return self._dealt(rows.select("term", "block", "n", "most", "least", *(F.col(f"all.{a}").alias(b) for a, b in (("id", "ids"), ("tf", "tfs"), ("len", "lens"), ("places", "places")))), total)
+
+    def _dealt(self, rows: DataFrame, total: int) -> DataFrame:
+        """Postings in order within their buckets; a bucket is dealt to as many tasks, by block, as keep each one's share of the text bounded."""
+        tasks = math.ceil(total / (self.buckets * self.SHARE)) or 1
+        rows = rows.select(self._bucket().alias("bucket"), "*")
+        return rows.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(tasks))).sortWithinPartitions("bucket", "term", "block")
 
     def _totals(self, docs: DataFrame) -> DataFrame:
         return docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("length"))
@@ -92,10 +146,13 @@ class Index(Versions):
         if not layers:
             return self.build(new, text)
         touched = stored(gone.select(self.key).union(new.select(self.key)).distinct(), "touched")
-        old = self.live(self.of(layers, "docs").select(self.key, "len", "_layer"), layers).join(touched, self.key)
+        old = self.live(self.of(layers, "docs").select(self.key, "len", "_block", "_layer"), layers).join(touched, self.key)
         totals = self._totals(old)
-        posted = self.live(self._entries(self.of(layers, "postings"), ["ids"]), layers)
-        left = posted.join(touched, self.key).groupBy("term").agg(F.count("*").alias("n")).withColumn("bucket", self._bucket())
+        gone_of = old.groupBy("_layer", F.col("_block").alias("block")).agg(F.collect_list(self.key).alias("_gone"))  # a block's documents at most
+        posted = self.of(layers, "postings").select("_layer", "block", "term", "ids").join(gone_of, ["_layer", "block"])
+        once = F.size(F.array_distinct("ids")) == F.size("ids")
+        n = F.when(once, F.size(F.array_intersect("ids", "_gone"))).otherwise(F.size(F.filter("ids", lambda x: F.array_contains("_gone", x))))
+        left = posted.select("term", n.cast("long").alias("n")).filter("n > 0").groupBy("term").agg(F.sum("n").alias("n")).withColumn("bucket", self._bucket())
         parts = self._tables(new, text) | {"touched": touched, "left": left, "left_totals": totals}
         if len(layers) <= self.MERGE:
             return self.write(parts, "done", {"postings": "bucket", "left": "bucket"})
@@ -107,17 +164,19 @@ class Index(Versions):
         layers = self.layers()
         if not layers:
             return 0
-        names = self.of(layers[:1], "docs").drop("_layer", "len")
+        names = self.of(layers[:1], "docs").drop("_layer", "len", "_block")
         return self.change(names.withColumn("_text", F.lit("")).limit(0), "_text", gone)
 
     def merge(self) -> int:
         """All layers as one base, from their postings: no text is read."""
         layers = self.layers()
-        docs = stored(self.live(self.of(layers, "docs"), layers).drop("_layer"), "index-docs")
+        docs = self.live(self.of(layers, "docs"), layers).drop("_layer", "_block")
+        block, total = self._block_of(docs, F.col("len") * 6)  # about six bytes a word
+        docs = stored(docs.withColumn("_block", block), "index-docs")
         rows = self.live(self._entries(self.of(layers, "postings"), ["ids", "tfs", "lens", "places"]), layers)
-        rows = rows.select(self.key, "term", F.col("tfs").alias("tf"), F.col("lens").alias("len"), "places").withColumn("block", self._block_of(docs))
+        rows = rows.select(self.key, "term", F.col("tfs").alias("tf"), F.col("lens").alias("len"), "places").withColumn("block", block)
         one = F.struct(F.col(self.key).alias("id"), "tf", "len", "places")
-        return self.write({"docs": docs, "postings": self._gathered(rows, one), "totals": self._totals(docs)}, by={"postings": "bucket"})
+        return self.write({"docs": docs, "postings": self._gathered(rows, one, total), "totals": self._totals(docs)}, by={"postings": "bucket"})
 
     # Reading
 
