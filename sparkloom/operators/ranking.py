@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import small_batches
+
 TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
 FUSION = 60
@@ -18,11 +23,33 @@ def tokens(text: Column, longest: int = 40) -> Column:
     return F.filter(found, lambda t: F.length(t) <= longest)
 
 
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (key, term, tf) for each distinct word of a row (key, words)."""
+    for batch in batches:
+        key, words = batch.column(0), batch.column(1)
+        flat = words.flatten().dictionary_encode()
+        terms = max(1, len(flat.dictionary))
+        use, tf = np.unique(pc.list_parent_indices(words).to_numpy().astype(np.int64) * terms + flat.indices.to_numpy(), return_counts=True)
+        row, term = np.divmod(use, terms)
+        yield pa.RecordBatch.from_arrays([key.take(pa.array(row)), flat.dictionary.take(pa.array(term)), pa.array(tf.astype(np.int64))], [batch.schema.names[0], "term", "tf"])
+
+
 def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The inverted index of a text column: (key, term, tf) and (key, len)."""
+    """The inverted index of a text column: (key, term, tf) and (key, len).
+
+    A row's words are counted where it lies; only the counts of keys that several rows have are summed by a shuffle.
+    """
+    small_batches(docs.sparkSession)
     words = docs.select(key, tokens(F.col(text)).alias("words"))
+    kind = docs.schema[key].dataType.simpleString()
+    counted = lambda rows: rows.mapInArrow(count_words, f"`{key}` {kind}, term string, tf long")
     stats = words.select(key, F.size("words").alias("len"))
-    return words.select(key, F.explode("words").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), stats
+    repeated = docs.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(key).alias("_key"))
+    if repeated.isEmpty():
+        return counted(words), stats
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    several = counted(words.join(repeated, same, "left_semi")).groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    return counted(words.join(repeated, same, "left_anti")).unionByName(several), stats
 
 
 def _uses(words: str, term: str) -> Column:
