@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import small_batches
+
 SIZE, OVERLAP, LEAST = 512, 50, 50
 CHUNK = "entry_id long, chunk_index int, chunk_type string, text string"
 
@@ -223,6 +225,7 @@ def packed_chunks(entries: DataFrame, how: str, size: int = 2000, overlap: int =
             rows = [(e, i, k, t) for e, text in zip(batch["entry_id"], batch["content"], strict=True) for i, (k, t) in enumerate(chunks(text or ""))]
             yield pd.DataFrame(rows, columns=["entry_id", "chunk_index", "chunk_type", "text"])
 
+    small_batches(entries.sparkSession)
     return entries.select("entry_id", "content").mapInPandas(run, CHUNK)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, urls
 from ..functions.embed import embed
-from ..sources.storage import stored
+from ..sources.storage import small_batches, stored
 from ..sources.versions import Versions
 from . import chunkers, maintain, ranking
 
@@ -23,6 +23,7 @@ class Ingested:
 
 def build(pages: DataFrame, dim: int = 256, size: int = 2000, least: int = chunkers.LEAST) -> Ingested:
     """pages: page_id, url, html. Entries, their chunks with vectors, and the terms of their text; parsed once."""
+    small_batches(pages.sparkSession)
     parsed = pages.select("page_id", "url", markup.page_structure(F.col("html"), F.col("url")).alias("p"))
     entries = stored(
         parsed.select(
