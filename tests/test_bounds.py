@@ -39,3 +39,20 @@ def test_words_are_counted_where_they_lie(spark):
 def test_sketches_are_kept_by_state_only(spark, data):
     counts = [x for x in plan(QUERIES["approximate_counts"](spark, data)).splitlines() if "approx_count_distinct" in x]
     assert counts and not any("job_id" in x.split("functions=")[0] or "user_id" in x.split("functions=")[0] for x in counts)
+
+
+def test_tags_need_no_shuffle_and_equal_counting(spark):
+    from sparkloom.operators import tags
+
+    schema = "entry_id long, content string"
+    rows = [(1, "red fox and red fox. the blue blue sky! red"), (2, None), (3, ""), (4, "one. two. one two three")]
+    docs = spark.createDataFrame(rows, schema)
+    assert "Exchange" not in plan(tags.rake(docs, "entry_id", "content")) + plan(tags.tfidf(docs, "entry_id", "content"))
+    rake = {(r.entry_id, r.tag): (r.score, r["rank"]) for r in tags.rake(docs, "entry_id", "content").collect()}
+    # red: in "red fox" twice and once alone; blue: twice in one phrase of three words.
+    assert rake[1, "red fox"] == (round(5 / 3 + 2, 6), 2) and rake[1, "red"] == (round(5 / 3, 6), 3) and rake[1, "blue blue sky"] == (9.0, 1)
+    tfidf = [tuple(r) for r in tags.tfidf(docs, "entry_id", "content").filter("entry_id = 4").orderBy("rank").collect()]
+    assert tfidf == [(4, "three", 1.0, 1), (4, "one", 0.8, 2), (4, "two", 0.6, 3)]
+    both = spark.createDataFrame([*rows, (1, "red fox")], schema)
+    again = {(r.entry_id, r.tag): r.score for r in tags.rake(both, "entry_id", "content").collect()}
+    assert again[1, "red fox"] == round(7 / 4 + 2, 6) and again[4, "one two three"] == rake[4, "one two three"][0]
