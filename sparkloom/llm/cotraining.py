@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import fit_logistic
-from .shared import discard, small_batches, stored
+from .shared import discard, small_batches, stored, tidy
 from .toxicity import held_out, labelled
 
 BITS = 15
@@ -164,7 +164,7 @@ def features(rows: DataFrame) -> DataFrame:
             arrays = [pa.array([_packed(content(t)) for t in texts], pa.binary()), pa.array([_packed(metadata(*d)) for d in zip(*declared, strict=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "content", "metadata"])
 
-    return stored(rows.mapInArrow(run, "doc_id long, content binary, metadata binary"), "features")
+    return stored(rows.mapInArrow(tidy(run), "doc_id long, content binary, metadata binary"), "features")
 
 
 def _learnt(found: DataFrame, chosen: DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -181,7 +181,7 @@ def _score(found: DataFrame, views: tuple[View, View]) -> DataFrame:
             z = [pa.array([v.logit(_places(x)) for x in batch.column(1 + i).to_pylist()], pa.float64()) for i, v in enumerate(views)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *z], ["doc_id", "za", "zb"])
 
-    return found.select("doc_id", "content", "metadata").mapInArrow(run, "doc_id long, za double, zb double")
+    return found.select("doc_id", "content", "metadata").mapInArrow(tidy(run), "doc_id long, za double, zb double")
 
 
 def _surest(scores: DataFrame, view: str, most: int) -> DataFrame:
@@ -265,7 +265,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
             p = np.array([model.probability(a, b) if model else (1.0, 1.0, 1.0) for a, b in both]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, i]) for i in range(3))], ["doc_id", "content_score", "metadata_score", "score"])
 
-    scored = found.mapInArrow(run, "doc_id long, content_score double, metadata_score double, score double")
+    scored = found.mapInArrow(tidy(run), "doc_id long, content_score double, metadata_score double, score double")
     return scored.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "content_score", "metadata_score", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -284,4 +284,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", thresh
             good = [model.probability(content(t or ""), metadata(g, s, n))[2] >= threshold for t, g, s, n in values]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.toDF(*shown).mapInArrow(run, docs.toDF(*shown).schema).toDF(*docs.columns)
+    return docs.toDF(*shown).mapInArrow(tidy(run), docs.toDF(*shown).schema).toDF(*docs.columns)

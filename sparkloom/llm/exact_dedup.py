@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WHITE, small_batches, stored
+from .shared import WHITE, small_batches, stored, tidy
 
 _WHITE = WHITE.encode()
 _LAST = (1 << 63) - 1
@@ -59,9 +59,14 @@ def _combine(limit: int, columns: list[str], text: str, schema: pa.Schema):
         table: dict[bytes, list] = {}
         held = 0
 
-        def leaders() -> pa.RecordBatch:
-            out = [(e[1][2], e[0], e[4], e[5], e[2], e[1][0], e[1][1], _weight(c, e[3]), *e[3]) for c, e in table.items()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+        def leaders() -> Iterator[pa.RecordBatch]:
+            out = _Out(schema)
+            while table:
+                c, e = table.popitem()
+                weight = _weight(c, e[3])
+                out.add((e[1][2], e[0], e[4], e[5], e[2], e[1][0], e[1][1], weight, *e[3]), weight)
+                if out.full() or not table:
+                    yield out.batch()
 
         for batch in batches:
             rows, ids, chars = (batch.column(i).to_pylist() for i in range(3))
@@ -83,11 +88,9 @@ def _combine(limit: int, columns: list[str], text: str, schema: pa.Schema):
             arrays = [pa.array([r[j] for r in out], schema.field(j).type) for j in range(_WIDTH)]
             yield pa.RecordBatch.from_arrays(arrays + [pa.nulls(len(out), f.type) for f in list(schema)[_WIDTH:]], schema=schema)
             if held > limit:
-                yield leaders()
-                table.clear()
+                yield from leaders()
                 held = 0
-        if table:
-            yield leaders()
+        yield from leaders()
 
     return run
 
@@ -185,7 +188,7 @@ def _spill(docs: DataFrame, id_col: str, text: str, limit: int) -> tuple[DataFra
         *shown,
     )
     schema = T.StructType([*T.StructType.fromDDL(_LEADER).fields, *(T.StructField(n, docs.schema[i].dataType) for i, n in enumerate(shown))])
-    spilled = rows.mapInArrow(_combine(limit, shown, shown[text_at], _arrow(schema)), schema)
+    spilled = rows.mapInArrow(tidy(_combine(limit, shown, shown[text_at], _arrow(schema))), schema)
     return stored(spilled, "grace"), shown
 
 
@@ -203,7 +206,7 @@ def _resolve(spill: DataFrame, shown: list[str], text: str, limit: int, keep_row
             todo += [(parts.filter(F.col("_deal") == i).drop("_deal"), level + 1) for i in range(16)]
             continue
         dealt = pending.repartition(max(wanted, least), F.xxhash64(F.lit(level), "_hash"))
-        out = stored(dealt.mapInArrow(_grace(level, limit, shown, text, _arrow(schema), keep_rows), schema), f"grace-{level}")
+        out = stored(dealt.mapInArrow(tidy(_grace(level, limit, shown, text, _arrow(schema), keep_rows)), schema), f"grace-{level}")
         done.append(out.filter(F.col("_kind") != OVER))
         deepest = max(deepest, level)
         over = out.filter(F.col("_kind") == OVER).drop("_class", "_kind")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .links import components
-from .shared import discard, small_batches, spread_join, stored
+from .shared import discard, small_batches, spread_join, stored, tidy
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -159,7 +159,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str,
             yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "n_shingles", "node", "keys", "text_hash"])
 
     rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"), F.monotonically_increasing_id().alias("row"))
-    return rows_.mapInArrow(run, "row long, doc_id long, n_shingles long, node binary, keys array<long>, text_hash long")
+    return rows_.mapInArrow(tidy(run), "row long, doc_id long, n_shingles long, node binary, keys array<long>, text_hash long")
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, words: int, text_col: str, remember: int = 200_000) -> DataFrame:
@@ -187,8 +187,8 @@ def node_sets(docs: DataFrame, wanted: DataFrame, words: int, text_col: str, rem
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(same), pa.array([f.tobytes() for f in found], pa.binary()).filter(same)], ["node", "set"])
 
     texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.mapInArrow(first, "text_hash long, text string").join(wanted, "text_hash").select("node", "text")
-    return stored(texts.mapInArrow(run, "node binary, set binary").dropDuplicates(["node"]), "sets")
+    texts = texts.mapInArrow(tidy(first), "text_hash long, text string").join(wanted, "text_hash").select("node", "text")
+    return stored(texts.mapInArrow(tidy(run), "node binary, set binary").dropDuplicates(["node"]), "sets")
 
 
 def _set(raw: bytes) -> np.ndarray:
@@ -223,7 +223,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, copies: int = 256)
     centres = centres.join(sets.withColumnsRenamed({"node": "centre", "set": "a"}), "centre").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = pairs.join(sets.withColumnRenamed("set", "b"), "node").join(centres, ["centre", "part"])
     rows = rows.select(F.col("centre").alias("u"), F.col("node").alias("v"), "a", "b").sortWithinPartitions("u")
-    return rows.mapInArrow(run, "u binary, v binary")
+    return rows.mapInArrow(tidy(run), "u binary, v binary")
 
 
 def _common(sets: list[np.ndarray], rare: int = 8, width: int = 1024) -> np.ndarray:
@@ -287,7 +287,7 @@ def _ranks(sets: DataFrame, cells: int = 1 << 20) -> np.ndarray:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["cell", "uses"])
 
-    found = sets.select("set").mapInArrow(run, "cell long, uses long").groupBy("cell").agg(F.sum("uses").alias("uses")).toArrow()
+    found = sets.select("set").mapInArrow(tidy(run), "cell long, uses long").groupBy("cell").agg(F.sum("uses").alias("uses")).toArrow()
     ranks = np.zeros(cells, np.uint8)
     ranks[found["cell"].to_numpy()] = 4 * np.log2(1 + found["uses"].to_numpy())
     return ranks
@@ -333,7 +333,7 @@ def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int, ranks: np.ndarray
             for k in range(0, len(at), 50_000):
                 yield out.slice(k, 50_000)
 
-    return nodes.join(sets, "node").select("node", "comp", "set").mapInArrow(run, "hash long, node binary, comp binary, n long, cls int, low int, high int")
+    return nodes.join(sets, "node").select("node", "comp", "set").mapInArrow(tidy(run), "hash long, node binary, comp binary, n long, cls int, low int, high int")
 
 
 def _search(nodes: DataFrame, sets: DataFrame, percent: int, block: int, hashes: int = 1 << 18) -> DataFrame:
@@ -398,7 +398,7 @@ def _search(nodes: DataFrame, sets: DataFrame, percent: int, block: int, hashes:
             yield batch_of(found)
         yield batch_of(links())
 
-    links_ = stored(rows.mapInArrow(run, "u binary, v binary"), "more")
+    links_ = stored(rows.mapInArrow(tidy(run), "u binary, v binary"), "more")
     discard(meetings)
     return links_
 

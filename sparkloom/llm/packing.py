@@ -18,6 +18,7 @@ input gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import zlib
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stored
+from .shared import small_batches, stored, tidy
 
 #: Fixed value: the pattern of byte-level pre-tokenizers, which tokenizer files name by their type only.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -49,11 +50,7 @@ class ByteIds:
     """Ids of a byte-level tokenizer file, as little-endian unsigned 32-bit integers in bytes."""
 
     def __init__(self, path: str, remember: int = 300_000) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         self.added = [x["content"] for x in parts.get("added_tokens") or []]
@@ -61,6 +58,16 @@ class ByteIds:
         self.seen: dict[str, bytes | None] = {}
         self.remember = remember
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The library's own, read when a text first needs it: a worker keeps it from then on."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def _ranks(self, parts: dict):
         """A function from text to ids by the file's vocabulary as ranks; None where the file can't be used so."""
         import tiktoken
@@ -182,7 +189,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int = 2048, rest: int =
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], types[t]) for i, (_, t) in enumerate(fields)], names)
 
     source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), source.alias("source")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), source.alias("source")).mapInArrow(tidy(run), schema)
 
 
 def pack(pieces: DataFrame, window: int = 2048, group: int = 4096) -> DataFrame:

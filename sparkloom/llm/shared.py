@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import discard, shared_dir, stored
 
-__all__ = ["WHITE", "WORD", "discard", "hex_digits", "prefix_sums", "running_sums", "shared_dir", "small_batches", "spread_join", "stored"]
+__all__ = ["WHITE", "WORD", "discard", "hex_digits", "prefix_sums", "running_sums", "shared_dir", "small_batches", "spread_join", "stored", "tidy"]
 
 #: White space of the text contracts: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -24,6 +26,24 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow; at the end of a task its worker gives what it has freed back to the system.
+
+    Spark keeps several workers an executor for later tasks, and each would otherwise stay as large as its largest task.
+    """
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return call
+
+
 def hex_digits(rows: int, per_bucket: int = 512) -> int:
     """How many leading hex digits of a hash split `rows` rows into buckets of about per_bucket."""
     n = 1
