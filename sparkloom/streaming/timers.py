@@ -6,11 +6,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ..sources.storage import shared_dir
 from .jobs import run_to_end
@@ -33,7 +31,7 @@ def slice_stream(spark: SparkSession, at: str, schema: StructType) -> DataFrame:
 
 @contextmanager
 def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Timers and typed state need this store; the session's own is put back."""
+    """Keeps state outside of the heap; the session's own store is put back."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, ROCKS)
@@ -43,55 +41,16 @@ def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
-class _Silence(StatefulProcessor):
-    """Holds a job's last event and one timer; both go when the job falls silent."""
-
-    def __init__(self, seconds: int) -> None:
-        self.limit = seconds * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        fields = [StructField("us", LongType()), StructField("events", LongType()), StructField("timer", LongType())]
-        self.last = handle.getValueState("last", StructType(fields))
-
-    @staticmethod
-    def _rows(found: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(found, columns=["job_id", "last", "events"])
-        out["last"] = pd.to_datetime(out["last"], unit="us", utc=True).dt.tz_localize(None)
-        return out
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        us, events, timer = self.last.get() if self.last.exists() else (None, 0, None)
-        found = []
-        times = sorted(t for part in rows for t in part["us"].tolist())
-        for t in times:
-            if us is not None and t - us > self.limit * 1000:
-                found.append((key[0], us, events))
-                events = 0
-            us, events = max(t, us or t), events + 1
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        timer = us // 1000 + self.limit
-        self.handle.registerTimer(timer)
-        self.last.update((us, events, timer))
-        yield self._rows(found)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        us, events, _ = self.last.get()
-        self.last.clear()
-        yield self._rows([(key[0], us, events)])
-
-    def close(self) -> None:
-        pass
-
-
 def silences(stream: DataFrame, seconds: int, late: str) -> DataFrame:
     """A row whenever a job falls silent for more than `seconds`: job_id, last (its last event), events (since it was last silent).
 
-    stream: job_id, ts, in time order up to `late`, beyond which rows are dropped. A silent job has no state.
+    stream: job_id, ts, in time order up to `late`, beyond which rows are dropped. A run of events is a session, which ends
+    `seconds` after its last event and is given, and its state dropped, once the watermark is there. An event at the very
+    end still belongs to it.
     """
-    rows = stream.select("job_id", "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", late)
-    return rows.groupBy("job_id").transformWithStateInPandas(_Silence(seconds), "job_id long, last timestamp_ntz, events long", "append", "EventTime")
+    rows = stream.select("job_id", "ts").withWatermark("ts", late)
+    runs = rows.groupBy("job_id", F.session_window("ts", f"{seconds} seconds")).agg(F.max("ts").alias("last"), F.count("*").alias("events"))
+    return runs.select("job_id", F.col("last").cast("timestamp_ntz").alias("last"), "events")
 
 
 def run_silences(stream: DataFrame, seconds: int, late: str) -> DataFrame:

@@ -46,3 +46,13 @@ def test_outcomes_and_those_without(spark):
     got = sorted(((r.job_id, r.submission, r.outcome) for r in found.collect()), key=repr)
     # The slower side is at 905 minutes, so the submission at 905 may still get an outcome.
     assert got == [(1, 0, 2), (1, 0, 3), (2, 1, None), (3, 5, None), (9, 6, 7)]
+
+
+def test_silences_keep_no_python_state_and_runs_end_after_their_last_moment(spark):
+    rows = [(0, 1, 0, "view"), (0, 1, 60, "view"), (0, 1, 121, "view"), (1, 2, 200, "view"), (1, 1, 182, "view"), (2, 9, 305, "view"), (2, 8, 307, "view")]
+    stream = events(spark, rows, 3)
+    plan = timers.silences(stream, 3600, "5 minutes")._jdf.queryExecution().logical().toString()
+    assert "Python" not in plan and "TransformWithState" not in plan
+    found = timers.run_silences(stream, 3600, "5 minutes").collect()
+    # 60 is exactly an hour after 0; the watermark is at 302 minutes.
+    assert sorted((r.job_id, minutes(r["last"]), r.events) for r in found) == [(1, 60.0, 2), (1, 121.0, 1), (1, 182.0, 1), (2, 200.0, 1)]
