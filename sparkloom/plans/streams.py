@@ -124,13 +124,19 @@ def job_states_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _slices(spark: SparkSession, folder: str, late: bool = False) -> DataFrame:
-    """The events as a stream of four slices of their ids, which are in order of time; with `late`, some rows come a slice later."""
+    """The events as a stream of four slices in order of time; with `late`, of their ids, and some rows come a slice later."""
     rows = tables.job_events(spark, folder).drop("props").withColumn("ts", F.col("ts").cast("timestamp"))
-    lo, hi = rows.agg(F.min("event_id"), F.max("event_id")).first()
-    number = F.floor((F.col("event_id") - F.lit(lo or 0)) * 4 / F.lit((hi or 0) - (lo or 0) + 1))
+    slices = 5 if late else 4
     if late:
+        lo, hi = rows.agg(F.min("event_id"), F.max("event_id")).first()
+        number = F.floor((F.col("event_id") - F.lit(lo or 0)) * 4 / F.lit((hi or 0) - (lo or 0) + 1))
         number = number + F.when(F.col("event_id") % 10 == 3, 1).otherwise(0)
-    return timers.slice_stream(spark, timers.in_slices(rows, number, 5 if late else 4, "slices"), rows.schema)
+    else:
+        us = F.unix_micros("ts")
+        ends = rows.agg(F.percentile_approx(us, [0.25, 0.5, 0.75])).first()[0] or []
+        number = sum(((us > end).cast("int") for end in ends), F.when(us.isNotNull(), 0))
+    files = timers.files_of_slices(rows, number, slices)
+    return timers.slice_stream(spark, timers.in_slices(rows, number, slices, "slices", files), rows.schema, files)
 
 
 @query("""

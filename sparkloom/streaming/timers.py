@@ -16,17 +16,24 @@ from .jobs import run_to_end
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def in_slices(rows: DataFrame, number: Column, slices: int, name: str) -> str:
-    """Write rows as `slices` folders of files, one after another, so that a stream of the folder takes them in that order."""
+def in_slices(rows: DataFrame, number: Column, slices: int, name: str, files: int = 1) -> str:
+    """Write rows as `slices` slices of so many files, one after another, so that a stream of the folder takes them in that order."""
     at = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
     for k in range(slices):
-        rows.filter(number == k).coalesce(1).write.mode("append").parquet(at)
+        part = rows.filter(number == k)
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(at)
     return at
 
 
-def slice_stream(spark: SparkSession, at: str, schema: StructType) -> DataFrame:
-    """The slices as a stream, one in each batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at)
+def files_of_slices(rows: DataFrame, number: Column, slices: int, least: int = 100_000) -> int:
+    """How many files each slice can have with `least` rows in each; 1 where a slice has fewer rows, so that no file is left out for want of rows."""
+    sizes = rows.groupBy(number.alias("slice")).count().filter(F.col("slice").between(0, slices - 1)).agg(F.count("*"), F.min("count")).first()
+    return max(1, sizes[1] // least) if sizes[0] == slices else 1
+
+
+def slice_stream(spark: SparkSession, at: str, schema: StructType, files: int = 1) -> DataFrame:
+    """The slices as a stream, one (of `files` files) in each batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(at)
 
 
 @contextmanager

@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from sparkloom.plans import streams
 from sparkloom.streaming import timers
 
 START = datetime(2024, 1, 1)
@@ -56,3 +57,29 @@ def test_silences_keep_no_python_state_and_runs_end_after_their_last_moment(spar
     found = timers.run_silences(stream, 3600, "5 minutes").collect()
     # 60 is exactly an hour after 0; the watermark is at 302 minutes.
     assert sorted((r.job_id, minutes(r["last"]), r.events) for r in found) == [(1, 60.0, 2), (1, 121.0, 1), (1, 182.0, 1), (2, 200.0, 1)]
+
+
+def test_slices_of_several_files_stay_whole_batches(spark):
+    rows = spark.range(4000).selectExpr("id as event_id", "id % 7 as job_id", "'a' as state", "timestamp_seconds(id) as ts", "1.0D as value")
+    number = F.floor(F.col("event_id") / 1000)
+    files = timers.files_of_slices(rows, number, 4, least=300)
+    assert (files, timers.files_of_slices(rows, number, 5, least=300), timers.files_of_slices(rows, number, 4)) == (3, 1, 1)
+    at = timers.in_slices(rows, number, 4, "test-files", files)
+    assert len(spark.read.parquet(at).inputFiles()) == 12
+    losses = timers.counted_windows(timers.slice_stream(spark, at, rows.schema, files), "1 hour", 600)
+    assert sorted((r.batch, r.seen) for r in losses.batches().collect()) == [(k, 1000) for k in range(4)]
+
+
+def test_outcomes_of_events_whose_ids_are_not_in_order_of_time(spark, tmp_path):
+    states = ("signup", "view", "error", "purchase")
+    data = [(k * 200 + i, START + timedelta(hours=i), k * 10 + i % 3, states[(i + k) % 4], 1.0, "") for k in range(2) for i in range(200)]
+    spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    found = {(r.job_id, r.submission, r.outcome) for r in streams.job_outcomes_stream(spark, str(tmp_path)).collect()}
+    starts, ends = [d for d in data if d[3] == "signup"], [d for d in data if d[3] in ("error", "purchase")]
+    hours = timedelta(hours=12)
+    slow = min(max(d[1] for d in starts), max(d[1] for d in ends)) - timedelta(minutes=10)
+    want = set()
+    for a in starts:
+        mine = [b[0] for b in ends if b[2] == a[2] and a[1] <= b[1] <= a[1] + hours]
+        want |= {(a[2], a[0], b) for b in mine} or ({(a[2], a[0], None)} if a[1] + hours < slow else set())
+    assert found == want
