@@ -9,8 +9,9 @@
 3. Scoring probes level after level until one is missing, which gives the count of an n-gram within the codebook's steps,
    seldom more by chance and never less. Probabilities are smoothed from order to order:
    p_n = (c_n + strength * p_(n-1)) / (c_history + strength), p_1 = (c_1 + 0.1) / (N + 0.1 * (V + 1)).
-   The filter is broadcast where it has no more than `most_bytes` bytes. Where it has more, each document's distinct
-   n-grams are sent to the segments instead, in groups of bounded size, and the levels come back: the same scores.
+   The filter is broadcast where it has no more than `most_bytes` bytes. Where it has more, the distinct n-grams of
+   chunks of texts (8 MB) are sent to the segments instead, in groups of bounded size, and the levels come back: the
+   same scores. Levels and counts of words are looked up once for each distinct n-gram of a block.
 
 Tokens are words of other characters than U+0020 and U+0009 to U+000D, with A-Z lower-cased, and one end a text. Long texts are read
 in blocks at word boundaries, n-grams across them included.
@@ -26,15 +27,17 @@ import hashlib
 import math
 import re
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, small_batches, stored
+from .shared import give_back, small_batches, stored, tidy
 
 _U = np.uint64
 _M1, _M2, _ODD1, _ODD2, _GOLD = map(_U, (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15))
@@ -131,6 +134,40 @@ class Tokens:
         return out
 
 
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Whether each value of sorted ones is the first of its kind."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
+class Grams:
+    """A block's tokens, its distinct n-grams in order of their hashes, and for each order the place of each token's n-gram among them."""
+
+    def __init__(self, block: list[tuple[int, bytes, int, bool]], order: int) -> None:
+        self.tokens = Tokens(block)
+        grams = self.tokens.grams(order)
+        hashes = np.concatenate([h for h, _ in grams])
+        by = np.argsort(hashes)
+        hashes = hashes[by]
+        first = _firsts(hashes)
+        self.hashes, at = hashes[first], np.empty(len(by), np.int32)
+        at[by] = np.cumsum(first, dtype=np.int32) - 1
+        self.at, self.there = np.split(at, order), [there for _, there in grams]
+
+    def counts(self, words: Words) -> np.ndarray:
+        """Counts of the tokens as words, each distinct one looked up once."""
+        one, two, at = self.tokens.one, self.tokens.two, self.at[0]
+        some = np.full(len(self.hashes), -1, np.int64)
+        some[at] = np.arange(len(at))  # a token of each word
+        kinds = some[some >= 0]
+        out = np.empty(len(some), np.int64)
+        out[some >= 0] = words.counts(one[kinds], two[kinds])
+        out, other = out[at], np.flatnonzero(two != two[some[at]])
+        out[other] = words.counts(one[other], two[other])  # words that share one name of the two
+        return out
+
+
 def counted_words(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((two, one))
     one, two = one[order], two[order]
@@ -227,7 +264,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 one, two, n = counted_words(t.one, t.two)
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n)], ["one", "two", "count"])
 
-    rows = texts.mapInArrow(run, "one long, two long, count long")
+    rows = texts.mapInArrow(tidy(run), "one long, two long, count long")
     return stored(rows.groupBy("one", "two").agg(F.sum("count").alias("count")), "word-counts")
 
 
@@ -263,9 +300,12 @@ def segment_filters(texts: DataFrame, order: int, segments: int, bits: int, held
         counts = np.concatenate((np.ones(len(single), np.int64), np.frombuffer(b"".join(rows["counts"]), "<i8")))
         hashes, at = np.unique(hashes, return_inverse=True)
         counts = np.bincount(at, counts, len(hashes)).astype(np.int64)
-        return pd.DataFrame({"segment": [key[0]], "filter": [filter_of(hashes, counts, bits).tobytes()]})
+        out = pd.DataFrame({"segment": [key[0]], "filter": [filter_of(hashes, counts, bits).tobytes()]})
+        del single, several, hashes, at, counts
+        give_back()
+        return out
 
-    rows = texts.mapInArrow(run, "segment long, single binary, several binary, counts binary")
+    rows = texts.mapInArrow(tidy(run), "segment long, single binary, several binary, counts binary")
     return stored(rows.groupBy("segment").applyInPandas(build, "segment long, filter binary"), "filters")
 
 
@@ -294,11 +334,11 @@ class Model:
     def __init__(self, tokens: int, words: int, order: int, strength: float) -> None:
         self.order, self.strength, self.total = order, strength, tokens + 0.1 * (words + 1)
 
-    def logs(self, t: Tokens, levels: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """log10 of the probability of each token."""
-        p, history = None, None
-        for hashes, there in t.grams(self.order):
-            found = VALUES[levels(hashes)]
+    def logs(self, g: Grams, levels: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each token. levels: of the distinct n-grams."""
+        p, history, values = None, None, VALUES[levels]
+        for at, there in zip(g.at, g.there, strict=True):
+            found = values[at]
             if p is None:
                 p = (found + 0.1) / self.total
             else:
@@ -312,86 +352,125 @@ class Model:
 _FIELDS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, one array<long>, two array<long>"
 
 
-def _scored(batch: pa.RecordBatch, words: Words, model: Model, levels: Callable[[int, np.ndarray], np.ndarray] | None, one_by_one: bool) -> pa.RecordBatch:
-    """A row of _FIELDS for each row (row, doc_id, held_out, text, ...) of a batch; words not among the frequent ones as arrays."""
-    texts = batch.column(3).to_pylist()
-    n, known, base, score = (np.zeros(len(texts), d) for d in (np.int64, np.int64, float, float))
-    rest: list[tuple[list, list]] = [([], []) for _ in texts]
-    for k, group in enumerate([[t] for t in texts] if one_by_one else [texts]):
-        for block in blocks(group, model.order - 1):
-            t = Tokens(block)
-            at = (t.text + k)[t.counted]
-            one, two = t.one[t.counted], t.two[t.counted]
-            count = words.counts(one, two)
-            logs = model.logs(t, lambda h, k=k: levels(k, h))[t.counted]
-            add = lambda v: np.bincount(at, v, len(texts))  # noqa: B023, E731
-            n += add(None)
-            known += add((count > 0).astype(float)).astype(np.int64)
-            base += add(np.where(count < 0, 0.0, np.log10((np.maximum(count, 0) + 0.1) / model.total)))
-            score += add(logs)
-            for i in np.flatnonzero(count < 0):
-                rest[at[i]][0].append(int(one[i].view(np.int64)))
-                rest[at[i]][1].append(int(two[i].view(np.int64)))
+def _scored(batch: pa.RecordBatch, grams: Iterable[Grams], words: Words, model: Model, levels: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
+    """A row of _FIELDS for each row (row, doc_id, held_out, text) of a batch; words not among the frequent ones as arrays."""
+    n, known, base, score = (np.zeros(len(batch), d) for d in (np.int64, np.int64, float, float))
+    rest: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U))]
+    for g in grams:
+        t = g.tokens
+        at, count = t.text[t.counted], g.counts(words)[t.counted]
+        logs = model.logs(g, levels(g.hashes))[t.counted]
+        add = lambda v: np.bincount(at, v, len(batch))  # noqa: B023, E731
+        n += add(None)
+        known += add((count > 0).astype(float)).astype(np.int64)
+        base += add(np.where(count < 0, 0.0, np.log10((np.maximum(count, 0) + 0.1) / model.total)))
+        score += add(logs)
+        rare = np.flatnonzero(count < 0)
+        rest.append((at[rare], t.one[t.counted][rare], t.two[t.counted][rare]))
+    of, *names = (np.concatenate(x) for x in zip(*rest, strict=True))  # in order of the texts
+    ends = np.r_[0, np.cumsum(np.bincount(of, minlength=len(batch)))].astype(np.int32)
     arrays = [*batch.columns[:3], pa.array(n), pa.array(known), pa.array(base), pa.array(score)]
-    arrays += [pa.array([r[j] for r in rest], pa.list_(pa.int64())) for j in (0, 1)]
+    arrays += [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.view(np.int64))) for x in names]
     return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in _FIELDS.split(", ")])
 
 
+def _grams(batch: pa.RecordBatch, order: int) -> Iterator[Grams]:
+    return (Grams(block, order) for block in blocks(batch.column(3).to_pylist(), order - 1, 1 << 20))
+
+
 def score_here(rows: DataFrame, words, model: Model, filters) -> DataFrame:
     """Scores by the broadcast filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bloom = words.value, filters.value
         for batch in batches:
-            yield _scored(batch, table, model, lambda _, h: bloom.levels(h), False)
+            yield _scored(batch, _grams(batch, model.order), table, model, bloom.levels)
+
+    return rows.mapInArrow(tidy(run), _FIELDS)
 
-    return rows.mapInArrow(run, _FIELDS)
 
+def in_chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
+    """chunk, tokens (that many at most), body: rows (row, doc_id, held_out, text) of at most chunk_bytes of text, or one row, in Arrow's format."""
 
-def score_by_segments(rows: DataFrame, words, model: Model, filters: DataFrame, segments: int, group_bytes: int = 32 << 20) -> DataFrame:
-    """The same scores where the filter isn't broadcast: n-grams go to the segments, their levels come back."""
-    rows = stored(rows, "numbered")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def chunk() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            tokens = sum(len((text or "").split()) + 1 for part in held for text in part.column(3).to_pylist())
+            return pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["tokens", "body"])
 
-    def distinct(text: str | None) -> np.ndarray:
-        parts = []
-        for block in blocks([text], model.order - 1):
-            parts += [np.unique(h) for h, _ in Tokens(block).grams(model.order)]
-        return np.unique(np.concatenate(parts))
+        for batch in batches:
+            start = 0
+            for i, more in enumerate(pc.fill_null(pc.binary_length(batch.column(3)), 0).to_pylist()):
+                if size and size + more > chunk_bytes:
+                    held.append(batch.slice(start, i - start))
+                    yield chunk()
+                    held, size, start = [], 0, i
+                size += more + 1
+            held.append(batch.slice(start))
+        if size:
+            yield chunk()
+
+    chunks = rows.mapInArrow(tidy(run), "tokens long, body binary")
+    return stored(chunks.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+
+
+def _opened(body: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(body).read_all().combine_chunks().to_batches()[0]
+
+
+def _distinct(grams: Iterable[Grams]) -> np.ndarray:
+    hashes = np.sort(np.concatenate([g.hashes for g in grams]))
+    return hashes[_firsts(hashes)]
+
+
+def score_by_segments(rows: DataFrame, words, model: Model, filters: DataFrame, segments: int, group_bytes: int = 48 << 20, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """The same scores where the filter isn't broadcast: distinct n-grams of chunks go to the segments, their levels come back.
+
+    group_bytes: of n-grams, before the distinct ones are taken, that are answered at once.
+    """
+    chunks = in_chunks(rows, chunk_bytes)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes = distinct(text)
-                out += [(row, k, hashes[s].tobytes()) for k, s in by_segment(hashes, segments)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["row", "segment", "hashes"])
+            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashes = _distinct(_grams(_opened(body), model.order))
+                own = list(by_segment(hashes, segments))
+                arrays = [pa.array([chunk] * len(own)), pa.array([k for k, _ in own]), pa.array([hashes[s].tobytes() for _, s in own])]
+                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "segment", "hashes"])
 
     def answer(probes: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if probes.empty:
-            return pd.DataFrame(columns=["row", "segment", "levels"])
-        body = np.frombuffer(own["filter"].iloc[0], "<u8") if len(own) else np.zeros(1, _U)
-        bloom = Segment(body)
-        return pd.DataFrame({"row": probes["row"], "segment": probes["segment"], "levels": [bloom.levels(np.frombuffer(h, "<u8")).tobytes() for h in probes["hashes"]]})
-
-    probes = stored(rows.select("row", "text").mapInArrow(ask, "row long, segment long, hashes binary"), "probes")
-    size = probes.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
-    parts = max(1, math.ceil(size / segments / group_bytes))
-    probes_ = probes.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
+            return pd.DataFrame(columns=["chunk", "segment", "levels"])
+        bloom = Segment(np.frombuffer(own["filter"].iloc[0], "<u8") if len(own) else np.zeros(1, _U))
+        hashes = np.frombuffer(b"".join(probes["hashes"]), "<u8")
+        levels = b"".join(bloom.levels(hashes[i : i + (1 << 20)]).tobytes() for i in range(0, len(hashes), 1 << 20))
+        ends = [0, *np.cumsum(probes["hashes"].str.len() // 8).tolist()]
+        return pd.DataFrame({"chunk": probes["chunk"], "segment": probes["segment"], "levels": [levels[a:b] for a, b in pairwise(ends)]})
+
+    tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
+    parts = max(1, math.ceil(tokens * model.order * 8 / segments / group_bytes))
+    probes = chunks.select("chunk", "body").mapInArrow(tidy(ask), "chunk long, segment long, hashes binary")
+    probes = probes.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)))
     dealt = filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("long"))
-    answers = probes_.groupBy("segment", "part").cogroup(dealt.groupBy("segment", "part")).applyInPandas(answer, "row long, segment long, levels binary")
+    answers = probes.groupBy("segment", "part").cogroup(dealt.groupBy("segment", "part")).applyInPandas(answer, "chunk long, segment long, levels binary")
     answers = stored(answers, "levels")
-    discard(probes)
-    gathered = answers.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("segment", "levels"))).alias("levels")).select("row", F.col("levels.levels").alias("levels"))
+    gathered = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("segment", "levels"))).alias("levels")).select("chunk", F.col("levels.levels").alias("levels"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = words.value
         for batch in batches:
-            known = []
-            for text, levels in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                known.append((distinct(text), np.frombuffer(b"".join(levels), np.uint8)))
-            yield _scored(batch, table, model, lambda k, h, known=known: known[k][1][np.searchsorted(known[k][0], h)], True)
+            for body, levels in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                texts = _opened(body)
+                grams = list(_grams(texts, model.order))
+                hashes, known = _distinct(grams), np.frombuffer(b"".join(levels), np.uint8)
+                yield _scored(texts, grams, table, model, lambda h, hashes=hashes, known=known: known[np.searchsorted(hashes, h)])
 
-    return rows.join(gathered, "row").select("row", "doc_id", "held_out", "text", "levels").mapInArrow(run, _FIELDS)
+    return chunks.join(gathered, "chunk").select("body", "levels").mapInArrow(tidy(run), _FIELDS)
 
 
 def frequent_words(counts: DataFrame, words: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -409,6 +488,18 @@ def frequent_words(counts: DataFrame, words: int, most: int) -> tuple[DataFrame,
     return steps.filter(frequent).drop("step"), steps.filter(~frequent).drop("step")
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs that end in it go with each job; they would else stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def score_texts(
     docs: DataFrame, order: int = 2, strength: float = 8.0, folds: int = 10, bits: int = 16, most_words: int = 1 << 20, most_bytes: int = 256 << 20, per_segment: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -420,7 +511,8 @@ def score_texts(
     small_batches(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), folds).alias("held_out"), F.col(text_col).alias("text"))
     train = docs.filter(~held_out(F.col(id_col), folds)).select(F.col(text_col).alias("text"))
-    counts = word_counts(train)
+    with shuffles_freed(spark):
+        counts = word_counts(train)
     tokens, words = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     frequent, others = frequent_words(counts, words, most_words)
     table = frequent.select("one", "two", "count").toArrow()  # most_words rows at most
@@ -428,7 +520,8 @@ def score_texts(
     complete = words <= most_words
     shared_words = spark.sparkContext.broadcast(Words(columns[0].view(_U), columns[1].view(_U), columns[2], complete))
     segments = max(1, math.ceil(tokens * order / per_segment))
-    filters = segment_filters(train, order, segments, bits)
+    with shuffles_freed(spark):
+        filters = segment_filters(train, order, segments, bits)
     model = Model(tokens, words, order, strength)
     size = filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
     if size + 24 * segments <= most_bytes:
@@ -436,11 +529,13 @@ def score_texts(
         bloom = Filter(segments, sizes, ((r.segment, np.frombuffer(r.filter, "<u8")) for r in filters.toLocalIterator()))
         scored = score_here(rows, shared_words, model, spark.sparkContext.broadcast(bloom))
     else:
-        scored = score_by_segments(rows, shared_words, model, filters, segments)
+        with shuffles_freed(spark):
+            scored = score_by_segments(rows, shared_words, model, filters, segments)
     if complete:
         out = scored.withColumn("base_score", F.col("base"))
     else:
-        scored = stored(scored, "scored")
+        with shuffles_freed(spark):
+            scored = stored(scored, "scored")
         lacking = scored.select("row", F.explode(F.arrays_zip("one", "two")).alias("w")).select("row", "w.one", "w.two")
         # A word that is not among the frequent ones holds less than one in most_words of all training tokens.
         found = lacking.join(others, ["one", "two"]).groupBy("row").agg(F.sum(F.log10((F.col("count") + 0.1) / F.lit(model.total))).alias("more"), F.count("*").alias("found"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import discard, shared_dir, stored
 
-__all__ = ["WHITE", "WORD", "discard", "hex_digits", "prefix_sums", "running_sums", "shared_dir", "small_batches", "spread_join", "stored", "tidy"]
+__all__ = ["WHITE", "WORD", "discard", "give_back", "hex_digits", "prefix_sums", "running_sums", "shared_dir", "small_batches", "spread_join", "stored", "tidy"]
 
 #: White space of the text contracts: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -26,6 +26,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 
+def give_back() -> None:
+    """Give what this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, for mapInArrow; at the end of a task its worker gives what it has freed back to the system.
 
@@ -36,10 +44,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-            if trim:
-                trim(0)
+            give_back()
 
     return call
 

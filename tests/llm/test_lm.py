@@ -115,3 +115,36 @@ def test_levels_never_fall_short():
     assert (levels >= want).all() and (levels == want).mean() > 0.97
     others = rng.integers(1 << 63, (1 << 64) - 1, 20_000, dtype=np.uint64)
     assert (lm.Segment(body).levels(others) == 0).mean() > 0.97
+
+
+def test_segments_answer_chunks_not_documents(corpus, monkeypatch):
+    docs, rows = corpus
+    kept, stored = {}, lm.stored
+    monkeypatch.setattr(lm, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    found = lm.score_texts(docs, per_segment=20_000, most_bytes=0).collect()
+    assert len(found) == len(rows)
+    segments = kept["filters"].count()
+    assert segments > 3
+    # A few chunks by files and bytes; an answer for each document and segment took 25 times the time of all else at 0.1 GB.
+    assert segments <= kept["levels"].count() <= segments * len(rows) / 10
+
+
+def test_chunks_of_any_size_give_the_same_scores(corpus, spark):
+    docs, _ = corpus
+    filters = lm.segment_filters(docs.select("text"), 2, 3, 16)
+    rows = docs.selectExpr("monotonically_increasing_id() AS row", "doc_id", "false AS held_out", "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS text")
+    words = spark.sparkContext.broadcast(lm.Words(*(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64)), False))
+    model = lm.Model(10, 10, 2, 8.0)
+    one, small, large = ([tuple(r) for r in lm.score_by_segments(rows, words, model, filters, 3, chunk_bytes=n).collect()] for n in (0, 3000, 1 << 30))
+    assert len(one) == docs.count() and sorted(one) == sorted(small) == sorted(large)
+    chunks = lm.in_chunks(rows, 3000)
+    assert 10 < chunks.count() < docs.count()
+    assert chunks.agg({"tokens": "sum"}).first()[0] >= sum(r[3] for r in one)
+
+
+def test_words_are_looked_up_once_even_if_they_share_a_name():
+    g = lm.Grams(next(lm.blocks(["a b a c a b", "b d"], 1)), 2)
+    t = g.tokens
+    t.two[2] += np.uint64(1)  # another word with the first name of a
+    words = lm.Words(*(np.r_[x, np.zeros(1, x.dtype)] for x in lm.counted_words(t.one, t.two)), False)
+    assert g.counts(words).tolist() == words.counts(t.one, t.two).tolist() == [2, 3, 1, 1, 2, 3, 2, 3, 1, 2]
