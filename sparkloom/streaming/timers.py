@@ -6,11 +6,11 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.storage import shared_dir
+from ..sources.storage import shared_dir, stored
 from .jobs import run_to_end
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -60,12 +60,28 @@ def silences(stream: DataFrame, seconds: int, late: str) -> DataFrame:
     return runs.select("job_id", F.col("last").cast("timestamp_ntz").alias("last"), "events")
 
 
+def over_in_state(left: DataFrame, late: str) -> DataFrame:
+    """Of the runs (job_id, start, end, last, events) that a stream of silences() ends with: those that are over all the same.
+
+    A run is over once its job has spoken again, or the newest row is `late` after its end; the stream's watermark gives
+    it later, and counts whole milliseconds. What is left are the runs of the last moments, the newest row's among them.
+    """
+    again = F.lead("start").over(Window.partitionBy("job_id").orderBy("start")).isNotNull()
+    newest = left.agg(F.max("last").alias("newest"))  # one row
+    rows = left.withColumn("again", again).crossJoin(F.broadcast(newest))
+    rows = rows.filter(F.col("again") | (F.col("end") <= F.col("newest") - F.expr(f"INTERVAL {late}")))
+    return rows.select("job_id", F.col("last").cast("timestamp_ntz").alias("last"), "events")
+
+
 def run_silences(stream: DataFrame, seconds: int, late: str) -> DataFrame:
-    """silences() of all that is there, as a table."""
+    """silences() of all that is there, as a table, with the runs that are over when the stream ends."""
     spark = stream.sparkSession
     with state_in_rocksdb(spark):
         sink = run_to_end(silences(stream, seconds, late), "silences")
-    return spark.read.schema("job_id long, last timestamp_ntz, events long").parquet(sink)
+        left = spark.read.format("statestore").load(f"{sink.removesuffix('sink')}checkpoint").select("value.*")
+        left = left.select("job_id", "session_window.*", F.col("max").alias("last"), F.col("count").alias("events"))
+        over = stored(over_in_state(left, late), "silences-over")
+    return spark.read.schema(over.schema).parquet(sink).unionByName(over)
 
 
 class Losses:

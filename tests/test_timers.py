@@ -83,3 +83,40 @@ def test_outcomes_of_events_whose_ids_are_not_in_order_of_time(spark, tmp_path):
         mine = [b[0] for b in ends if b[2] == a[2] and a[1] <= b[1] <= a[1] + hours]
         want |= {(a[2], a[0], b) for b in mine} or ({(a[2], a[0], None)} if a[1] + hours < slow else set())
     assert found == want
+
+
+def test_silences_of_jobs_that_speak_again_before_the_watermark(spark):
+    rows = [(0, 1, 0, "view"), (0, 2, 1, "view"), (1, 1, 10, "view"), (1, 3, 11, "view"), (2, 2, 62, "view"), (2, 1, 72, "view"), (2, 4, 73, "view")]
+    found = timers.run_silences(events(spark, rows, 3), 3600, "5 minutes").collect()
+    # The watermark is at 68 minutes: the run that ended at 10 lasts until 70, but job 1 has spoken since; job 3 may still speak.
+    assert sorted((r.job_id, minutes(r["last"]), r.events) for r in found) == [(1, 10.0, 2), (2, 1.0, 1)]
+
+
+def test_silences_end_by_microseconds(spark):
+    at = [(1, START + timedelta(microseconds=600)), (2, START + timedelta(microseconds=701)), (3, START + timedelta(minutes=65, microseconds=700))]
+    data = [(i, job, "view", ts, 1.0, 0) for i, (job, ts) in enumerate(at)]
+    df = spark.createDataFrame(data, SCHEMA + ", slice int")
+    stream = timers.slice_stream(spark, timers.in_slices(df, F.col("slice"), 1, "test-micros"), df.schema)
+    assert [(r.job_id, r["last"], r.events) for r in timers.run_silences(stream, 3600, "5 minutes").collect()] == [(1, at[0][1], 1)]
+
+
+def test_silent_jobs_equal_their_sql_up_to_the_last_moment(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from sparkloom.plans.registry import ORACLE_SQL
+
+    rng = random.Random(4)
+    columns = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    data = [(i, START + timedelta(hours=rng.uniform(*rng.choice(((0, 13), (6.8, 7), (12.8, 13))))), rng.randrange(1500), "view", 1.0, "") for i in range(3000)]
+    for k, rows in enumerate((data, data[:1], [])):
+        spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{tmp_path}/{k}/events.parquet")
+        found = streams.silent_jobs_stream(spark, f"{tmp_path}/{k}")
+        sql = ORACLE_SQL["silent_jobs_stream"]
+        with duckdb.connect() as db:
+            db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/{k}/events.parquet/*.parquet')")
+            want = db.execute(sql).fetchall()
+            early = db.execute(f"SELECT count(*) FROM ({sql}) WHERE last + INTERVAL 6 HOUR > (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE").fetchall()[0][0]
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+        assert early > 3 if k == 0 else early == 0
